@@ -14,9 +14,17 @@ from tallylog.model import (
 )
 
 
-def normalize_level(level: Column) -> Column:
-    """Canonical upper-case level; unknown names are kept, upper-cased. NULL stays NULL."""
-    name = F.upper(trim_space(level))
+def level_name(level: Column) -> Column:
+    """Trimmed and upper-cased: the form :func:`canonical_level` takes."""
+    return F.upper(trim_space(level))
+
+
+def canonical_level(name: Column) -> Column:
+    """Canonical level of an upper-case name; unknown names are kept.
+
+    Kept apart from :func:`level_name` so that a caller can project the name first; it is read several
+    times here.
+    """
     result = None
     for canonical, spellings in LEVEL_SPELLINGS.items():
         condition = name.isin(*spellings)
@@ -24,6 +32,11 @@ def normalize_level(level: Column) -> Column:
     return result.otherwise(name)
 
 
+def normalize_level(level: Column) -> Column:
+    """Canonical upper-case level; unknown names are kept, upper-cased. NULL stays NULL."""
+    return canonical_level(level_name(level))
+
+
 def normalize_level_name(level: str) -> str:
     """The same rule for a driver-side argument."""
     name = level.strip().upper()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The Unicode white-space characters.
@@ -11,10 +11,15 @@ WHITE_SPACE = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
+_EDGE = r"\A[\s\x{85}\p{Z}]|[\s\x{85}\p{Z}]\z"
+
 
 def trim_space(text: Column) -> Column:
-    """Strip white space of any kind from both ends (Spark's plain trim strips blanks only)."""
-    return F.btrim(text, F.lit(WHITE_SPACE))
+    """Strip white space of any kind from both ends (Spark's plain trim strips blanks only).
+
+    Most texts have none to strip, and looking is cheaper than stripping.
+    """
+    return F.when(text.rlike(_EDGE), F.btrim(text, F.lit(WHITE_SPACE))).otherwise(text)
 
 
 def non_blank(text: Column) -> Column:
@@ -26,11 +31,12 @@ def absent_if_empty(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-def evaluate_once(expression: Column) -> Column:
-    """Keep later filters from being pushed below an expensive expression.
+def fence(rows: DataFrame, *names: str) -> DataFrame:
+    """Keep later filters above the projection that computes the named columns.
 
-    Catalyst pushes a filter through a projection by copying the projected expression into it, which
-    would decode each line once per copy. A projection holding a non-deterministic expression is left
-    alone, so the decoded value is computed once per line; it is still pruned when nothing reads it.
+    Catalyst pushes a filter through a projection by copying the projected expressions into it; after a
+    decoder that would decode each line once per copy. A projection holding a non-deterministic
+    expression is left alone, so each line is decoded once. Columns that nothing reads are still pruned.
     """
-    return F.when(F.spark_partition_id() >= 0, expression)
+    once = {name: F.when(F.spark_partition_id() >= 0, F.col(name)) for name in names}
+    return rows.select(*[once[name].alias(name) if name in once else F.col(name) for name in rows.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.functions.fields import entry_field, lookup_field
+from tallylog.functions.fields import entry_field, folded_keys, lookup_field
 from tallylog.functions.levels import display_rank
 from tallylog.functions.text import absent_if_empty
 from tallylog.functions.timestamps import iso_utc
@@ -21,9 +21,9 @@ def number(text: Column) -> Column:
     return F.when(F.abs(value) < float("inf"), value)
 
 
-def address() -> Column:
+def address(folded: Column | None = None) -> Column:
     """Client address of an entry: the first non-empty address field."""
-    return F.coalesce(*[absent_if_empty(lookup_field(F.col("fields"), name)) for name in ADDRESS_FIELDS])
+    return F.coalesce(*[absent_if_empty(lookup_field(F.col("fields"), name, folded)) for name in ADDRESS_FIELDS])
 
 
 def error_key() -> Column:
@@ -71,7 +71,8 @@ def top_n(counts: DataFrame, n: int) -> DataFrame:
 
 def top_addresses(entries: DataFrame, n: int = 10) -> DataFrame:
     """Most frequent client addresses."""
-    return top_n(count_by(entries, address()), n)
+    keyed = entries.select("fields", folded_keys(F.col("fields")).alias("folded"))
+    return top_n(count_by(keyed, address(F.col("folded"))), n)
 
 
 def top_errors(entries: DataFrame, n: int = 10) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallylog.functions.fields import entry_field
+from tallylog.functions.fields import entry_field, folded_keys
 from tallylog.functions.text import absent_if_empty
 from tallylog.functions.timestamps import iso_utc
 from tallylog.operators.aggregates import address, error_key, number
@@ -47,12 +47,13 @@ def _facet_totals(entries: DataFrame, predicate: Column | None, group_by: str, w
     matched = F.lit(True) if predicate is None else predicate
     facets: list[tuple[str, Column]] = [("summary", F.lit("")), ("level", F.col("level"))]
     if group_by:
-        facets.append((f"group:{group_by}", absent_if_empty(entry_field(group_by))))
+        facets.append((f"group:{group_by}", absent_if_empty(entry_field(group_by, folded=F.col("folded")))))
     if with_ips:
-        facets.append(("ip", address()))
+        facets.append(("ip", address(F.col("folded"))))
     facets.append(("error", error_key()))
 
     kept = entries.select("timestamp", "level", "source", "message", "raw", "fields", matched.alias("matched"))
+    kept = kept.withColumn("folded", folded_keys(F.col("fields")))
     pairs = [F.struct(F.lit("").alias("key"), value.alias("value")) for _, value in facets[1:]]
     itself = F.struct(F.lit("").alias("key"), F.lit("").alias("value"))
     no_fields = F.array().cast("array<struct<key:string,value:string>>")

@@ -11,14 +11,15 @@ import csv
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.functions.fields import folded_keys, pick_first, pick_value
-from tallylog.functions.levels import normalize_level, severity_level
-from tallylog.functions.text import absent_if_empty, evaluate_once, trim_space
+from tallylog.functions.fields import folded_keys, pick_value
+from tallylog.functions.levels import canonical_level, level_name, severity_level
+from tallylog.functions.text import absent_if_empty, fence, trim_space
 from tallylog.functions.timestamps import clean_time, epoch_timestamp, parse_clean_time, parse_yearless
 from tallylog.model import BAD_CSV, BAD_JSON, BAD_SYSLOG, CSV_ALIASES, ENTRY_SCHEMA, JSON_ALIASES
 
 _MAP_TYPE = "map<string,string>"
 _PLACE_COLUMNS = ("file", "pos", "line")
+_DECODED = ("timestamp", "level", "source", "message", "fields", "raw", "parse_error")
 
 
 def _place(lines: DataFrame) -> list[Column]:
@@ -53,38 +54,55 @@ def _last_of_repeated_keys(fields: Column) -> Column:
 
 def decode_json(lines: DataFrame, default_year: int | None = None) -> DataFrame:
     """Decode one JSON object per line; a line that is not an object becomes a message with an error."""
-    trimmed = trim_space(F.col("value"))
-    parsed = F.when(trimmed.endswith("}"), F.from_json(trimmed, _MAP_TYPE, _JSON_OPTIONS))
+    value = F.col("value")
+    trimmed = F.when(value.startswith("{") & value.endswith("}"), value).otherwise(trim_space(value))
+    parsed = F.from_json(F.when(trimmed.endswith("}"), trimmed), _MAP_TYPE, _JSON_OPTIONS)
     place = [F.col(name) for name in _PLACE_COLUMNS]
-    objects = lines.select(*_place(lines), F.col("value").alias("raw"), evaluate_once(parsed).alias("object"))
+    objects = lines.select(*_place(lines), F.col("value").alias("raw"), parsed.alias("object"))
     objects = objects.select(*place, "raw", _last_of_repeated_keys(F.col("object")).alias("object"))
     keyed = objects.select(*place, "raw", "object", folded_keys(F.col("object")).alias("folded"))
 
-    fields, folded = F.col("object"), F.col("folded")
-
-    def pick(column: str) -> Column:
-        return pick_first(fields, folded, JSON_ALIASES[column])
+    def present(column: str) -> list[Column]:
+        return [pick_value(F.col("object"), F.col("folded"), name) for name in JSON_ALIASES[column]]
 
     def instant(clean_text: Column) -> Column:
         return F.coalesce(parse_clean_time(clean_text, default_year), epoch_timestamp(clean_text))
 
-    keyed = keyed.withColumn("time", clean_time(pick("timestamp")))
+    picked = keyed.select(
+        *place,
+        "raw",
+        "object",
+        F.array_compact(F.array(*present("timestamp"))).alias("times"),
+        F.coalesce(*present("level")).alias("level"),
+        F.coalesce(*present("source")).alias("source"),
+        F.coalesce(*present("message")).alias("message"),
+    )
+    fields = F.col("object")
+    cleaned = picked.select(
+        *place,
+        "raw",
+        "object",
+        "times",
+        clean_time(F.get("times", F.lit(0))).alias("time"),
+        absent_if_empty(level_name(F.col("level"))).alias("level"),
+        absent_if_empty(F.col("source")).alias("source"),
+        absent_if_empty(F.when(fields.isNull(), F.col("raw")).otherwise(F.col("message"))).alias("message"),
+    )
     # The first time key present nearly always parses; only if it does not are the others tried in turn.
-    times = F.array(*[pick_value(fields, folded, name) for name in JSON_ALIASES["timestamp"]])
-    retry = F.get(F.array_compact(F.transform(times, lambda text: instant(clean_time(text)))), F.lit(0))
-    timestamp = F.when(F.col("time").isNotNull(), F.coalesce(instant(F.col("time")), retry))
+    retried = F.array_compact(F.transform("times", lambda text: instant(clean_time(text))))
+    timestamp = F.when(F.col("time").isNotNull(), F.coalesce(instant(F.col("time")), F.get(retried, F.lit(0))))
     others = F.map_filter(fields, lambda key, value: ~F.lower(key).isin(*_JSON_KNOWN_KEYS) & value.isNotNull())
-    malformed = fields.isNull()
-    return keyed.select(
+    entries = cleaned.select(
         *place,
         timestamp.alias("timestamp"),
-        absent_if_empty(normalize_level(pick("level"))).alias("level"),
-        absent_if_empty(pick("source")).alias("source"),
-        absent_if_empty(F.when(malformed, F.col("raw")).otherwise(pick("message"))).alias("message"),
+        canonical_level(F.col("level")).alias("level"),
+        "source",
+        "message",
         F.coalesce(others, _no_fields()).alias("fields"),
-        F.col("raw"),
-        F.when(malformed, F.lit(BAD_JSON)).alias("parse_error"),
+        "raw",
+        F.when(fields.isNull(), F.lit(BAD_JSON)).alias("parse_error"),
     )
+    return fence(entries, *_DECODED)
 
 
 # --- Plain text -----------------------------------------------------------------------------------
@@ -133,20 +151,28 @@ def decode_text(lines: DataFrame, default_year: int | None = None) -> DataFrame:
         F.split(F.substring(rewritten, 2, 2147483647), r"\]", len(_TEXT_COLUMNS)),
     )
     place = [F.col(name) for name in _PLACE_COLUMNS]
-    matched = lines.select(*_place(lines), value.alias("raw"), evaluate_once(parts).alias("parts"))
+    matched = lines.select(*_place(lines), value.alias("raw"), parts.alias("parts"))
     part = {name: absent_if_empty(F.get(F.col("parts"), i)) for i, name in enumerate(_TEXT_COLUMNS)}
     message = F.when(F.col("parts").isNull(), F.col("raw")).otherwise(part["message"])
-    matched = matched.withColumn("time", clean_time(part["timestamp"]))
-    return matched.select(
+    picked = matched.select(
         *place,
-        parse_clean_time(F.col("time"), default_year).alias("timestamp"),
-        normalize_level(part["level"]).alias("level"),
+        "raw",
+        clean_time(part["timestamp"]).alias("time"),
+        level_name(part["level"]).alias("level"),
         part["source"].alias("source"),
         absent_if_empty(message).alias("message"),
+    )
+    entries = picked.select(
+        *place,
+        parse_clean_time(F.col("time"), default_year).alias("timestamp"),
+        canonical_level(F.col("level")).alias("level"),
+        "source",
+        "message",
         _no_fields().alias("fields"),
-        F.col("raw"),
+        "raw",
         F.lit(None).cast("string").alias("parse_error"),
     )
+    return fence(entries, *_DECODED)
 
 
 # --- CSV ------------------------------------------------------------------------------------------
@@ -185,17 +211,19 @@ def csv_entries(records: DataFrame, header: list[str], default_year: int | None,
     last = {name: i for i, name in enumerate(header)}
     pairs = [item for name, i in last.items() for item in (F.lit(name), values[i])]
     good = lambda column: F.when(rejected.isNull(), column)
-    timed = records.withColumn("time", clean_time(_leftmost(header, "timestamp")))
-    entries = timed.select(
+    named = records.withColumn("time", clean_time(_leftmost(header, "timestamp")))
+    named = named.withColumn("level", absent_if_empty(level_name(_leftmost(header, "level"))))
+    entries = named.select(
         *_place(records),
         good(parse_clean_time(F.col("time"), default_year)).alias("timestamp"),
-        good(absent_if_empty(normalize_level(_leftmost(header, "level")))).alias("level"),
+        good(canonical_level(F.col("level"))).alias("level"),
         good(absent_if_empty(_leftmost(header, "source"))).alias("source"),
         good(absent_if_empty(_leftmost(header, "message"))).alias("message"),
         F.when(rejected.isNull(), F.create_map(*pairs)).otherwise(_no_fields()).alias("fields"),
         F.coalesce(rejected, F.concat_ws(",", *values)).alias("raw"),
         F.when(rejected.isNotNull(), F.lit(BAD_CSV)).alias("parse_error"),
     )
+    entries = fence(entries, *_DECODED)
     return entries if keep_rejected else entries.where(F.col("parse_error").isNull())
 
 
@@ -207,7 +235,7 @@ def decode_csv(
     Rejected rows are not entries; ``keep_rejected`` returns them too, with ``parse_error`` set.
     """
     record = F.from_csv(F.col("value"), F.lit(csv_schema(header)), CSV_OPTIONS)
-    split = lines.select(*_place(lines), evaluate_once(record).alias("record"))
+    split = lines.select(*_place(lines), record.alias("record"))
     records = split.select(*[F.col(name) for name in _PLACE_COLUMNS], "record.*")
     return csv_entries(records, header, default_year, keep_rejected)
 
@@ -231,7 +259,7 @@ def decode_syslog(lines: DataFrame, default_year: int | None = None) -> DataFram
         F.split(F.substring(rewritten, 2, 2147483647), r"\[", 5),
     )
     place = [F.col(name) for name in _PLACE_COLUMNS]
-    matched = lines.select(*_place(lines), value.alias("raw"), evaluate_once(parts).alias("parts"))
+    matched = lines.select(*_place(lines), value.alias("raw"), parts.alias("parts"))
     priority, pid, process, time, rest = (F.get(F.col("parts"), i) for i in range(5))
     named = matched.select(
         *place,
@@ -264,7 +292,7 @@ def decode_syslog(lines: DataFrame, default_year: int | None = None) -> DataFram
         .when(has_pid, F.create_map(*common, *with_pid))
         .otherwise(F.create_map(*common))
     )
-    return named.select(
+    entries = named.select(
         *place,
         parse_yearless(F.col("time"), default_year).alias("timestamp"),
         severity_level(severity).alias("level"),
@@ -274,6 +302,7 @@ def decode_syslog(lines: DataFrame, default_year: int | None = None) -> DataFram
         F.col("raw"),
         F.when(~F.col("matched"), F.lit(BAD_SYSLOG)).alias("parse_error"),
     )
+    return fence(entries, *_DECODED)
 
 
 # --- Choice by format -----------------------------------------------------------------------------
