@@ -54,9 +54,14 @@ def _without_carriage_return() -> Column:
 
 def read_records(spark: SparkSession, paths: str | list[str], header: list[str], multiline: bool = False) -> DataFrame:
     """Records of CSV files that share a header, without the header: place columns and ``_c0``, ``_c1``, ..."""
-    reader = spark.read.options(**CSV_OPTIONS).option("header", "true").option("enforceSchema", "true")
+    reader = spark.read.options(**CSV_OPTIONS).options(header="true", enforceSchema="true")
+    # The width of a record is only checked when all of it is parsed, whatever columns a query reads.
+    reader = reader.option("columnPruning", "false")
     records = reader.schema(csv_schema(header)).csv(paths, multiLine=multiline)
-    return records.select(*scan_position(), *records.columns)
+    values = [name for name in records.columns if name != "_rejected"]
+    # Spark refuses a scan of the rejected column alone, as a plain count would ask for.
+    always = F.coalesce(F.length(values[0]), F.lit(0)) >= 0
+    return records.select(*scan_position(), *values, F.when(always, F.col("_rejected")).alias("_rejected"))
 
 
 def block_offsets(rows: DataFrame, first_number: int = 1) -> DataFrame:

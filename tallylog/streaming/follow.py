@@ -42,7 +42,7 @@ def follow(
     if name == "csv" and lines is None:
         if not header:
             raise ValueError("a CSV stream needs its header")
-        reader = spark.readStream.options(**CSV_OPTIONS).option("header", "true").schema(csv_schema(header))
+        reader = spark.readStream.options(**CSV_OPTIONS).options(header="true", columnPruning="false").schema(csv_schema(header))
         records = reader.csv(path)
         placed = records.select(
             F.col("_metadata.file_path").alias("file"),
