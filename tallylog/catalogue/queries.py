@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallylog.catalogue import render
-from tallylog.functions import iso_utc, lookup_field, normalize_level, parse_timestamp
+from tallylog.functions import iso_utc, normalize_level, parse_timestamp
+from tallylog.functions.fields import folded_keys
 from tallylog.operators import aggregates, filters, limits
 from tallylog.operators.report import report
 from tallylog.plans.jobs import analyze, export, stats
@@ -17,7 +18,6 @@ from tallylog.sinks.entries import listing_lines, write_parquet
 from tallylog.sinks.reports import report_json, write_report_csv
 from tallylog.sources.decode import decode_csv, decode_json, decode_syslog, decode_text
 from tallylog.sources.detect import detect_formats
-from tallylog.sources.lines import read_lines
 from tallylog.sources.logs import open_logs
 from tallylog.streaming.follow import follow, running_level_counts, start_query
 
@@ -63,9 +63,10 @@ def _columns(entries: DataFrame, *extra: Column) -> DataFrame:
 
 
 def parse_json_entries(spark: SparkSession, sf: str) -> DataFrame:
-    address = aggregates.address().alias("address")
+    entries = json_entries(spark, sf).withColumn("folded", folded_keys(F.col("fields")))
+    address = aggregates.address(F.col("folded")).alias("address")
     names = [_field(name).alias(name) for name in ("value", "k", "user_id", "status")]
-    return _columns(json_entries(spark, sf), *names, address, F.size("fields").cast("bigint").alias("n_fields"))
+    return _columns(entries, *names, address, F.size("fields").cast("bigint").alias("n_fields"))
 
 
 def parse_text_entries(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import islice
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallylog.functions.text import trim_space
 from tallylog.functions.timestamps import MONTHS
 from tallylog.model import FORMAT_NAMES
+from tallylog.sources.lines import scan_position
 
 # Fixed value: number of leading lines looked at.
 SAMPLE_LINES = 10
@@ -66,15 +65,6 @@ def file_heads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     runs in a sibling session, where the split size and open cost give every file a task of its own and
     the batch size is the sample size; the caller's settings are left alone.
     """
-
-    # Local, so that tasks need not import this package.
-    def first_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in islice(batches, 1):
-            if batch.num_rows and batch.column("block")[0].as_py() == 0:
-                line = pa.array(range(1, batch.num_rows + 1), pa.int64())
-                columns = [batch.column("file"), line, batch.column("value")]
-                yield pa.RecordBatch.from_arrays(columns, ["file", "line", "value"])
-
     probe = spark.newSession()
     for key, value in spark.conf.getAll.items():
         if spark.conf.isModifiable(key):
@@ -83,7 +73,9 @@ def file_heads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     probe.conf.set("spark.sql.files.openCostInBytes", _WHOLE_FILE)
     probe.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SAMPLE_LINES))
     lines = probe.read.option("lineSep", "\n").text(paths)
-    placed = lines.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
-    )
-    return placed.mapInArrow(first_batch, "file string, line bigint, value string")
+    placed = lines.select(*scan_position(), "value")
+    located = placed.select("file", F.col("pos.block").alias("block"), (F.col("pos.seq") + 1).alias("line"), "value")
+    # Local, so that tasks need not import this package.
+    first_batch = lambda batches: islice(batches, 1)
+    heads = located.mapInArrow(first_batch, "file string, block bigint, line bigint, value string")
+    return heads.where(F.col("block") == 0).select("file", "line", "value")
