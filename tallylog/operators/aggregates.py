@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallylog.functions.fields import entry_field, folded_keys, lookup_field
 from tallylog.functions.levels import display_rank
-from tallylog.functions.text import absent_if_empty
+from tallylog.functions.text import absent_if_empty, fence
 from tallylog.functions.timestamps import iso_utc
 from tallylog.model import ADDRESS_FIELDS, ERROR_KEY_LENGTH, ERROR_LEVELS
 
@@ -49,7 +49,7 @@ def summary(entries: DataFrame, predicate: Column | None = None) -> DataFrame:
 
 def count_by(entries: DataFrame, key: Column, name: str = "value") -> DataFrame:
     """Entries per value of a key, absent and empty values skipped."""
-    keyed = entries.select(absent_if_empty(key).alias(name)).where(F.col(name).isNotNull())
+    keyed = fence(entries.select(absent_if_empty(key).alias(name)), name).where(F.col(name).isNotNull())
     return keyed.groupBy(name).agg(F.count(F.lit(1)).alias("count"))
 
 

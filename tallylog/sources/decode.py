@@ -140,18 +140,24 @@ def _text_rewrite() -> tuple[str, str]:
     return pattern, _MATCHED + "]".join("".join(groups[column]) for column in _TEXT_COLUMNS)
 
 
+def _split_rewritten(separator: str, n: int) -> Column:
+    """Parts of a line that matched its pattern, NULL of one that did not.
+
+    No pattern accepts a line starting with the marker, so a new marker means that the pattern matched.
+    """
+    rewritten, raw = F.col("rewritten"), F.col("raw")
+    matched = rewritten.startswith(_MATCHED) & ~raw.startswith(_MATCHED)
+    return F.when(matched, F.split(F.substring(rewritten, 2, 2147483647), separator, n))
+
+
 def decode_text(lines: DataFrame, default_year: int | None = None) -> DataFrame:
     """Decode plain-text lines by shape; a line of no known shape is all message."""
     pattern, rewrite = _text_rewrite()
     value = F.col("value")
-    rewritten = F.regexp_replace(value, F.lit(pattern), F.lit(rewrite))
-    # No shape accepts a line starting with the marker, so a new marker means that a shape matched.
-    parts = F.when(
-        rewritten.startswith(_MATCHED) & ~value.startswith(_MATCHED),
-        F.split(F.substring(rewritten, 2, 2147483647), r"\]", len(_TEXT_COLUMNS)),
-    )
     place = [F.col(name) for name in _PLACE_COLUMNS]
-    matched = lines.select(*_place(lines), value.alias("raw"), parts.alias("parts"))
+    rewritten = F.regexp_replace(value, F.lit(pattern), F.lit(rewrite))
+    tried = lines.select(*_place(lines), value.alias("raw"), rewritten.alias("rewritten"))
+    matched = tried.select(*place, "raw", _split_rewritten(r"\]", len(_TEXT_COLUMNS)).alias("parts"))
     part = {name: absent_if_empty(F.get(F.col("parts"), i)) for i, name in enumerate(_TEXT_COLUMNS)}
     message = F.when(F.col("parts").isNull(), F.col("raw")).otherwise(part["message"])
     picked = matched.select(
@@ -253,13 +259,10 @@ _SYSLOG_REWRITE = _MATCHED + "$1[$5[$4[$2[$3 $6"
 def decode_syslog(lines: DataFrame, default_year: int | None = None) -> DataFrame:
     """Decode BSD syslog lines; a line of another shape becomes a message with an error."""
     value = F.col("value")
-    rewritten = F.regexp_replace(value, F.lit(SYSLOG_SHAPE), F.lit(_SYSLOG_REWRITE))
-    parts = F.when(
-        rewritten.startswith(_MATCHED) & ~value.startswith(_MATCHED),
-        F.split(F.substring(rewritten, 2, 2147483647), r"\[", 5),
-    )
     place = [F.col(name) for name in _PLACE_COLUMNS]
-    matched = lines.select(*_place(lines), value.alias("raw"), parts.alias("parts"))
+    rewritten = F.regexp_replace(value, F.lit(SYSLOG_SHAPE), F.lit(_SYSLOG_REWRITE))
+    tried = lines.select(*_place(lines), value.alias("raw"), rewritten.alias("rewritten"))
+    matched = tried.select(*place, "raw", _split_rewritten(r"\[", 5).alias("parts"))
     priority, pid, process, time, rest = (F.get(F.col("parts"), i) for i in range(5))
     named = matched.select(
         *place,
@@ -274,24 +277,16 @@ def decode_syslog(lines: DataFrame, default_year: int | None = None) -> DataFram
     )
     number = F.col("priority").cast("int")
     severity = number.bitwiseAND(7)
-    common = [F.lit("hostname"), F.col("host"), F.lit("process"), F.col("process")]
-    with_pid = [F.lit("pid"), F.col("pid")]
-    with_priority = [
-        F.lit("priority"),
-        F.col("priority"),
-        F.lit("facility"),
-        F.shiftright(number, 3).cast("string"),
-        F.lit("severity"),
-        severity.cast("string"),
-    ]
-    has_priority, has_pid = F.col("priority").isNotNull(), F.col("pid").isNotNull()
-    fields = (
-        F.when(~F.col("matched"), _no_fields())
-        .when(has_priority & has_pid, F.create_map(*with_priority, *common, *with_pid))
-        .when(has_priority, F.create_map(*with_priority, *common))
-        .when(has_pid, F.create_map(*common, *with_pid))
-        .otherwise(F.create_map(*common))
-    )
+    parsed_fields = {
+        "priority": F.col("priority"),
+        "facility": F.shiftright(number, 3).cast("string"),
+        "severity": severity.cast("string"),
+        "hostname": F.col("host"),
+        "process": F.col("process"),
+        "pid": F.col("pid"),
+    }
+    pairs = [item for name, value in parsed_fields.items() for item in (F.lit(name), value)]
+    fields = F.map_filter(F.create_map(*pairs), lambda name, value: value.isNotNull())
     entries = named.select(
         *place,
         parse_yearless(F.col("time"), default_year).alias("timestamp"),
