@@ -15,7 +15,7 @@ from tallylog.operators.report import report
 from tallylog.plans.jobs import analyze, export, stats
 from tallylog.plans.scratch import scratch_dir
 from tallylog.sinks.entries import listing_lines, write_parquet
-from tallylog.sinks.reports import report_json, write_report_csv
+from tallylog.sinks.reports import write_report_csv, write_report_json
 from tallylog.sources.decode import decode_csv, decode_json, decode_syslog, decode_text
 from tallylog.sources.detect import detect_formats
 from tallylog.sources.logs import open_logs
@@ -85,7 +85,7 @@ def parse_syslog_entries(spark: SparkSession, sf: str) -> DataFrame:
 
 def parse_warnings(spark: SparkSession, sf: str) -> DataFrame:
     facts = _facts(spark, sf)
-    # Text lines are not syslog lines, except none: each is a warning for that decoder.
+    # No text line is a syslog line: each is a warning for that decoder.
     parts = {
         "json": decode_json(render.json_lines(facts)),
         "csv": decode_csv(render.csv_lines(facts), render.CSV_HEADER, keep_rejected=True),
@@ -105,12 +105,16 @@ def parse_warnings(spark: SparkSession, sf: str) -> DataFrame:
 
 def detect_format(spark: SparkSession, sf: str) -> DataFrame:
     """Every user's events form a file, in the format user_id % 4."""
-    facts = _facts(spark, sf)
-    makers = (render.json_lines, render.text_lines, render.csv_lines, render.syslog_lines)
-    parts = [make(facts.where(F.col("user_id") % 4 == i)) for i, make in enumerate(makers)]
-    lines = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    order = Window.partitionBy("_user").orderBy("line")
-    placed = lines.select(F.col("_user").alias("file"), F.row_number().over(order).alias("line"), "value")
+    style = F.col("user_id") % 4
+    value = (
+        F.when(style == 0, render.json_value())
+        .when(style == 1, render.text_value())
+        .when(style == 2, render.csv_value())
+        .otherwise(render.syslog_value())
+    )
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    line = F.row_number().over(order).alias("line")
+    placed = _facts(spark, sf).select(F.col("user_id").alias("file"), line, value.alias("value"))
     return detect_formats(placed).select(F.col("file").alias("user_id"), "format")
 
 
@@ -341,15 +345,16 @@ def listing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def report_object(spark: SparkSession, sf: str) -> DataFrame:
-    """The JSON report, taken apart again."""
-    rows = report(json_entries(spark, sf), None, "source", 5, 5)
+    """The JSON report, written, read back and taken apart."""
+    target = scratch_dir(spark, "report")
+    write_report_json(report(json_entries(spark, sf), None, "source", 5, 5), target)
     schema = (
         "summary struct<matched_entries:long,total_entries:long,first_timestamp:string,last_timestamp:string>,"
         "level_counts map<string,long>, group_counts map<string,map<string,long>>,"
         "numeric_stats map<string,struct<count:long,min:double,max:double,sum:double,avg:double>>,"
         "top_ips array<struct<value:string,count:long>>, top_errors array<struct<value:string,count:long>>"
     )
-    parsed = report_json(rows).select(F.from_json("json", schema).alias("r")).select("r.*")
+    parsed = spark.read.text(target).select(F.from_json("value", schema).alias("r")).select("r.*")
 
     def part(section: str, exploded: Column, key: str, n: str) -> DataFrame:
         return parsed.select(exploded).select(F.lit(section).alias("section"), F.expr(key).alias("key"), F.expr(n).alias("n"))

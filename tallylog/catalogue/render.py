@@ -66,8 +66,8 @@ def strict_level() -> Column:
     return _by_kind("DEBUG", "INFO", "INFO", "WARNING", "ERROR", "CRITICAL")
 
 
-def json_lines(rows: DataFrame) -> DataFrame:
-    """One object per row; the key spelling varies by row, and broken rows are not objects."""
+def json_value() -> Column:
+    """An object; the key spelling varies by row, and broken rows are not objects."""
     style = F.col("event_id") % 3
     stamp = F.concat(F.col("second"), F.lit("Z"))
 
@@ -86,10 +86,10 @@ def json_lines(rows: DataFrame) -> DataFrame:
         *styled(F.col("address"), "ip", "client_ip", "remote_addr"),
     )
     broken = F.concat(F.lit("BROKEN "), F.col("event_id").cast("string"))
-    return _lines(rows, F.when(F.col("broken"), broken).otherwise(F.to_json(record)))
+    return F.when(F.col("broken"), broken).otherwise(F.to_json(record))
 
 
-def text_lines(rows: DataFrame) -> DataFrame:
+def text_value() -> Column:
     """The five shapes, and one that no shape accepts."""
     shape = F.col("event_id") % 6
     stamp = F.translate("second", "T", " ")
@@ -98,7 +98,7 @@ def text_lines(rows: DataFrame) -> DataFrame:
     def line(*parts: Column | str) -> Column:
         return F.concat(*[F.lit(part) if isinstance(part, str) else part for part in parts])
 
-    text = (
+    return (
         F.when(shape == 0, line("[", F.col("second"), "Z] [", loose_level(), "] ", message))
         .when(shape == 1, line(stamp, " ", strict_level(), " [", source, "] ", message))
         .when(shape == 2, line(stamp, " - ", loose_level(), " - ", message))
@@ -106,10 +106,9 @@ def text_lines(rows: DataFrame) -> DataFrame:
         .when(shape == 4, line(stamp, " ", message))
         .otherwise(line(F.col("second"), "Z ", strict_level(), " ", message))
     )
-    return _lines(rows, text)
 
 
-def csv_lines(rows: DataFrame) -> DataFrame:
+def csv_value() -> Column:
     """Data lines for ``CSV_HEADER``; the message needs quoting, and broken rows have a column too many."""
     message = F.concat(F.col("kind"), F.lit(', "by" user '), F.col("user_id").cast("string"))
     record = F.struct(
@@ -124,16 +123,16 @@ def csv_lines(rows: DataFrame) -> DataFrame:
         F.col("address"),
     )
     text = F.to_csv(record, {"escape": '"'})
-    return _lines(rows, F.concat(text, F.when(F.col("broken"), ",extra").otherwise("")))
+    return F.concat(text, F.when(F.col("broken"), ",extra").otherwise(""))
 
 
 def syslog_priority() -> Column:
     return _by_kind("15", "14", "14", "12", "11", "10")
 
 
-def syslog_lines(rows: DataFrame) -> DataFrame:
+def syslog_value() -> Column:
     stamp = F.date_format("ts", "MMM d HH:mm:ss")
-    line = F.concat(
+    return F.concat(
         F.lit("<"),
         syslog_priority(),
         F.lit(">"),
@@ -145,10 +144,24 @@ def syslog_lines(rows: DataFrame) -> DataFrame:
         F.lit("]: "),
         F.col("message"),
     )
-    return _lines(rows, line)
 
 
-def _lines(rows: DataFrame, value: Column) -> DataFrame:
-    return rows.select(
-        F.lit("events").alias("file"), F.col("event_id").alias("line"), value.alias("value"), F.col("user_id").alias("_user")
-    )
+def lines(rows: DataFrame, value: Column) -> DataFrame:
+    """Lines in the form that decoders take; the event id is the line number."""
+    return rows.select(F.lit("events").alias("file"), F.col("event_id").alias("line"), value.alias("value"))
+
+
+def json_lines(rows: DataFrame) -> DataFrame:
+    return lines(rows, json_value())
+
+
+def text_lines(rows: DataFrame) -> DataFrame:
+    return lines(rows, text_value())
+
+
+def csv_lines(rows: DataFrame) -> DataFrame:
+    return lines(rows, csv_value())
+
+
+def syslog_lines(rows: DataFrame) -> DataFrame:
+    return lines(rows, syslog_value())

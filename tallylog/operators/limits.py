@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Largest bound for which Spark prunes row_number per task before the shuffle.
 _PRUNED_ROWS = 1000
 
+# Stretch of a file, in bytes, whose tail is taken in one task before that of the whole file.
+_STRETCH = 64 << 30
+
 
 def in_file_order(entries: DataFrame) -> DataFrame:
     """Sort by file and position in it (L1). A full sort: ask for it only when order matters."""
@@ -22,11 +25,16 @@ def head(entries: DataFrame, n: int, ordered: bool = True) -> DataFrame:
 
 
 def tail(entries: DataFrame, n: int = 10) -> DataFrame:
-    """The last n entries of every file, in file order (L3)."""
+    """The last n entries of every file, in file order (L3).
+
+    The tail of each stretch of a file comes first, so that the last step sees n rows per stretch and not
+    n per input split.
+    """
     rows = entries if n <= _PRUNED_ROWS else _last_blocks(entries, n)
-    backwards = Window.partitionBy("file").orderBy(F.col("pos").desc(), F.col("line").desc())
-    last = rows.withColumn("_back", F.row_number().over(backwards)).where(F.col("_back") <= n)
-    return in_file_order(last.drop("_back"))
+    for keys in (("file", F.floor(F.col("pos.block") / _STRETCH)), ("file",)):
+        backwards = Window.partitionBy(*keys).orderBy(F.col("pos").desc(), F.col("line").desc())
+        rows = rows.withColumn("_back", F.row_number().over(backwards)).where(F.col("_back") <= n).drop("_back")
+    return in_file_order(rows)
 
 
 def _last_blocks(entries: DataFrame, n: int) -> DataFrame:

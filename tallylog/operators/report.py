@@ -12,9 +12,9 @@ from tallylog.operators.aggregates import address, error_key, number
 
 REPORT_COLUMNS = ("facet", "key", "rank", "n", "min", "max", "sum", "avg")
 
-# Largest bound for which Spark prunes row_number per task before the ranking shuffle, and the number
-# of slices that rank a larger bound in parallel first.
-_PRUNED_RANKS = 1000
+# Spark prunes row_number to the bound per task before the ranking shuffle. Past this bound the pruned rows
+# of all tasks may be many for the one task of a facet, and slices of the keys are ranked in parallel first.
+_UNSLICED_RANKS = 100
 _RANK_SLICES = 64
 
 
@@ -101,7 +101,7 @@ def _rank(totals: DataFrame, bounds: dict[str, int]) -> DataFrame:
     widest = max(bounds.values())
     slot = F.when(bounded, F.lit("")).otherwise(F.col("key"))
     order = [F.col("n").desc(), F.col("key")]
-    if widest > _PRUNED_RANKS:
+    if widest > _UNSLICED_RANKS:
         piece = F.pmod(F.xxhash64("key"), F.lit(_RANK_SLICES))
         sliced = Window.partitionBy("facet", slot, piece).orderBy(*order)
         totals = totals.withColumn("rank", F.row_number().over(sliced)).where(F.col("rank") <= widest).drop("rank")
