@@ -25,16 +25,22 @@ def head(entries: DataFrame, n: int, ordered: bool = True) -> DataFrame:
 
 
 def tail(entries: DataFrame, n: int = 10) -> DataFrame:
-    """The last n entries of every file, in file order (L3).
+    """The last n entries of every file, in file order (L3)."""
+    return in_file_order(last_rows(entries, n))
+
+
+def last_rows(rows: DataFrame, n: int) -> DataFrame:
+    """The last n rows of every file, by ``pos`` and, where there is one, ``line``; not sorted.
 
     The tail of each stretch of a file comes first, so that the last step sees n rows per stretch and not
     n per input split.
     """
-    rows = entries if n <= _PRUNED_ROWS else _last_blocks(entries, n)
+    order = [F.col(name).desc() for name in ("pos", "line") if name in rows.columns]
+    kept = rows if n <= _PRUNED_ROWS else _last_blocks(rows, n)
     for keys in (("file", F.floor(F.col("pos.block") / _STRETCH)), ("file",)):
-        backwards = Window.partitionBy(*keys).orderBy(F.col("pos").desc(), F.col("line").desc())
-        rows = rows.withColumn("_back", F.row_number().over(backwards)).where(F.col("_back") <= n).drop("_back")
-    return in_file_order(rows)
+        backwards = Window.partitionBy(*keys).orderBy(*order)
+        kept = kept.withColumn("_back", F.row_number().over(backwards)).where(F.col("_back") <= n).drop("_back")
+    return kept
 
 
 def _last_blocks(entries: DataFrame, n: int) -> DataFrame:

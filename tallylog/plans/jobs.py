@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallylog.operators.filters import EntryFilter, build_filter
-from tallylog.operators.limits import head, tail
+from tallylog.operators.limits import head, in_file_order, tail
 from tallylog.operators.report import report
 from tallylog.sinks.entries import EXPORT_FORMATS, write_entries
 from tallylog.sources.logs import LogSource
@@ -78,10 +78,15 @@ def tail_logs(
     filter_first: bool = False,
     line_numbers: bool = False,
 ) -> DataFrame:
-    """The last n non-blank lines of every file, then the filter; or the last n matches."""
+    """The last n non-blank lines of every file, then the filter; or, with ``filter_first``, the last n matches.
+
+    Unless the filter comes first, only the last lines are decoded.
+    """
     chosen = build_filter(search=search, level=level).predicate
-    entries = logs.entries()
-    rows = tail(entries.where(chosen), n) if filter_first else tail(entries, n).where(chosen)
+    if filter_first:
+        rows = tail(logs.entries().where(chosen), n)
+    else:
+        rows = in_file_order(logs.entries(last=n).where(chosen))
     return logs.number(rows) if line_numbers else rows
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallylog.functions.text import non_blank
 from tallylog.model import ENTRY_SCHEMA
+from tallylog.operators.limits import last_rows
 from tallylog.sources.decode import csv_entries, csv_header, decode
 from tallylog.sources.detect import detect_formats, file_heads, parse_format
 from tallylog.sources.lines import block_offsets, number_rows, read_lines, read_records, split_bound
@@ -34,9 +35,15 @@ class LogSource:
     default_year: int | None = None
     multiline_csv: bool = False
 
-    def entries(self, raw_filter: Column | None = None, keep_rejected: bool = False) -> DataFrame:
-        """All entries, ``line`` still NULL. ``raw_filter`` (on ``raw``) is applied before decoding."""
-        parts = [self._branch_entries(branch, raw_filter, keep_rejected) for branch in self.branches]
+    def entries(
+        self, raw_filter: Column | None = None, keep_rejected: bool = False, last: int | None = None
+    ) -> DataFrame:
+        """All entries, ``line`` still NULL.
+
+        ``raw_filter`` (on ``raw``) is applied before decoding. ``last`` keeps the last lines of every file,
+        and only those are decoded.
+        """
+        parts = [self._branch_entries(branch, raw_filter, keep_rejected, last) for branch in self.branches]
         return self._union(parts) if parts else self.spark.createDataFrame([], ENTRY_SCHEMA)
 
     def number(self, entries: DataFrame) -> DataFrame:
@@ -59,14 +66,19 @@ class LogSource:
             return read_records(self.spark, branch.paths, branch.header, self.multiline_csv)
         return read_lines(self.spark, branch.paths)
 
-    def _branch_entries(self, branch: Branch, raw_filter: Column | None, keep_rejected: bool) -> DataFrame:
+    def _branch_entries(
+        self, branch: Branch, raw_filter: Column | None, keep_rejected: bool, last: int | None
+    ) -> DataFrame:
         rows = self._branch_rows(branch)
         if branch.fmt == "csv":
             entries = csv_entries(rows, branch.header, self.default_year, keep_rejected)
-            return entries if raw_filter is None else entries.where(raw_filter)
+            entries = entries if raw_filter is None else entries.where(raw_filter)
+            return entries if last is None else last_rows(entries, last)
         lines = rows.where(non_blank(F.col("value")))
         if raw_filter is not None:
             lines = lines.withColumn("raw", F.col("value")).where(raw_filter).drop("raw")
+        if last is not None:
+            lines = last_rows(lines, last)
         return decode(lines, branch.fmt, default_year=self.default_year)
 
     @staticmethod

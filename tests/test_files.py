@@ -161,6 +161,11 @@ def test_tail(spark, folder, small_splits):
     last = tail_logs(logs, 2, level="ERROR", filter_first=True, line_numbers=True).orderBy("line").collect()
     assert [(r.line, r.message) for r in last] == [(589, "message 588"), (596, "message 595")]
     assert tail_logs(logs, 1500).count() == 600
+    every = open_logs(spark, f"file:{folder}")
+    assert tail_logs(every, 2).count() == 8
+    plan = tail_logs(logs, 3)._jdf.queryExecution().optimizedPlan().toString()
+    # A plan prints its last step first: the window is below the decoder.
+    assert plan.index("regexp_replace") < plan.index("WindowGroupLimit")
 
 
 def _json_rows(path):
