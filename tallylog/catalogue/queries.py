@@ -377,7 +377,8 @@ def report_csv_sections(spark: SparkSession, sf: str) -> DataFrame:
     target = scratch_dir(spark, "report")
     write_report_csv(report(json_entries(spark, sf), None, "source", 5, 5), target)
     result = None
-    for section, key, n in (("level", "level", "count"), ("group", "source", "count"), ("ip", "ip", "requests"), ("error", "error", "count")):
+    sections = (("level", "level", "count"), ("group", "source", "count"), ("ip", "ip", "requests"), ("error", "error", "count"))
+    for section, key, n in sections:
         rows = spark.read.csv(f"{target}/{section}", header=True, escape='"')
         rows = rows.select(F.lit(section).alias("section"), F.col(key).alias("key"), F.col(n).cast("bigint").alias("n"))
         result = rows if result is None else result.unionByName(rows)

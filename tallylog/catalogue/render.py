@@ -25,6 +25,7 @@ def facts(events: DataFrame) -> DataFrame:
     event_id, value, kind = F.col("event_id"), F.col("value"), F.col("event_type")
     wall = F.col("ts").cast("timestamp_ntz").cast("string")
     second = F.concat(F.substring(wall, 1, 10), F.lit("T"), F.substring(wall, 12, 8))
+    long_tail = F.when(event_id % 10 == 3, _LONG_TAIL).otherwise("")
     severe = (kind == "error") & (value >= 200)
     address = F.concat(
         F.lit("10.0."), F.floor(F.col("user_id") / 256).cast("string"), F.lit("."), (F.col("user_id") % 256).cast("string")
@@ -37,7 +38,7 @@ def facts(events: DataFrame) -> DataFrame:
         F.col("ts"),
         second.alias("second"),
         F.concat(F.lit("svc-"), (F.col("user_id") % 7).cast("string")).alias("source"),
-        F.concat(kind, F.lit(" by user "), F.col("user_id").cast("string"), F.when(event_id % 10 == 3, _LONG_TAIL).otherwise("")).alias("message"),
+        F.concat(kind, F.lit(" by user "), F.col("user_id").cast("string"), long_tail).alias("message"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
         (200 + 100 * (event_id % 4)).cast("int").alias("status"),
         F.when(event_id % 5 != 0, address).alias("address"),
