@@ -11,7 +11,13 @@ from pyspark.sql import SparkSession
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where that is unset, as in tests on one machine, a temporary folder is used.
+    A temporary folder of this machine serves only where that is unset and the whole session runs in one process
+    (a ``local`` master, as in tests). Elsewhere executors could not read what others wrote there, so this raises.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallylog-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tallylog-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

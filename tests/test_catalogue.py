@@ -8,7 +8,8 @@ from collections import Counter
 import duckdb
 import pytest
 
-import __spark_entry__ as contract
+from tallylog.catalogue.oracles import ORACLES
+from tallylog.catalogue.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -28,11 +29,11 @@ def _rows(columns, rows):
     return [columns[i] for i in order], Counter(tuple(row[i] for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    result = contract.queries()[name](spark, SF_DIR)
+    result = QUERIES[name](spark, SF_DIR)
     got_columns, got = _rows(result.columns, [tuple(row) for row in result.collect()])
-    cursor = duck.execute(contract.oracle_sql()[name])
+    cursor = duck.execute(ORACLES[name])
     want_columns, want = _rows([column[0] for column in cursor.description], cursor.fetchall())
     assert got_columns == want_columns
     assert got, "no rows"
@@ -40,4 +41,4 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
