@@ -7,12 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from tallylog.llm.chat import perspectives
 from tallylog.llm.common import table
+from tallylog.llm.crf import held_out, quality_scores
+from tallylog.llm.decontaminate import contaminated
+from tallylog.llm.linededup import dedup_lines
 from tallylog.llm.neardup import near_duplicates
 from tallylog.llm.packing import pack, token_pieces
 from tallylog.llm.rules import judged
 from tallylog.llm.tokenfile import token_ids
+from tallylog.llm.urls import judged as judged_urls
+from tallylog.llm.wrapper import main_text
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +33,10 @@ def op2_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op3_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,17 +45,88 @@ def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
+    cleaned = dedup_lines(docs)
+    return cleaned.select("doc_id", "text", "n_lines", F.length("text").cast("long").alias("n_chars_kept"))
+
+
+def op7_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = judged(table(spark, sf_dir, "documents"))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_urls(table(spark, sf_dir, "pages"))
+
+
+def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_best_fit": op1_pack_best_fit,
     "op2_chat_perspectives": op2_chat_perspectives,
+    "op3_simhash_decontamination": op3_simhash_decontamination,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_token_id_files": op5_token_id_files,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_crf_quality": op7_crf_quality,
     "op8_quality_rules": op8_quality_rules,
+    "op9_url_language_models": op9_url_language_models,
+    "op10_wrapper_induction": op10_wrapper_induction,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_chat_perspectives": """
+WITH said AS (
+  SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS role, replace(coalesce(text, ''), '<|', '<| ') AS said
+  FROM conversations
+), speakers AS (
+  SELECT DISTINCT conv_id, role AS speaker FROM said WHERE role <> 'system'
+), seats AS (
+  SELECT s.*, p.speaker,
+    CASE WHEN role = 'system' THEN '<|system|>' WHEN role = speaker THEN '<|assistant|>'
+         ELSE '<|user|>' || role || ': ' END AS header
+  FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
+), placed AS (
+  SELECT *, header || said || '<|end|>' || chr(10) AS segment,
+    row_number() OVER w - 1 AS position,
+    CAST(sum(length(header) + length(said) + 8) OVER w AS BIGINT) AS after
+  FROM seats
+  WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, said ROWS UNBOUNDED PRECEDING)
+)
+SELECT conv_id, speaker, position, turn, role, segment, role = speaker AS train, after - length(segment) AS start,
+  CASE WHEN role = speaker THEN after - length(segment) + length(header) ELSE after END AS mask_start, after AS mask_end
+FROM placed
+""",
+    "op4_minhash_near_dedup": """
+WITH RECURSIVE texts AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM texts
+), shingles AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a
+), least_of AS (
+  SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept
+FROM sets s JOIN least_of m ON s.doc_id = m.doc_id
+""",
+}
