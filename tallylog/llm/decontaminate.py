@@ -84,7 +84,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     at = docs.select("doc_id", "text", F.xxhash64("text").alias("of")).join(checked(places), ["doc_id", "of"])
     at = at.select("doc_id", "of", words_of(lower_ascii(F.col("text"))).alias("words"), "places").distinct()
-    windows = at.select("doc_id", "words", F.explode("places").alias("p")).selectExpr("doc_id", "p.n AS n", "p.start AS start", "slice(words, p.start + 1, p.n) AS w")
+    # cut the windows out before they become rows: a row never repeats the document
+    cut = "inline(transform(places, p -> named_struct('n', p.n, 'start', p.start, 'w', slice(words, p.start + 1, p.n))))"
+    windows = at.selectExpr("doc_id", cut)
     windows = windows.withColumn("w_hashes", F.transform("w", lambda x: F.xxhash64(x)))
     windows = windows.select("doc_id", "n", "start", _shingles("w").alias("shingles"), F.expr(_fingerprint("w")).alias("print"))
 
