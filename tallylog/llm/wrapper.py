@@ -45,6 +45,7 @@ BOUNDS = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "main"
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 _WORD = re.compile("[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
@@ -77,7 +78,7 @@ def _made(tag: str, attributes: str, parent: Node) -> Node:
 def parse(html: str) -> Node:
     """The tree of a page; forgiving about what is never closed or never opened."""
     root = Node("", "", False, False)
-    stack, at, end, lowered = [root], 0, len(html), None
+    stack, at, end = [root], 0, len(html)
     while at < end:
         match = _TAG.search(html, at)
         if not match:
@@ -96,9 +97,8 @@ def parse(html: str) -> Node:
                     break
             continue
         if tag in RAW and not attributes.endswith("/"):
-            lowered = html.lower() if lowered is None else lowered
-            shut = lowered.find(f"</{tag}", at)
-            at = end if shut < 0 else (lowered.find(">", shut) + 1 or end)
+            shut = _RAW_END[tag].search(html, at)
+            at = shut.end() if shut else end
             continue
         if tag in VOID:
             stack[-1].children.append(" ")

@@ -233,9 +233,9 @@ def test_components_of_a_long_chain(spark):
 
 def test_estimate_is_close():
     rng = np.random.RandomState(1)
-    pool = neardup._mix(rng.randint(0, 1 << 62, 3000).astype(np.uint64))
     errors = []
-    for shared in range(100, 1000, 50):
+    for shared in range(100, 1000, 20):
+        pool = neardup._mix(rng.randint(0, 1 << 62, 3000).astype(np.uint64))
         one, two = np.unique(pool[:1000]), np.unique(np.concatenate([pool[:shared], pool[1000 : 2000 - shared]]))
         true = len(np.intersect1d(one, two)) / len(np.union1d(one, two))
         bits = [np.unpackbits(np.frombuffer(neardup._signature(neardup.minima(s)), np.uint8)).reshape(1, neardup.BITS, -1) for s in (one, two)]
