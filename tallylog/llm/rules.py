@@ -25,7 +25,6 @@ REACH = 6.0
 SUPPORT = 200
 #: KLL accuracy: 200 is a rank error of about 1.3 %.
 SKETCH = 200
-_SPACES = "' \\t\\n\\u000B\\f\\r'"
 
 
 def _repeated_words() -> Column:
@@ -52,7 +51,7 @@ def counts(docs: DataFrame) -> DataFrame:
     return at.select(
         *keep,
         F.col("n").cast("long").alias("n_words"),
-        F.length(F.expr(f"translate(t, {_SPACES}, '')")).cast("long").alias("word_chars"),
+        F.length(F.translate("t", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
