@@ -129,7 +129,7 @@ SELECT event_id AS line, time, level, source, message, CAST(value AS VARCHAR) AS
   CAST(4 + CASE WHEN address IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_fields, CAST(NULL AS VARCHAR) AS parse_error
 FROM j
 UNION ALL
-SELECT event_id, NULL, NULL, NULL, 'BROKEN ' || event_id, NULL, NULL, NULL, NULL, NULL, 0, 'invalid JSON'
+SELECT event_id, NULL, NULL, NULL, 'BROKEN ' || event_id, NULL, NULL, NULL, NULL, NULL, 0, 'line is not a JSON object'
 FROM e WHERE broken
 """
     ),
@@ -153,9 +153,9 @@ FROM e
     ),
     "parse_warnings": _events(
         """
-SELECT 'json' AS format, 'invalid JSON' AS parse_error, count(*) AS n FROM e WHERE broken
+SELECT 'json' AS format, 'line is not a JSON object' AS parse_error, count(*) AS n FROM e WHERE broken
 UNION ALL SELECT 'csv', 'wrong number of fields', count(*) FROM e WHERE broken
-UNION ALL SELECT 'syslog', 'does not match syslog format', count(*) FROM e
+UNION ALL SELECT 'syslog', 'line has no syslog shape', count(*) FROM e
 """
     ),
     "detect_format": _events(

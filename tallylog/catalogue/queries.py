@@ -354,7 +354,9 @@ def report_object(spark: SparkSession, sf: str) -> DataFrame:
         "numeric_stats map<string,struct<count:long,min:double,max:double,sum:double,avg:double>>,"
         "top_ips array<struct<value:string,count:long>>, top_errors array<struct<value:string,count:long>>"
     )
-    parsed = spark.read.text(target).select(F.from_json("value", schema).alias("r")).select("r.*")
+    parts = spark.read.text(target, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
+    whole = parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "value"))), lambda p: p["value"]), "").alias("value"))
+    parsed = whole.select(F.from_json("value", schema).alias("r")).select("r.*")
 
     def part(section: str, exploded: Column, key: str, n: str) -> DataFrame:
         return parsed.select(exploded).select(F.lit(section).alias("section"), F.expr(key).alias("key"), F.expr(n).alias("n"))

@@ -7,9 +7,6 @@ instead of one formatter per layout.
 
 from __future__ import annotations
 
-import calendar
-import datetime as dt
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,16 +64,18 @@ def parse_timestamp(text: Column, default_year: int | None = None) -> Column:
 
 def parse_yearless(text: Column, default_year: int | None = None) -> Column:
     """Parse "Mon d hh:mm:ss", blanks single; NULL when the date does not exist."""
-    year = default_year or dt.datetime.now(dt.timezone.utc).year
+    # the year of the batch, in UTC: a stream that runs over New Year goes along
+    now = F.timestamp_add("MICROSECOND", F.unix_micros(F.current_timestamp()), F.lit("1970-01-01").cast("timestamp_ntz"))
+    year = F.year(now) if default_year is None else F.lit(default_year)
     # Every third position of the joined names starts a month.
     place = F.position(F.initcap(F.substring(text, 1, 3)), F.lit("".join(MONTHS)))
     month = F.lpad(F.floor((place + 2) / 3).cast("string"), 2, "0")
     date = F.concat(month, F.lit("-"), F.lpad(F.split_part(text, F.lit(" "), F.lit(2)), 2, "0"))
-    if not calendar.isleap(year):
-        # 29 February falls on 1 March in a common year.
-        date = F.replace(date, F.lit("02-29"), F.lit("03-01"))
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    # 29 February falls on 1 March in a common year.
+    date = F.when(leap, date).otherwise(F.replace(date, F.lit("02-29"), F.lit("03-01")))
     clock = F.translate(F.split_part(text, F.lit(" "), F.lit(3)), ",", ".")
-    iso = F.concat(F.lit(f"{year:04d}-"), date, F.lit("T"), clock, F.lit("Z"))
+    iso = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), date, F.lit("T"), clock, F.lit("Z"))
     return F.when(place % 3 == 1, iso.try_cast("timestamp"))
 
 
@@ -94,5 +93,6 @@ def epoch_timestamp(text: Column) -> Column:
 def iso_utc(timestamp: Column) -> Column:
     """Render as yyyy-MM-ddTHH:mm:ssZ, whole seconds, whatever the session time zone."""
     wall = F.timestamp_add("MICROSECOND", F.unix_micros(timestamp), F.lit("1970-01-01").cast("timestamp_ntz"))
-    text = wall.cast("string")
-    return F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8), F.lit("Z"))
+    # years beyond four digits are written with a sign and as many digits as they need
+    date, clock = (F.split_part(wall.cast("string"), F.lit(" "), F.lit(k)) for k in (1, 2))
+    return F.concat(date, F.lit("T"), F.substring(clock, 1, 8), F.lit("Z"))

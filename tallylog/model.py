@@ -95,6 +95,6 @@ ERROR_KEY_LENGTH = 100
 SYSLOG_SEVERITIES = ("EMERGENCY", "ALERT", "CRITICAL", "ERROR", "WARNING", "NOTICE", "INFO", "DEBUG")
 
 # Texts of ``parse_error``.
-BAD_JSON = "invalid JSON"
-BAD_SYSLOG = "does not match syslog format"
+BAD_JSON = "line is not a JSON object"
+BAD_SYSLOG = "line has no syslog shape"
 BAD_CSV = "wrong number of fields"

@@ -5,12 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest bound for which Spark prunes row_number per task before the shuffle.
-_PRUNED_ROWS = 1000
-
-# Stretch of a file, in bytes, whose tail is taken in one task before that of the whole file.
-_STRETCH = 64 << 30
-
 
 def in_file_order(entries: DataFrame) -> DataFrame:
     """Sort by file and position in it (L1). A full sort: ask for it only when order matters."""
@@ -32,28 +26,18 @@ def tail(entries: DataFrame, n: int = 10) -> DataFrame:
 def last_rows(rows: DataFrame, n: int) -> DataFrame:
     """The last n rows of every file, by ``pos`` and, where there is one, ``line``; not sorted.
 
-    The tail of each stretch of a file comes first, so that the last step sees n rows per stretch and not
-    n per input split.
+    One count per input split tells which splits lie wholly in the tail and which one holds its border. Rows of the
+    former pass as they are; only the border split of each file is ranked, so no task ranks a file, and the plan is
+    the same for every n.
     """
     order = [F.col(name).desc() for name in ("pos", "line") if name in rows.columns]
-    kept = rows if n <= _PRUNED_ROWS else _last_blocks(rows, n)
-    for keys in (("file", F.floor(F.col("pos.block") / _STRETCH)), ("file",)):
-        backwards = Window.partitionBy(*keys).orderBy(*order)
-        kept = kept.withColumn("_back", F.row_number().over(backwards)).where(F.col("_back") <= n).drop("_back")
-    return kept
-
-
-def _last_blocks(entries: DataFrame, n: int) -> DataFrame:
-    """Only the input splits that can hold one of the last n entries of their file.
-
-    For large n the window is not pruned per task; this keeps all but the ends of files out of it. The
-    split table has one row per kept split.
-    """
     block: Column = F.col("pos.block")
-    counts = entries.groupBy("file", block.alias("block")).agg(F.count(F.lit(1)).alias("rows"))
-    later = Window.partitionBy("file").orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    after = F.coalesce(F.sum("rows").over(later), F.lit(0))
-    needed = counts.withColumn("after", after).where(F.col("after") < n)
-    keys = needed.select(F.col("file").alias("_file"), "block")
-    same = (F.col("file") == F.col("_file")) & block.eqNullSafe(F.col("block"))
-    return entries.join(keys, same, "left_semi")
+    counts = rows.groupBy("file", block.alias("block")).agg(F.count(F.lit(1)).alias("rows"))
+    later = Window.partitionBy("file").orderBy(F.col("block").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    splits = counts.withColumn("_after", F.coalesce(F.sum("rows").over(later), F.lit(0))).where(F.col("_after") < n)
+    splits = splits.select(F.col("file").alias("_file"), F.col("block").alias("_block"), "_after", (F.col("_after") + F.col("rows") > n).alias("_border"))
+    same = (F.col("file") == F.col("_file")) & block.eqNullSafe(F.col("_block"))
+    # a row that is not in a border split is ranked alone
+    backwards = Window.partitionBy("file", "_block", F.when(~F.col("_border"), F.col("pos.seq"))).orderBy(*order)
+    back = F.when(F.col("_border"), F.row_number().over(backwards) + F.col("_after")).otherwise(F.lit(0))
+    return rows.join(splits, same).withColumn("_back", back).where(F.col("_back") <= n).select(*rows.columns)

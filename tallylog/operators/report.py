@@ -12,11 +12,6 @@ from tallylog.operators.aggregates import address, error_key, number
 
 REPORT_COLUMNS = ("facet", "key", "rank", "n", "min", "max", "sum", "avg")
 
-# Spark prunes row_number to the bound per task before the ranking shuffle. Past this bound the pruned rows
-# of all tasks may be many for the one task of a facet, and slices of the keys are ranked in parallel first.
-_UNSLICED_RANKS = 100
-_RANK_SLICES = 64
-
 
 def report(
     entries: DataFrame,
@@ -54,26 +49,32 @@ def _facet_totals(entries: DataFrame, predicate: Column | None, group_by: str, w
 
     kept = entries.select("timestamp", "level", "source", "message", "raw", "fields", matched.alias("matched"))
     kept = kept.withColumn("folded", folded_keys(F.col("fields")))
-    pairs = [F.struct(F.lit("").alias("key"), value.alias("value")) for _, value in facets[1:]]
-    itself = F.struct(F.lit("").alias("key"), F.lit("").alias("value"))
-    no_fields = F.array().cast("array<struct<key:string,value:string>>")
-    leading = F.array(itself, *pairs)
-    all_items = F.concat(leading, F.coalesce(F.map_entries("fields"), no_fields))
-    items = F.when(F.col("matched"), all_items).otherwise(F.array(itself))
+
+    def pair(place: int, key: Column, value: Column) -> Column:
+        return F.struct(F.lit(place).alias("place"), key.alias("key"), value.alias("value"))
+
+    itself = F.array(pair(0, F.lit(""), F.lit("")))
+    # what an entry lacks goes before it becomes a row
+    pairs = F.array_compact(F.array(*(F.when(value.isNotNull(), pair(k, F.lit(""), value)) for k, (_, value) in enumerate(facets[1:], start=1))))
+    numbers = F.filter(F.map_entries("fields"), lambda e: number(e["value"]).isNotNull())
+    numbers = F.transform(numbers, lambda e: pair(len(facets), e["key"], e["value"]))
+    no_items = F.array().cast("array<struct<place:int,key:string,value:string>>")
+    items = F.when(F.col("matched"), F.concat(itself, pairs, F.coalesce(numbers, no_items))).otherwise(itself)
     exploded = kept.select(
         "matched",
         F.when(F.col("matched"), F.unix_micros("timestamp")).alias("micros"),
-        F.posexplode(items).alias("place", "item"),
+        F.explode(items).alias("item"),
     )
-    place, text = F.col("place"), F.col("item.value")
+    place, text = F.col("item.place"), F.col("item.value")
     facet = F.when(place == 0, facets[0][0])
     for position, (name, _) in enumerate(facets[1:], start=1):
         facet = facet.when(place == position, name)
-    figure = F.when(place == 0, F.col("micros").cast("double")).when(place >= len(facets), number(text))
+    figure = F.when(place >= len(facets), number(text))
     figures = exploded.select(
         facet.otherwise("number").alias("facet"),
         F.when(place >= len(facets), F.col("item.key")).otherwise(text).alias("key"),
         F.when(place == 0, F.col("matched").cast("int")).alias("matched"),
+        F.when(place == 0, F.col("micros")).alias("micros"),
         figure.alias("figure"),
     )
     useful = F.when(F.col("facet") == "number", F.col("figure").isNotNull()).otherwise(F.col("key").isNotNull())
@@ -83,6 +84,8 @@ def _facet_totals(entries: DataFrame, predicate: Column | None, group_by: str, w
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum("matched").alias("matched"),
+            F.min("micros").alias("first"),
+            F.max("micros").alias("last"),
             F.min("figure").alias("min"),
             F.max("figure").alias("max"),
             F.sum("figure").alias("sum"),
@@ -101,10 +104,11 @@ def _rank(totals: DataFrame, bounds: dict[str, int]) -> DataFrame:
     widest = max(bounds.values())
     slot = F.when(bounded, F.lit("")).otherwise(F.col("key"))
     order = [F.col("n").desc(), F.col("key")]
-    if widest > _UNSLICED_RANKS:
-        piece = F.pmod(F.xxhash64("key"), F.lit(_RANK_SLICES))
-        sliced = Window.partitionBy("facet", slot, piece).orderBy(*order)
-        totals = totals.withColumn("rank", F.row_number().over(sliced)).where(F.col("rank") <= widest).drop("rank")
+    # slices of the keys are ranked in parallel first, as many as shuffles have partitions
+    slices = int(totals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    piece = F.pmod(F.xxhash64("key"), F.lit(slices))
+    sliced = Window.partitionBy("facet", slot, piece).orderBy(*order)
+    totals = totals.withColumn("rank", F.row_number().over(sliced)).where(F.col("rank") <= widest).drop("rank")
     whole = Window.partitionBy("facet", slot).orderBy(*order)
     ranked = totals.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= widest)
     bound = None
@@ -122,7 +126,7 @@ def _with_summary_rows(ranked: DataFrame) -> DataFrame:
         return F.struct(facet.alias("facet"), key.alias("key"), n.alias("n"))
 
     def time(micros: str) -> Column:
-        return iso_utc(F.timestamp_micros(F.col(micros).cast("bigint")))
+        return iso_utc(F.timestamp_micros(F.col(micros)))
 
     none = F.lit(None).cast("bigint")
     rows = F.when(
@@ -130,8 +134,8 @@ def _with_summary_rows(ranked: DataFrame) -> DataFrame:
         F.array(
             row(F.col("facet"), F.lit("total_entries"), F.col("n")),
             row(F.col("facet"), F.lit("matched_entries"), F.col("matched")),
-            row(F.lit("first_timestamp"), time("min"), none),
-            row(F.lit("last_timestamp"), time("max"), none),
+            row(F.lit("first_timestamp"), time("first"), none),
+            row(F.lit("last_timestamp"), time("last"), none),
         ),
     ).otherwise(F.array(row(F.col("facet"), F.col("key"), F.col("n"))))
     unfolded = ranked.select(

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallylog.operators.filters import EntryFilter, build_filter
-from tallylog.operators.limits import head, in_file_order, tail
+from tallylog.operators.limits import head, in_file_order, last_rows
 from tallylog.operators.report import report
 from tallylog.sinks.entries import EXPORT_FORMATS, write_entries
 from tallylog.sources.logs import LogSource
@@ -35,11 +35,14 @@ def analyze(
 ) -> DataFrame:
     """Matching entries, the first ``limit`` in file order when it is positive.
 
-    Line numbers are joined to the rows that remain, and cost one more counting scan.
+    Line numbers are joined to the rows that remain, and cost one more counting scan. With a limit the result is in
+    file order; the sort comes last, since a join keeps none.
     """
     chosen = build_filter(search, filters, level, regex, time_from, time_to, where)
     entries = head(select_entries(logs, chosen), limit)
-    return logs.number(entries) if line_numbers else entries
+    if not line_numbers:
+        return entries
+    return in_file_order(logs.number(entries)) if limit > 0 else logs.number(entries)
 
 
 def aggregate(
@@ -84,10 +87,10 @@ def tail_logs(
     """
     chosen = build_filter(search=search, level=level).predicate
     if filter_first:
-        rows = tail(logs.entries().where(chosen), n)
+        rows = last_rows(logs.entries().where(chosen), n)
     else:
-        rows = in_file_order(logs.entries(last=n).where(chosen))
-    return logs.number(rows) if line_numbers else rows
+        rows = logs.entries(last=n).where(chosen)
+    return in_file_order(logs.number(rows) if line_numbers else rows)
 
 
 @dataclass(frozen=True)
@@ -116,27 +119,31 @@ def export(
 ) -> ExportResult:
     """Write matching entries as JSON, CSV or raw lines and return the counts (K6).
 
-    The counts are observed while writing. ``ordered`` sorts the output by file and line; otherwise part
-    files follow the input splits, each in file order.
+    The counts come from an aggregation of their own, which a sort or a repeated stage cannot count twice. ``ordered``
+    sorts the output by file and line, as does a limit; otherwise part files hold the rows as they are read.
     """
     if fmt not in EXPORT_FORMATS:
-        raise ValueError(f"unsupported export format {fmt!r} (supported: json, csv, raw)")
+        raise ValueError(f"cannot export as {fmt!r}: choose json, csv or raw")
     chosen = build_filter(search, filters, level, regex, time_from, time_to, where)
     if logs.is_empty():
-        raise ValueError("input is empty")
-    read, kept = Observation(), Observation()
-    rejected = F.count_if(F.col("parse_error").isNotNull())
-    everything = logs.entries(keep_rejected=True).observe(
-        read, F.count(F.lit(1)).alias("lines"), rejected.alias("warnings"), F.count_if(_is_rejected()).alias("rejected")
+        raise ValueError("nothing to export: the input holds no line")
+    counts = (
+        logs.entries(keep_rejected=True)
+        .agg(
+            F.count_if(~_is_rejected()).alias("total"),
+            F.count_if(F.col("parse_error").isNotNull()).alias("warnings"),
+            F.count_if(~_is_rejected() & chosen.predicate).alias("matched"),
+        )
+        .first()
     )
-    rows = head(everything.where(~_is_rejected() & chosen.predicate), limit)
-    if ordered and limit <= 0:
-        rows = rows.orderBy("file", "pos")
+    rows = head(select_entries(logs, chosen), limit)
     if fmt != "raw":
         rows = logs.number(rows)
-    write_entries(rows.observe(kept, F.count(F.lit(1)).alias("rows")), path, fmt, mode)
-    counts = read.get
-    return ExportResult(kept.get["rows"], counts["lines"] - counts["rejected"], counts["warnings"])
+    if ordered or limit > 0:
+        rows = in_file_order(rows)
+    write_entries(rows, path, fmt, mode)
+    exported = min(counts["matched"], limit) if limit > 0 else counts["matched"]
+    return ExportResult(exported, counts["total"], counts["warnings"])
 
 
 def _is_rejected() -> Column:

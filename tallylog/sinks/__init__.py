@@ -10,13 +10,13 @@ from tallylog.sinks.entries import (
     write_parquet,
     write_raw,
 )
-from tallylog.sinks.reports import report_json, write_report_csv, write_report_json, write_report_rows
+from tallylog.sinks.reports import report_fragments, write_report_csv, write_report_json, write_report_rows
 
 __all__ = [
     "field_keys",
     "json_rows",
     "listing_lines",
-    "report_json",
+    "report_fragments",
     "write_csv",
     "write_entries",
     "write_json",

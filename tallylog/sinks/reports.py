@@ -5,78 +5,85 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A single JSON object is built in one task; past this many report rows it is refused.
-MAX_OBJECT_ROWS = 100_000
+from tallylog.plans.scratch import scratch_dir
 
+# The sections of a JSON report in order, with how each opens and closes.
+_SECTIONS = ("summary", "level_counts", "group_counts", "numeric_stats", "top_ips", "top_errors")
 
-def report_json(report: DataFrame, max_rows: int = MAX_OBJECT_ROWS) -> DataFrame:
-    """The report as one JSON object in column ``json`` (K4); empty sections are left out.
 
-    The object is whole or the query fails: a report of more than ``max_rows`` rows raises an error, and
-    at most one row beyond the bound reaches the task that builds it. Use :func:`write_report_rows` then.
+def _json_text(value: Column) -> Column:
+    text = F.to_json(F.array(value))
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+def report_fragments(report: DataFrame) -> DataFrame:
+    """The report as one JSON object (K4) in pieces: ``section``, ``at``, ``name``, ``json``, a row per figure.
+
+    In the order of the first three columns the pieces, end to end, are the object; empty sections are left out. Counts
+    and rankings are listed largest first, whether or not they were cut. No task holds more than its share of the pieces.
     """
     facet, key, n = F.col("facet"), F.col("key"), F.col("n")
-    bounded = report.limit(max_rows + 1)
-
-    def listed(condition: Column, value: Column) -> Column:
-        return F.filter(F.collect_list(F.when(condition, value)), lambda item: item.isNotNull())
-
-    def counts(name: str) -> Column:
-        entry = F.struct((-n).alias("order"), key.alias("key"), n.alias("n"))
-        ordered = F.array_sort(listed(facet == name, entry))
-        return _non_empty_map(ordered, lambda item: item["n"])
-
-    def top(name: str) -> Column:
-        entry = F.struct(F.col("rank").alias("rank"), key.alias("value"), n.alias("count"))
-        ordered = F.array_sort(listed(facet == name, entry))
-        rows = F.transform(ordered, lambda item: F.struct(item["value"].alias("value"), item["count"].alias("count")))
-        return F.when(F.size(rows) > 0, rows)
-
-    def single(name: str, label: str, value: Column) -> Column:
-        return F.max(F.when((facet == name) & (key == label), value))
-
-    def time(name: str) -> Column:
-        return F.max(F.when(facet == name, key))
-
-    group = F.max(F.when(facet.startswith("group:"), F.substring(facet, 7, 2147483647)))
-    group_entry = F.struct((-n).alias("order"), key.alias("key"), n.alias("n"))
-    groups = _non_empty_map(F.array_sort(listed(facet.startswith("group:"), group_entry)), lambda item: item["n"])
-    numbers = F.array_sort(
-        listed(
-            facet == "number",
-            F.struct(key.alias("key"), n.alias("count"), "min", "max", "sum", "avg"),
-        )
+    grouped = facet.startswith("group:")
+    section = (
+        F.when(facet.isin("summary", "first_timestamp", "last_timestamp"), 0)
+        .when(facet == "level", 1)
+        .when(grouped, 2)
+        .when(facet == "number", 3)
+        .when(facet == "ip", 4)
+        .when(facet == "error", 5)
     )
-    stat_names = ("count", "min", "max", "sum", "avg")
-    stats = _non_empty_map(numbers, lambda item: F.struct(*[item[name].alias(name) for name in stat_names]))
-    sections = bounded.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.struct(
-            single("summary", "matched_entries", n).alias("matched_entries"),
-            F.nullif(single("summary", "total_entries", n), F.lit(0)).alias("total_entries"),
-            time("first_timestamp").alias("first_timestamp"),
-            time("last_timestamp").alias("last_timestamp"),
-        ).alias("summary"),
-        counts("level").alias("level_counts"),
-        F.when(group.isNotNull(), F.create_map(F.coalesce(group, F.lit("")), groups)).alias("group_counts"),
-        stats.alias("numeric_stats"),
-        top("ip").alias("top_ips"),
-        top("error").alias("top_errors"),
+    label = F.when(facet == "summary", key).otherwise(facet)
+    at = (
+        F.when(facet == "number", 0)
+        .when(section > 0, -n)
+        .when(label == "matched_entries", 0)
+        .when(label == "total_entries", 1)
+        .when(label == "first_timestamp", 2)
+        .otherwise(3)
     )
-    names = ("summary", "level_counts", "group_counts", "numeric_stats", "top_ips", "top_errors")
-    too_large = F.raise_error(F.lit(f"report has more than {max_rows} rows; write its rows instead"))
-    text = F.to_json(F.struct(*names))
-    return sections.select(F.when(F.col("rows") > max_rows, too_large.cast("string")).otherwise(text).alias("json"))
-
-
-def _non_empty_map(entries: Column, value) -> Column:
-    pairs = F.transform(entries, lambda item: F.struct(item["key"].alias("key"), value(item).alias("value")))
-    return F.when(F.size(entries) > 0, F.map_from_entries(pairs))
+    stats = F.to_json(F.struct(n.alias("count"), "min", "max", "sum", "avg"))
+    named = F.concat(_json_text(key), F.lit(":"))
+    piece = (
+        F.when(facet == "summary", F.concat(named, n.cast("string")))
+        .when(section == 0, F.concat(_json_text(facet), F.lit(":"), _json_text(key)))
+        .when(section <= 2, F.concat(named, n.cast("string")))
+        .when(section == 3, F.concat(named, stats))
+        .otherwise(F.to_json(F.struct(key.alias("value"), n.alias("count"))))
+    )
+    # a total of 0 is left out
+    counted = report.where(~((facet == "summary") & (key == "total_entries") & (n == 0)))
+    pieces = counted.select(section.alias("section"), at.cast("long").alias("at"), key.alias("name"), piece.alias("piece"), F.when(grouped, F.substring(facet, 7, 2147483647)).alias("group"))
+    place = F.struct("at", "name")
+    # six rows at most: where each section begins and ends, and which of them comes first and last
+    edges = pieces.groupBy("section").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    ends = edges.agg(F.min("section").alias("head"), F.max("section").alias("tail"))
+    marked = pieces.join(F.broadcast(edges), "section").crossJoin(F.broadcast(ends))
+    names = F.array(*map(F.lit, _SECTIONS))
+    opening = F.concat(
+        F.when(F.col("section") == F.col("head"), F.lit("{")).otherwise(F.lit(",")),
+        F.lit('"'), F.get(names, F.col("section")), F.lit('":'),
+        F.when(F.col("section") >= 4, F.lit("[")).otherwise(F.lit("{")),
+        F.when(F.col("section") == 2, F.concat(_json_text(F.col("group")), F.lit(":{"))).otherwise(F.lit("")),
+    )
+    closing = F.concat(
+        F.when(F.col("section") == 2, F.lit("}}")).when(F.col("section") >= 4, F.lit("]")).otherwise(F.lit("}")),
+        F.when(F.col("section") == F.col("tail"), F.lit("}")).otherwise(F.lit("")),
+    )
+    before = F.when(place == F.col("first"), opening).otherwise(F.lit(","))
+    after = F.when(place == F.col("last"), closing).otherwise(F.lit(""))
+    return marked.select("section", "at", "name", F.concat(before, "piece", after).alias("json"))
 
 
 def write_report_json(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write the report as one JSON object."""
-    report_json(report).select("json").write.mode(mode).text(path)
+    """Write the report as one JSON object of any size: the part files, in order of name, are the object.
+
+    The report is written once and read from there, since its sections' ends are looked up before its rows are sorted.
+    """
+    spark = report.sparkSession
+    rows = scratch_dir(spark, "report-rows")
+    report.write.parquet(rows)
+    fragments = report_fragments(spark.read.schema(report.schema).parquet(rows))
+    fragments.orderBy("section", "at", "name").select("json").write.mode(mode).text(path)
 
 
 def write_report_rows(report: DataFrame, path: str, mode: str = "errorifexists") -> None:

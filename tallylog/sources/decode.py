@@ -38,6 +38,7 @@ def _no_fields() -> Column:
 # --- JSON lines -----------------------------------------------------------------------------------
 
 _JSON_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+_BARE_TIME = '(?i)"(?:' + "|".join(JSON_ALIASES["timestamp"]) + r')"\s*:\s*-?\d'
 _JSON_KNOWN_KEYS = [key for keys in JSON_ALIASES.values() for key in keys]
 
 
@@ -65,8 +66,11 @@ def decode_json(lines: DataFrame, default_year: int | None = None) -> DataFrame:
     def present(column: str) -> list[Column]:
         return [pick_value(F.col("object"), F.col("folded"), name) for name in JSON_ALIASES[column]]
 
+    # digits are epoch seconds only as a JSON number; as text they are in none of the layouts
+    bare_number = F.col("raw").rlike(_BARE_TIME)
+
     def instant(clean_text: Column) -> Column:
-        return F.coalesce(parse_clean_time(clean_text, default_year), epoch_timestamp(clean_text))
+        return F.coalesce(parse_clean_time(clean_text, default_year), F.when(bare_number, epoch_timestamp(clean_text)))
 
     picked = keyed.select(
         *place,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from itertools import islice
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,25 +29,38 @@ def parse_format(name: str) -> str:
     return FORMAT_NAMES[key]
 
 
+def listed_files(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """All files that ``paths`` stand for, as the scan names them (URL-encoded). The driver's file index holds them already."""
+    # the index writes file:///x where the scan writes file:/x
+    return sorted(re.sub(r"^(\w+):///", r"\1:/", file) for file in spark.read.text(paths).inputFiles())
+
+
+def literal_path(file: str) -> str:
+    """A file named by a scan as a path to read: decoded, and free of pattern characters."""
+    scheme, colon, rest = file.partition(":")
+    path = unquote(rest if colon and scheme.isalnum() else file)
+    plain = re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+    return f"{scheme}:{plain}" if colon and scheme.isalnum() else plain
+
+
 def detect_formats(lines: DataFrame) -> DataFrame:
     """Format of each file from its first lines.
 
     ``lines`` has ``file``, ``line`` (1-based) and ``value``. The result has ``file``, ``format`` and
     ``first_line``, the first line that is not blank. Only the leading lines are shuffled, at most ten
-    per file, as counters.
+    per file, as counters. A file whose first lines are all blank is text, and has no first line.
     """
     text = trim_space(F.col("value"))
-    head = lines.where(F.col("line") <= SAMPLE_LINES).select("file", "line", text.alias("text"))
-    head = head.where(F.col("text") != "")
+    head = lines.where(F.col("line") <= SAMPLE_LINES).select("file", "line", F.nullif(text, F.lit("")).alias("text"))
     commas = F.length("text") - F.length(F.translate("text", ",", ""))
     syslog_start = F.col("text").rlike("^(?:<|" + "|".join(MONTHS) + ")")
     facts = head.groupBy("file").agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count("text").alias("n"),
         F.count_if(F.col("text").startswith("{")).alias("objects"),
         F.count_if(syslog_start).alias("syslogs"),
         F.min(commas).alias("fewest_commas"),
         F.max(commas).alias("most_commas"),
-        F.min_by("text", "line").alias("first_line"),
+        F.min_by("text", F.when(F.col("text").isNotNull(), F.col("line"))).alias("first_line"),
     )
     half = F.floor(F.col("n") / 2)
     same_commas = (F.col("fewest_commas") >= 2) & (F.col("fewest_commas") == F.col("most_commas"))
@@ -69,6 +84,8 @@ def file_heads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     for key, value in spark.conf.getAll.items():
         if spark.conf.isModifiable(key):
             probe.conf.set(key, value)
+    # with this bound several files would share a task, and only the first would be looked at
+    probe.conf.unset("spark.sql.files.maxPartitionNum")
     probe.conf.set("spark.sql.files.maxPartitionBytes", _WHOLE_FILE)
     probe.conf.set("spark.sql.files.openCostInBytes", _WHOLE_FILE)
     probe.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SAMPLE_LINES))

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from tallylog.sources.decode import CSV_OPTIONS, csv_schema
 
-# Line offsets have one row per input split, about 100 bytes each in memory. Up to this many splits
-# they are broadcast; beyond, numbering uses an ordinary shuffled join of the rows to be numbered.
-MAX_BROADCAST_SPLITS = 100_000
-
 _ROW_IN_PARTITION = (1 << 33) - 1
 
 
@@ -78,20 +74,14 @@ def block_offsets(rows: DataFrame, first_number: int = 1) -> DataFrame:
     return counts.select("file", "block", "first_seq", first.alias("first_number"))
 
 
-def split_bound(rows: DataFrame) -> int:
-    """Upper bound of the number of input splits: a scan task holds one full split or the ends of files."""
-    return len(rows.inputFiles()) + rows.rdd.getNumPartitions()
-
-
-def number_rows(entries: DataFrame, offsets: DataFrame, splits: int) -> DataFrame:
-    """Fill ``line`` from the offsets of the splits.
+def number_rows(entries: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Fill ``line`` from the offsets of the splits. The result is in no order: sort it after numbering.
 
-    Filters should come first: only the rows kept are joined.
+    Filters should come first: only the rows kept are joined. The offsets have one row per split; whether they are
+    broadcast is decided at run time, by their size.
     """
     columns = entries.columns
     small = offsets.withColumnRenamed("file", "_file")
-    if splits <= MAX_BROADCAST_SPLITS:
-        small = F.broadcast(small)
     same_split = (F.col("file") == F.col("_file")) & (F.col("pos.block") == F.col("block"))
     line = F.col("first_number") + F.col("pos.seq") - F.col("first_seq")
     joined = entries.drop("line").join(small, same_split, "left").withColumn("line", line)

@@ -9,12 +9,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylog.functions.text import non_blank
+from tallylog.functions.text import non_blank, trim_space
 from tallylog.model import ENTRY_SCHEMA
 from tallylog.operators.limits import last_rows
 from tallylog.sources.decode import csv_entries, csv_header, decode
-from tallylog.sources.detect import detect_formats, file_heads, parse_format
-from tallylog.sources.lines import block_offsets, number_rows, read_lines, read_records, split_bound
+from tallylog.sources.detect import detect_formats, file_heads, listed_files, literal_path, parse_format
+from tallylog.sources.lines import block_offsets, number_rows, read_lines, read_records
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ class LogSource:
             return entries
         rows = [self._branch_rows(branch) for branch in self.branches]
         offsets = [block_offsets(r, 2 if b.fmt == "csv" else 1) for r, b in zip(rows, self.branches)]
-        return number_rows(entries, self._union(offsets), sum(split_bound(r) for r in rows))
+        return number_rows(entries, self._union(offsets))
 
     def warnings(self) -> DataFrame:
         """Lines that did not decode cleanly, rejected CSV rows included."""
@@ -104,19 +104,37 @@ def open_logs(
     if name not in ("auto", "csv"):
         return LogSource(spark, [Branch(name, asked)], default_year, multiline_csv)
 
-    # One row per file; the driver's file index holds as many already.
-    found = detect_formats(file_heads(spark, asked)).collect()
-    groups: dict[tuple[str, str], list[str]] = defaultdict(list)
-    for row in found:
-        chosen = row["format"] if name == "auto" else name
-        groups[(chosen, row["first_line"] if chosen == "csv" else "")].append(row["file"])
+    # Every listed file gets a format, whatever its first lines hold; only CSV needs its first line here.
+    found = detect_formats(file_heads(spark, asked))
+    chosen = F.col("format") if name == "auto" else F.lit(name)
+    rows = found.select("file", chosen.alias("format"), F.when(chosen == "csv", F.col("first_line")).alias("first_line"))
+    formats = {row["file"]: (row["format"], row["first_line"]) for row in rows.collect()}
+    unread = "text" if name == "auto" else name
+    groups: dict[tuple[str, str | None], list[str]] = defaultdict(list)
+    for file in listed_files(spark, asked):
+        groups[formats.get(file, (unread, None))].append(file)
+    headless = groups.pop(("csv", None), [])
+    for file, first_line in _later_headers(spark, headless).items():
+        groups[("csv", first_line)].append(file)
     branches = []
-    for (chosen, first_line), files in sorted(groups.items()):
+    for (group, first_line), files in sorted(groups.items(), key=lambda item: (item[0][0], item[0][1] or "")):
         # The paths as given keep the plan small when all files are alike.
-        branches.append(Branch(chosen, asked if len(groups) == 1 else sorted(files), csv_header(first_line)))
+        paths = asked if len(groups) == 1 else [literal_path(file) for file in sorted(files)]
+        branches.append(Branch(group, paths, csv_header(first_line) if group == "csv" else []))
     return LogSource(spark, branches, default_year, multiline_csv)
 
 
+def _later_headers(spark: SparkSession, files: list[str]) -> dict[str, str]:
+    """The first line that is not blank of CSV files that start with more blank lines than are looked at.
+
+    Files without such a line have neither header nor records.
+    """
+    if not files:
+        return {}
+    lines = read_lines(spark, [literal_path(file) for file in files]).where(non_blank(F.col("value")))
+    return {row["file"]: row["first_line"] for row in lines.groupBy("file").agg(F.min_by(trim_space(F.col("value")), "pos").alias("first_line")).collect()}
+
+
 def read_logs(
     spark: SparkSession,
     paths: str | list[str],

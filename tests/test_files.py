@@ -55,11 +55,14 @@ def test_format_names():
 @pytest.mark.parametrize(
     ("text", "fmt"),
     [
-        ('{"level":"info"}\n{"level":"error"}\n', "json"),
-        ("timestamp,level,message\n2024-01-01,INFO,hello\n2024-01-02,ERROR,fail\n", "csv"),
-        ("<13>Jan 15 08:23:01 myhost sshd[1]: a\n<11>Jan 15 08:24:00 myhost kernel: b\n", "syslog"),
-        ("Jan 15 08:23:01 myhost sshd[1]: a\nJan 15 08:24:00 myhost kernel: b\n", "syslog"),
-        ("2024-01-15 08:23:01 INFO started\n2024-01-15 08:23:02 ERROR failed\n", "text"),
+        ('{"q": 7}\n\n{"q": [8, 9]}\nstray words\n', "json"),
+        ("{ half\n{ braces\nbut, two, commas\nthen, two, more\n", "text"),
+        ("when;x,lvl,what\n\n9,TRACE,pump on\n10,TRACE,pump off\n", "csv"),
+        ("<7>a,b,c\n<7>d,e,f\n", "syslog"),
+        ("Oct 31 23:59:59 crane-4 lift[77]: up\nnonsense\nNov  1 00:00:00 crane-4 lift[77]: down\n", "syslog"),
+        ("Marble arrived\nJunk left\nwhatever\n", "syslog"),
+        ("2031/12/09 05:06:07 DEBUG valve shut\n", "text"),
+        ("\n" * 12 + '{"late": true}\n', "text"),
         ("\n \n  {\"a\":1}\nplain\n", "text"),
         ("a,b,c\n1,2\n", "text"),
         ("one,two,three", "csv"),
@@ -75,7 +78,7 @@ def test_empty_file(spark, tmp_path):
     logs = open_logs(spark, path)
     assert logs.entries().count() == 0 and logs.number(logs.entries()).count() == 0 and logs.is_empty()
     assert read_logs(spark, path, "json").count() == 0
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no line"):
         export(logs, f"file:{tmp_path}/out")
 
 
@@ -99,15 +102,19 @@ def test_mixed_folder_with_small_splits(spark, folder, small_splits):
     assert got["c.csv"] == {i + 2: f"m{i}" for i in range(300)}
     assert got["d.syslog"] == {i + 1: f"said {i}" for i in range(300)}
     warnings = {r.name: r.parse_error for r in logs.warnings().select(name, "parse_error").collect()}
-    assert warnings == {"a.json": "invalid JSON", "c.csv": "wrong number of fields"}
-
-
-def test_numbering_without_broadcast(spark, folder, small_splits, monkeypatch):
-    from tallylog.sources import lines
-
-    monkeypatch.setattr(lines, "MAX_BROADCAST_SPLITS", 0)
-    numbered = read_logs(spark, f"file:{folder}/b.log", "text")
-    assert "Broadcast" not in numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert warnings == {"a.json": "line is not a JSON object", "c.csv": "wrong number of fields"}
+
+
+def test_numbering_with_a_shuffled_join(spark, folder, small_splits):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = read_logs(spark, f"file:{folder}/b.log", "text")
+        limited = analyze(open_logs(spark, f"file:{folder}/b.log", "text"), limit=400).collect()
+        ending = tail_logs(open_logs(spark, f"file:{folder}/b.log", "text"), n=300, line_numbers=True).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [r.line for r in limited] == list(range(1, 401)) and [r.line for r in ending] == list(range(301, 601))
     assert {r.line: r.message for r in numbered.collect()} == {i + 1: f"message {i}" for i in range(600)}
 
 
@@ -165,7 +172,7 @@ def test_tail(spark, folder, small_splits):
     assert tail_logs(every, 2).count() == 8
     plan = tail_logs(logs, 3)._jdf.queryExecution().optimizedPlan().toString()
     # A plan prints its last step first: the window is below the decoder.
-    assert plan.index("regexp_replace") < plan.index("WindowGroupLimit")
+    assert plan.index("regexp_replace") < plan.index("Window")
 
 
 def _json_rows(path):
@@ -218,8 +225,6 @@ def test_csv_sink(spark, folder, tmp_path):
     lines = next((tmp_path / "o").glob("part-*")).read_text().splitlines()
     assert lines[0] == "line,timestamp,level,source,message,ip,status"
     assert '3,2024-01-15T08:24:01Z,ERROR,,"Redis, failed",10.0.0.2,500' in lines
-    with pytest.raises(ValueError, match="more than 1"):
-        field_keys(entries, 1)
 
 
 def test_csv_sink_renames_taken_names(spark, folder, tmp_path):
@@ -245,7 +250,8 @@ def test_report_sinks(spark, folder, tmp_path):
     assert spark.read.csv(f"file:{tmp_path}/r/group", header=True).columns == ["status", "count"]
     assert spark.read.csv(f"file:{tmp_path}/r/ip", header=True).columns == ["ip", "requests"]
     write_report_json(rows, f"file:{tmp_path}/j")
-    assert json.loads(next((tmp_path / "j").glob("part-*")).read_text())["summary"]["matched_entries"] == 4
+    whole = "".join(part.read_text() for part in sorted((tmp_path / "j").glob("part-*")))
+    assert json.loads(whole)["summary"]["matched_entries"] == 4
 
 
 def test_same_entries_in_any_zone(spark, folder):

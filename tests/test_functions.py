@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 
 from tallylog.functions import epoch_timestamp, iso_utc, normalize_level, parse_timestamp, syslog_timestamp
 from tallylog.functions.levels import display_rank, filter_rank, normalize_level_name
+from tallylog.model import LEVEL_SPELLINGS
+from tallylog.plans.scratch import scratch_dir
 
 LEVELS = {
-    "info": "INFO", "INFO": "INFO", "INF": "INFO", "INFORMATION": "INFO", "warn": "WARN", "WRN": "WARN",
-    "WARNING": "WARN", "error": "ERROR", "ERR": "ERROR", "debug": "DEBUG", "DBG": "DEBUG", "DEBU": "DEBUG",
-    "fatal": "FATAL", "FTL": "FATAL", "CRITICAL": "FATAL", "CRIT": "FATAL", "panic": "PANIC", "TRACE": "TRACE",
-    "TRC": "TRACE", "CUSTOM": "CUSTOM", "  info  ": "INFO", " \twarn ": "WARN",
+    **{form(spelling): level for level, spellings in LEVEL_SPELLINGS.items() for spelling in spellings for form in (str.upper, str.lower, str.title)},
+    **{level: level for level in LEVEL_SPELLINGS},
+    "gOSSip": "GOSSIP", "\u00a0Err\u2003": "ERROR", "warn!": "WARN!", "": "",
 }
 
 TIMES = {
@@ -78,3 +79,22 @@ def test_ranks(spark):
     frame = spark.createDataFrame([("FATAL",), ("PANIC",), ("TRACE",), ("OTHER",)], "level string")
     rows = frame.select(filter_rank(F.col("level")), display_rank(F.col("level"))).collect()
     assert [tuple(row) for row in rows] == [(5, 6), (6, 5), (0, 0), (None, -1)]
+
+
+def test_rendering_of_far_years(spark):
+    micros = [1705306981500 * 1_000_000, -1, -62135596800 * 1_000_000, 253402300800 * 1_000_000]
+    frame = spark.createDataFrame([(i, m) for i, m in enumerate(micros)], "i int, m long")
+    rows = frame.select("i", iso_utc(F.timestamp_micros("m")).alias("text")).orderBy("i").collect()
+    assert [r.text for r in rows] == ["+56009-01-10T07:45:00Z", "1969-12-31T23:59:59Z", "0001-01-01T00:00:00Z", "+10000-01-01T00:00:00Z"]
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    class Master:
+        def __init__(self, master, folder=None):
+            self.sparkContext = type("Context", (), {"master": master})()
+            self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: folder)})()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch_dir(Master("spark://head:7077"), "x")
+    assert scratch_dir(Master("yarn", "hdfs:///shared/"), "x").startswith("hdfs:///shared/x-")
+    assert "/x-" in scratch_dir(Master("local[2]"), "x")
