@@ -304,13 +304,48 @@ UNION ALL SELECT 'syslog', count(*), count(*), min(time) FROM e WHERE level = 'F
 UNION ALL SELECT 'text', count(*), count(*), min(time) FROM t WHERE level = 'FATAL'
 """
     ),
+    "detect_hard_files": _events(
+        """
+SELECT 'my json' AS folder, count(*) AS n, count(*) FILTER (NOT broken) AS with_level FROM e
+UNION ALL SELECT 'text[1]', count(*), count(level) FROM t
+UNION ALL SELECT 'sys%20{log}#', count(*), count(level) FROM e
+UNION ALL SELECT 'late', count(*), count(level) FROM t
+"""
+    ),
+    "export_counts": _events(
+        """
+SELECT format, "case", CASE "case" WHEN 'none' THEN 0 WHEN 'limit' THEN least(5, matched) ELSE matched END AS exported,
+  total, warnings
+FROM (VALUES ('json'), ('csv'), ('raw')) AS f(format)
+CROSS JOIN (VALUES ('plain'), ('ordered'), ('limit'), ('none')) AS c("case")
+CROSS JOIN (SELECT count(*) AS total, count(*) FILTER (broken) AS warnings,
+  count(*) FILTER (level = 'ERROR' AND NOT broken) AS matched FROM e)
+"""
+    ),
+    "export_text_csv": _events("SELECT time AS timestamp, level, source, message FROM t WHERE level = 'FATAL'"),
+    "report_all_errors": _events(
+        f"""
+SELECT row_number() OVER (ORDER BY n DESC, error) - 1 AS place, error, n
+FROM (SELECT {_cut('message')} AS error, count(*) AS n FROM {_ERRORS} GROUP BY 1)
+"""
+    ),
+    "epoch_timestamps": """
+SELECT event_id AS line, CASE event_id % 4
+  WHEN 2 THEN regexp_replace(strftime(make_timestamp(CAST(epoch(date_trunc('second', ts)) AS BIGINT) * 1000000000), '%Y-%m-%dT%H:%M:%SZ'), '^([0-9]{5,})', '+\\1')
+  WHEN 3 THEN NULL ELSE strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') END AS time
+FROM events
+""",
     "stats_files": _events(
         """
-SELECT 'summary' AS facet, 'total_entries' AS key, count(*) AS n FROM e
-UNION ALL SELECT 'summary', 'matched_entries', count(*) FROM e WHERE kind = 'purchase'
-UNION ALL SELECT 'first_timestamp', min(time), NULL FROM e WHERE kind = 'purchase'
-UNION ALL SELECT 'last_timestamp', max(time), NULL FROM e WHERE kind = 'purchase'
-UNION ALL SELECT 'level', level, count(*) FROM e WHERE kind = 'purchase' GROUP BY level
+SELECT 'summary' AS facet, 'total_entries' AS key, count(*) AS n, CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max FROM e
+UNION ALL SELECT 'summary', 'matched_entries', count(*), NULL, NULL FROM e WHERE kind = 'purchase'
+UNION ALL SELECT 'first_timestamp', min(time), NULL, NULL, NULL FROM e WHERE kind = 'purchase'
+UNION ALL SELECT 'last_timestamp', max(time), NULL, NULL, NULL FROM e WHERE kind = 'purchase'
+UNION ALL SELECT 'level', level, count(*), NULL, NULL FROM e WHERE kind = 'purchase' GROUP BY level
+UNION ALL SELECT 'number', 'priority', count(*), min(priority), max(priority) FROM e WHERE kind = 'purchase'
+UNION ALL SELECT 'number', 'severity', count(*), min(priority % 8), max(priority % 8) FROM e WHERE kind = 'purchase'
+UNION ALL SELECT 'number', 'facility', count(*), min(priority // 8), max(priority // 8) FROM e WHERE kind = 'purchase'
+UNION ALL SELECT 'number', 'pid', count(*), min(user_id), max(user_id) FROM e WHERE kind = 'purchase'
 """
     ),
     "follow_filtered": _events("SELECT time, level, source, message FROM j WHERE kind = 'signup'"),

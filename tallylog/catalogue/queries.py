@@ -411,10 +411,71 @@ def analyze_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def detect_hard_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Awkward names and blank beginnings, in four formats, recognised together: entries per folder."""
+    facts = _facts(spark, sf)
+    root = scratch_dir(spark, "hard")
+    # names as paths hold them: a space, pattern characters, and what stands for a space in a URL
+    render.json_lines(facts).select("value").write.text(f"{root}/my json")
+    render.text_lines(facts).select("value").write.text(f"{root}/text[1]")
+    render.syslog_lines(facts).select("value").write.text(f"{root}/sys%20{{log}}#")
+    late = spark.range(12).selectExpr("id AS event_id", "'' AS value").unionByName(render.text_lines(facts).selectExpr("100 + line AS event_id", "value"))
+    late.repartition(1).sortWithinPartitions("event_id").select("value").write.text(f"{root}/late")
+    entries = open_logs(spark, f"{root}/*", default_year=YEAR).entries()
+    folder = F.url_decode(F.element_at(F.split("file", "/"), -2)).alias("folder")
+    return entries.groupBy(folder).agg(F.count(F.lit(1)).alias("n"), F.count("level").alias("with_level"))
+
+
+def export_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What the export job reports, for every format, in order, cut and with nothing to write."""
+    logs = open_logs(spark, _write_lines(render.json_lines(_facts(spark, sf)), "logs"), "json")
+    cases = {"plain": {}, "ordered": {"ordered": True}, "limit": {"limit": 5}, "none": {"search": "no such words"}}
+    rows = []
+    for fmt in ("json", "csv", "raw"):
+        for case, given in cases.items():
+            done = export(logs, scratch_dir(spark, "export"), fmt, **({"level": "ERROR"} | given))
+            rows.append((fmt, case, done.exported, done.total, done.warnings))
+    return spark.createDataFrame(rows, "format string, case string, exported long, total long, warnings long")
+
+
+def export_text_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Plain text, which has no fields, exported as CSV in order and read back with the place in the output."""
+    path = _write_lines(render.text_lines(_facts(spark, sf)), "logs")
+    target = scratch_dir(spark, "export")
+    export(open_logs(spark, path, "text"), target, "csv", level="FATAL", ordered=True)
+    back = spark.read.csv(target, header=True, escape='"')
+    return back.select("timestamp", "level", "source", "message")
+
+
+def report_all_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """All errors of the JSON report, with the place each has in it."""
+    target = scratch_dir(spark, "report")
+    write_report_json(report(json_entries(spark, sf), None, "", 0, 0), target)
+    parts = spark.read.text(target, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
+    whole = parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "value"))), lambda p: p["value"]), "").alias("value"))
+    errors = whole.select(F.from_json("value", "top_errors array<struct<value:string,count:long>>").alias("r"))
+    return errors.select(F.posexplode("r.top_errors").alias("place", "e")).select(F.col("place").cast("long").alias("place"), F.col("e.value").alias("error"), F.col("e.count").alias("n"))
+
+
+def epoch_timestamps(spark: SparkSession, sf: str) -> DataFrame:
+    """Epoch seconds whole, with a fraction, in milliseconds and in quotes, by event."""
+    seconds = F.unix_seconds(F.concat("second", F.lit("Z")).cast("timestamp")).cast("string")
+    style = F.col("event_id") % 4
+    time = (
+        F.when(style == 0, F.concat(F.lit('"ts":'), seconds))
+        .when(style == 1, F.concat(F.lit('"Time": '), seconds, F.lit(".75")))
+        .when(style == 2, F.concat(F.lit('"t":'), seconds, F.lit("000")))
+        .otherwise(F.concat(F.lit('"ts":"'), seconds, F.lit('"')))
+    )
+    value = F.concat(F.lit("{"), time, F.lit(',"event":'), F.col("event_id").cast("string"), F.lit("}"))
+    lines = _facts(spark, sf).select(F.lit("events").alias("file"), F.col("event_id").alias("line"), value.alias("value"))
+    return decode_json(lines).select("line", iso_utc(F.col("timestamp")).alias("time"))
+
+
 def stats_files(spark: SparkSession, sf: str) -> DataFrame:
     path = _write_lines(render.syslog_lines(_facts(spark, sf)), "logs")
     rows = stats(open_logs(spark, path, default_year=YEAR), search="purchase", top_errors=0)
-    return rows.where(F.col("facet") != "number").select("facet", "key", "n")
+    return rows.select("facet", "key", "n", "min", "max")
 
 
 def follow_filtered(spark: SparkSession, sf: str) -> DataFrame:
@@ -436,6 +497,11 @@ def stream_level_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "detect_hard_files": detect_hard_files,
+    "export_counts": export_counts,
+    "export_text_csv": export_text_csv,
+    "report_all_errors": report_all_errors,
+    "epoch_timestamps": epoch_timestamps,
     "parse_json_entries": parse_json_entries,
     "parse_text_entries": parse_text_entries,
     "parse_csv_entries": parse_csv_entries,
