@@ -302,6 +302,22 @@ SELECT 'json' AS folder, count(*) AS n, count(*) AS numbered, min(time) AS first
 UNION ALL SELECT 'csv', count(*), count(*), min(time) FROM j WHERE level = 'FATAL'
 UNION ALL SELECT 'syslog', count(*), count(*), min(time) FROM e WHERE level = 'FATAL'
 UNION ALL SELECT 'text', count(*), count(*), min(time) FROM t WHERE level = 'FATAL'
+"""
+    ),
+    "stream_report": _events(
+        f"""
+SELECT 'summary' AS facet, unnest(['total_entries', 'matched_entries']) AS key, count(*) AS n,
+  CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max FROM e
+UNION ALL SELECT 'first_timestamp', min(time), NULL, NULL, NULL FROM j
+UNION ALL SELECT 'last_timestamp', max(time), NULL, NULL, NULL FROM j
+UNION ALL SELECT 'level', level, count(*), NULL, NULL FROM j GROUP BY level
+UNION ALL SELECT 'group:source', source, count(*), NULL, NULL FROM j GROUP BY source
+UNION ALL SELECT 'ip', address, count(*), NULL, NULL FROM {_ADDRESSED} GROUP BY address
+UNION ALL SELECT 'error', {_cut('message')}, count(*), NULL, NULL FROM {_ERRORS} GROUP BY 2
+UNION ALL SELECT 'number', 'value', count(*), min(value), max(value) FROM j
+UNION ALL SELECT 'number', 'k', count(*), min(CAST(k AS DOUBLE)), max(CAST(k AS DOUBLE)) FROM j
+UNION ALL SELECT 'number', 'user_id', count(*), min(user_id), max(user_id) FROM j
+UNION ALL SELECT 'number', 'status', count(*), min(status), max(status) FROM j
 """
     ),
     "detect_hard_files": _events(

@@ -19,7 +19,7 @@ from tallylog.sinks.reports import write_report_csv, write_report_json
 from tallylog.sources.decode import decode_csv, decode_json, decode_syslog, decode_text
 from tallylog.sources.detect import detect_formats
 from tallylog.sources.logs import open_logs
-from tallylog.streaming.follow import follow, running_level_counts, start_query
+from tallylog.streaming.follow import follow, running_level_counts, running_report, start_query
 
 YEAR = 2024
 
@@ -496,7 +496,17 @@ def stream_level_counts(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(target)
 
 
+def stream_report(spark: SparkSession, sf: str) -> DataFrame:
+    path = _write_lines(render.json_lines(_facts(spark, sf)), "arriving")
+    running = running_report(follow(spark, path, "json"), "source", with_ips=True)
+    target = scratch_dir(spark, "running")
+    writer = start_query(running, "complete", available_now=True)
+    writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(target)).start().awaitTermination()
+    return spark.read.parquet(target).select("facet", "key", "n", "min", "max")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "stream_report": stream_report,
     "detect_hard_files": detect_hard_files,
     "export_counts": export_counts,
     "export_text_csv": export_text_csv,

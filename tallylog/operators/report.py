@@ -27,13 +27,13 @@ def report(
     ``error``, and ``number`` (statistics of numeric fields). ``rank`` is set for facets cut to their
     first n. All of it is one scan, one shuffle of partial aggregates, and one of the results by rank.
     """
-    totals = _facet_totals(entries, predicate, group_by.lower(), top_ips > 0)
+    totals = facet_totals(entries, predicate, group_by.lower(), top_ips > 0)
     bounds = {"ip": top_ips, "error": top_errors}
     ranked = _rank(totals, {facet: n for facet, n in bounds.items() if n > 0})
-    return _with_summary_rows(ranked)
+    return with_summary_rows(ranked)
 
 
-def _facet_totals(entries: DataFrame, predicate: Column | None, group_by: str, with_ips: bool) -> DataFrame:
+def facet_totals(entries: DataFrame, predicate: Column | None, group_by: str, with_ips: bool) -> DataFrame:
     """Partial figures per (facet, key).
 
     Each entry becomes the array [entry itself, level, group, address, error, field 1, field 2, ...],
@@ -118,7 +118,7 @@ def _rank(totals: DataFrame, bounds: dict[str, int]) -> DataFrame:
     return ranked.where(~bounded | (F.col("rank") <= bound)).withColumn("rank", F.when(bounded, F.col("rank")))
 
 
-def _with_summary_rows(ranked: DataFrame) -> DataFrame:
+def with_summary_rows(ranked: DataFrame) -> DataFrame:
     """Turn the summary row into counts and times, and drop the figures that a facet lacks."""
     is_summary, is_number = F.col("facet") == "summary", F.col("facet") == "number"
 

@@ -1,5 +1,5 @@
 """Continuous processing with Structured Streaming."""
 
-from tallylog.streaming.follow import follow, running_counts, running_level_counts, start_query
+from tallylog.streaming.follow import follow, running_counts, running_level_counts, running_report, start_query
 
-__all__ = ["follow", "running_counts", "running_level_counts", "start_query"]
+__all__ = ["follow", "running_counts", "running_level_counts", "running_report", "start_query"]

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from tallylog.functions.fields import entry_field
 from tallylog.functions.text import absent_if_empty, non_blank
 from tallylog.operators.filters import build_filter
+from tallylog.operators.report import facet_totals, with_summary_rows
 from tallylog.plans.scratch import scratch_dir
 from tallylog.sources.decode import CSV_OPTIONS, csv_entries, csv_schema, decode
 from tallylog.sources.detect import parse_format
@@ -76,6 +77,14 @@ def running_level_counts(entries: DataFrame) -> DataFrame:
     return running_counts(entries, "level").withColumnRenamed("value", "level")
 
 
+def running_report(entries: DataFrame, group_by: str = "", with_ips: bool = False) -> DataFrame:
+    """The whole report as a running one, in update or complete mode: levels, group, addresses, errors, numeric
+    statistics, counts and first and last time. State is one row per figure, so nothing is ranked or cut.
+    """
+    totals = facet_totals(entries, None, group_by.lower(), with_ips)
+    return with_summary_rows(totals.withColumn("rank", F.lit(None).cast("int"))).drop("rank")
+
+
 def start_query(
     entries: DataFrame, mode: str = "append", checkpoint: str | None = None, available_now: bool = False
 ) -> DataStreamWriter:
