@@ -172,9 +172,14 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     """Fits the field on a bounded sample of labelled documents that are not held out."""
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    texts = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(marked, "doc_id")
-    # the whole text decides between rows that share a doc_id, so the sample does not depend on their order
-    rows = texts.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(SAMPLE).collect()
+    short = docs.where(F.length("text") <= SAMPLE_CHARS)
+    # ids first: texts are read for the sample alone
+    ids = short.select("doc_id").distinct().join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    chosen = docs.sparkSession.createDataFrame(ids.collect(), "doc_id long, quality int")
+    rows = short.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
+    # rows that share a doc_id: the first text
+    texts = {row.doc_id: row for row in sorted(rows, key=lambda row: row.text, reverse=True)}
+    rows = [texts[doc] for doc in sorted(texts)]
     return fit([row.text for row in rows], [int(row.quality) for row in rows])
 
 
