@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallylog.functions.text import fence
 from tallylog.llm.common import checked, lower_ascii, words_of, written
 
 SHINGLE = 5
@@ -67,7 +68,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = written(items.select(F.explode("item_shingles").alias("h"), "n").groupBy("h").agg(F.collect_set("n").alias("lengths")), "item-shingles")
     widths = sorted(row[0] for row in items.select(F.least("n", F.lit(SHINGLE))).distinct().collect())
 
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("of"), words_of(lower_ascii(F.col("text"))).alias("w"))
+    # fenced: a filter above must not split the texts again
+    texts = fence(docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("of"), words_of(lower_ascii(F.col("text"))).alias("w")), "w")
     by_width = [
         texts.where(F.size("w") >= width).select("doc_id", "of", F.size("w").alias("words"), F.lit(width).alias("width"), F.posexplode(F.expr(_shingle("w", width))).alias("at", "h"))
         for width in widths or [SHINGLE]

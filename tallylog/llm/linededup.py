@@ -1,17 +1,18 @@
 """Line deduplication as an exact set-similarity join, with DataFrame operations only.
 
-A line is the set of its lower-cased words. Of two lines whose sets have a Jaccard similarity of THRESHOLD or more, the later
-one (by doc_id, then line number) goes; a line goes if any earlier line matches it, whether or not that one stays.
+The tokens of a line are its distinct SHINGLE-word shingles. Of two lines whose sets have a Jaccard similarity of PERCENT or
+more, the later one (by doc_id, then line number) goes; a line goes if any earlier line matches it, whether or not that stays.
 
-1. Word frequencies, added up in BUCKETS buckets of word hashes, give every word a rarity level: a table of BUCKETS bytes.
-   The order of words (level, then hash) is the same in all lines, which is all that exactness asks of it.
+1. Token frequencies, added up in BUCKETS buckets of token hashes, give every token a rarity level: a table of BUCKETS bytes.
+   The order of tokens (level, then hash) is the same in all lines, which is all that exactness asks of it.
 2. Equal sets are grouped (partial aggregation first); the earliest line stands for its set.
-3. Representatives send out the rarest words of their prefix: two sets that reach the threshold share one. Around a word,
-   each line meets the earliest line there; what that confirms needs no other partner. Only lines without a match, in groups
-   of several lines, are joined with the earlier ones of the group, under length and positional filters.
+3. Representatives send out the rarest tokens of their prefix: two sets that reach the threshold share one. Tokens that only
+   one line sends out are dropped after a count. Around a token, each line meets the earliest line there; what that confirms
+   needs no other partner. Only lines without a match are joined with the earlier ones of their tokens, under length and
+   positional filters.
 4. Candidates are verified on the whole sets.
 
-Defined cases: lines of fewer than MIN_WORDS words stay and match nothing; null texts have no line and come back null; a text
+Defined cases: lines of fewer than SHINGLE words stay and match nothing; null texts have no line and come back null; a text
 all of whose lines go comes back empty; rows that share doc_id and text are one document and lose the same lines. All columns
 of the documents come back as they were, but for the text.
 """
@@ -21,40 +22,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallylog.functions.text import fence
 from tallylog.llm.common import WORD_BREAK, checked, written
 
-PERCENT = 80
-MIN_WORDS = 5
+SHINGLE = 5
+PERCENT = 75
 BUCKETS = 1 << 16
 #: Levels per doubling of a frequency; a level must stay below 64.
 STEPS = 2
 
 
-def _hashes(line: Column) -> Column:
-    """Hashes of the distinct words of a line."""
-    words = F.filter(F.split(F.lower(line), WORD_BREAK), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+def _words(line: str) -> Column:
+    """The words of a line. Lines with nothing but spaces between words take the short way."""
+    other = F.when(F.col(line).rlike(r"[\x09\x0B-\x0D]|  "), F.regexp_replace(line, WORD_BREAK, " ")).otherwise(F.col(line))
+    return F.array_remove(F.split(other, " "), "")
+
+
+def _hashes(words: str) -> Column:
+    """Hashes of the shingles of a sequence of words, as often as they occur; none if it is too short."""
+    at = ", ".join(f"element_at({words}, i + {k})" for k in range(SHINGLE))
+    shingles = F.expr(f"transform(sequence(1, size({words}) - {SHINGLE - 1}), i -> xxhash64({at}))")
+    return F.when(F.size(words) >= SHINGLE, shingles)
 
 
 def rarity_levels(docs: DataFrame) -> bytes:
-    """A level per bucket of word hashes, from the frequencies in all texts: BUCKETS bytes, whatever the input."""
-    words = docs.select(F.explode(F.split(F.lower("text"), WORD_BREAK)).alias("w")).where("w <> ''")
-    sums = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("bucket")).count()
+    """A level per bucket of token hashes, from the frequencies in all lines: BUCKETS bytes, whatever the input."""
+    words = fence(_lines(docs).select(_words("line").alias("w")), "w")
+    tokens = words.select(F.explode(_hashes("w")).alias("h"))
+    sums = tokens.groupBy(F.pmod("h", F.lit(BUCKETS)).alias("bucket")).count()
     levels = bytearray(BUCKETS)
     for row in sums.select("bucket", F.least(F.lit(63), F.floor(STEPS * F.log2(F.col("count") + 1))).alias("level")).collect():
         levels[row.bucket] = row.level
     return bytes(levels)
 
 
-def _tokens(line: Column, levels: bytes) -> Column:
-    """The words of a line as numbers, rarest first: six bits of level, then the hash."""
-    table = F.lit(levels)
+def _tokens(lines: DataFrame, levels: bytes) -> DataFrame:
+    """``lines`` with tokens for line: sorted numbers, rarest first (six bits of level, then the hash), null if too few words."""
+    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<tinyint>")  # a constant, folded once
 
     def token(h: Column) -> Column:
-        level = F.ascii(F.substring(table, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
+        level = F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int"))
         return F.shiftleft(level.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
-    return F.sort_array(F.transform(_hashes(line), token))
+    keys = [c for c in lines.columns if c != "line"]
+    # fenced: a filter above must not copy the splitting of a line into each of its tokens
+    words = fence(lines.select(*keys, _words("line").alias("w")), "w")
+    hashed = words.select(*keys, F.array_distinct(_hashes("w")).alias("h"))
+    return fence(hashed.select(*keys, F.sort_array(F.transform("h", token)).alias("tokens")), "tokens")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -70,30 +84,32 @@ def _enough(shared: str, one: str, two: str) -> str:
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """doc_id, seq of every line to be removed from ``docs`` (doc_id, text)."""
     levels = rarity_levels(docs)
-    sets = _lines(docs).select("doc_id", "seq", _tokens(F.col("line"), levels).alias("tokens")).withColumn("n", F.size("tokens")).where(f"n >= {MIN_WORDS}")
-    # n - ceil(n * t) + 1 words: a set that shares none of them falls short of the threshold
+    sets = _tokens(_lines(docs), levels).where("tokens IS NOT NULL").withColumn("n", F.size("tokens"))
+    # n - ceil(n * t) + 1 tokens: a set that shares none of them falls short of the threshold
     prefix = f"slice(tokens, 1, n - CAST(ceil(n * {PERCENT} / 100D) AS int) + 1)"
     brief = sets.selectExpr("doc_id", "seq", "n", f"{prefix} AS prefix", "aggregate(tokens, 0L, (a, x) -> xxhash64(a, x)) AS of_set")
     brief = written(brief, "lines")
 
     first = brief.groupBy("of_set", "n").agg(F.min(F.struct("doc_id", "seq")).alias("head"))
-    first = written(first, "line-sets")
-    same = brief.select("of_set", "n", "doc_id", "seq").join(first, ["of_set", "n"]).where("head.doc_id <> doc_id OR head.seq <> seq")
-    heads = brief.join(first.selectExpr("of_set", "n", "head.doc_id AS doc_id", "head.seq AS seq"), ["of_set", "n", "doc_id", "seq"], "left_semi")
-
-    ranked = heads.selectExpr("doc_id", "seq", "n", "posexplode(prefix) AS (pos, token)")
+    first = written(first.select("of_set", "n", "head.doc_id", "head.seq"), "line-sets")
+    heads_of = first.withColumnsRenamed({"doc_id": "head_doc", "seq": "head_seq"})
+    same = brief.select("of_set", "n", "doc_id", "seq").join(heads_of, ["of_set", "n"]).where("head_doc <> doc_id OR head_seq <> seq")
+    heads = brief.join(first, ["of_set", "n", "doc_id", "seq"], "left_semi")
+
+    sent = heads.select(F.explode("prefix").alias("token")).groupBy("token").count()
+    shared = checked(written(sent.where("count > 1").select("token"), "line-shared"))
+    led = heads.selectExpr("doc_id", "seq", "n", "posexplode(prefix) AS (pos, token)").join(shared, "token", "left_semi")
     around = "PARTITION BY token ORDER BY doc_id, seq"
-    led = ranked.selectExpr("*", f"first(struct(doc_id, seq, n, pos)) OVER ({around}) AS lead", f"row_number() OVER ({around}) AS place")
-    # positional filter: behind a shared word at places i and j at most min(n - i, m - j) words can be shared
+    led = led.selectExpr("*", f"first(struct(doc_id, seq, n, pos)) OVER ({around}) AS lead", f"row_number() OVER ({around}) AS place")
+    # positional filter: behind a shared token at places i and j at most min(n - i, m - j) tokens can be shared
     reach = _enough("least(n - pos, lead.n - lead.pos)", "n", "lead.n")
-    led = led.where("place > 1 AND (lead.doc_id <> doc_id OR lead.seq <> seq)").selectExpr("doc_id", "seq", "n", "pos", "token", "lead", "place", f"{reach} AS near")
-    led = written(led, "line-led")
-    pairs = led.where("near").select("doc_id", "seq", F.col("lead.doc_id").alias("to_doc"), F.col("lead.seq").alias("to_seq")).distinct()
+    led = written(led.selectExpr("doc_id", "seq", "n", "pos", "token", "lead.doc_id AS to_doc", "lead.seq AS to_seq", "place", f"{reach} AS near"), "line-led")
+    pairs = led.where("place > 1 AND near AND (to_doc <> doc_id OR to_seq <> seq)").select("doc_id", "seq", "to_doc", "to_seq").distinct()
     led_found = written(_verified(docs, levels, written(pairs, "line-pairs")), "line-found")
 
-    # those without a match: against all earlier lines of the groups they are in
-    rest = led.where("place > 2").join(led_found, ["doc_id", "seq"], "left_anti").selectExpr("doc_id", "seq", "n", "pos", "token")
-    earlier = led.selectExpr("doc_id AS to_doc", "seq AS to_seq", "n AS to_n", "pos AS to_pos", "token")
+    # those without a match: against all earlier lines around their tokens
+    rest = led.where("place > 2").join(led_found, ["doc_id", "seq"], "left_anti").select("doc_id", "seq", "n", "pos", "token")
+    earlier = led.selectExpr("doc_id AS to_doc", "seq AS to_seq", "n AS to_n", "pos AS to_pos", "token", "place").where("place > 1").drop("place")
     joined = rest.join(
         earlier,
         (rest["token"] == earlier["token"])
@@ -109,8 +125,7 @@ def _verified(docs: DataFrame, levels: bytes, pairs: DataFrame) -> DataFrame:
     ends = pairs.select("doc_id", "seq").unionByName(pairs.select(F.col("to_doc").alias("doc_id"), F.col("to_seq").alias("seq"))).distinct()
     ends = written(ends, "line-ends")
     some = docs.join(checked(ends.select("doc_id").distinct()), "doc_id", "left_semi")
-    sets = _lines(some).join(checked(ends), ["doc_id", "seq"], "left_semi").select("doc_id", "seq", _tokens(F.col("line"), levels).alias("tokens")).distinct()
-    sets = written(sets, "line-tokens")
+    sets = written(_tokens(_lines(some).join(checked(ends), ["doc_id", "seq"], "left_semi"), levels), "line-tokens").dropDuplicates(["doc_id", "seq"])
     both = pairs.join(sets, ["doc_id", "seq"]).join(sets.selectExpr("doc_id AS to_doc", "seq AS to_seq", "tokens AS to_tokens"), ["to_doc", "to_seq"])
     shared = both.withColumn("shared", F.size(F.array_intersect("tokens", "to_tokens")))
     return shared.where(_enough("shared", "size(tokens)", "size(to_tokens)")).select("doc_id", "seq").distinct()

@@ -60,10 +60,10 @@ def contaminated_pairs(docs: list[tuple[int, str | None]], items: list[tuple[int
     return out
 
 
-def deduped_lines(docs: list[tuple[int, str | None]], percent: int = 80, least: int = 5) -> dict[int, str | None]:
+def deduped_lines(docs: list[tuple[int, str | None]], percent: int = 75, least: int = 5) -> dict[int, str | None]:
     """Texts without the lines that match an earlier one; doc_ids must differ."""
-    seen: list[set[str]] = []
-    by_word: dict[str, list[int]] = {}
+    seen: list[set[tuple[str, ...]]] = []
+    by_word: dict[tuple[str, ...], list[int]] = {}
     out = {}
     for doc, text in sorted(docs):
         if text is None:
@@ -71,10 +71,10 @@ def deduped_lines(docs: list[tuple[int, str | None]], percent: int = 80, least:
             continue
         kept = []
         for line in text.split("\n"):
-            own = set(words(line.lower()))
-            if len(own) < least:
+            if len(words(line)) < least:
                 kept.append(line)
                 continue
+            own = set(shingles(words(line)))
             shared = Counter(k for w in own for k in by_word.get(w, ()))
             if not any(100 * n >= percent * (len(own) + len(seen[k]) - n) for k, n in shared.items()):
                 kept.append(line)
