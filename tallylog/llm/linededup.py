@@ -8,8 +8,8 @@ more, the later one (by doc_id, then line number) goes; a line goes if any earli
 2. Equal sets are grouped (partial aggregation first); the earliest line stands for its set.
 3. Representatives send out the rarest tokens of their prefix: two sets that reach the threshold share one. Tokens that only
    one line sends out are dropped after a count. Around a token, each line meets the earliest line there; what that confirms
-   needs no other partner. Only lines without a match are joined with the earlier ones of their tokens, under length and
-   positional filters.
+   needs no other partner. Only lines without a match are joined with the earlier ones of their tokens, under length,
+   positional and parity filters, none of which can lose a match.
 4. Candidates are verified on the whole sets.
 
 Defined cases: lines of fewer than SHINGLE words stay and match nothing; null texts have no line and come back null; a text
@@ -30,6 +30,8 @@ PERCENT = 75
 BUCKETS = 1 << 16
 #: Levels per doubling of a frequency; a level must stay below 64.
 STEPS = 2
+#: Shared tokens that are broadcast together: single numbers, some 30 bytes each in memory.
+SHARED_ROWS = 4_000_000
 
 
 def _words(line: str) -> Column:
@@ -77,6 +79,11 @@ def _lines(docs: DataFrame) -> DataFrame:
     return numbered.select("doc_id", F.shiftleft(F.col("no").cast("long"), 31).bitwiseOR(F.shiftrightunsigned("of", 33)).alias("seq"), "line")
 
 
+def _parity(half: int) -> str:
+    """64 of 128 bits: a bit is set if an odd number of tokens falls on it."""
+    return f"aggregate(filter(tokens, x -> (x & 64L) = {64 * half}L), 0L, (a, x) -> a ^ shiftleft(1L, CAST(x & 63L AS int)))"
+
+
 def _enough(shared: str, one: str, two: str) -> str:
     return f"100 * {shared} >= {PERCENT} * ({one} + {two} - {shared})"
 
@@ -87,7 +94,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     sets = _tokens(_lines(docs), levels).where("tokens IS NOT NULL").withColumn("n", F.size("tokens"))
     # n - ceil(n * t) + 1 tokens: a set that shares none of them falls short of the threshold
     prefix = f"slice(tokens, 1, n - CAST(ceil(n * {PERCENT} / 100D) AS int) + 1)"
-    brief = sets.selectExpr("doc_id", "seq", "n", f"{prefix} AS prefix", "aggregate(tokens, 0L, (a, x) -> xxhash64(a, x)) AS of_set")
+    brief = sets.selectExpr("doc_id", "seq", "n", f"{prefix} AS prefix", "aggregate(tokens, 0L, (a, x) -> xxhash64(a, x)) AS of_set", *(f"{_parity(k)} AS parity_{k}" for k in (0, 1)))
     brief = written(brief, "lines")
 
     first = brief.groupBy("of_set", "n").agg(F.min(F.struct("doc_id", "seq")).alias("head"))
@@ -97,7 +104,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     heads = brief.join(first, ["of_set", "n", "doc_id", "seq"], "left_semi")
 
     sent = heads.select(F.explode("prefix").alias("token")).groupBy("token").count()
-    shared = checked(written(sent.where("count > 1").select("token"), "line-shared"))
+    shared = checked(written(sent.where("count > 1").select("token"), "line-shared"), SHARED_ROWS)
     led = heads.selectExpr("doc_id", "seq", "n", "posexplode(prefix) AS (pos, token)").join(shared, "token", "left_semi")
     around = "PARTITION BY token ORDER BY doc_id, seq"
     led = led.selectExpr("*", f"first(struct(doc_id, seq, n, pos)) OVER ({around}) AS lead", f"row_number() OVER ({around}) AS place")
@@ -108,13 +115,20 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     led_found = written(_verified(docs, levels, written(pairs, "line-pairs")), "line-found")
 
     # those without a match: against all earlier lines around their tokens
-    rest = led.where("place > 2").join(led_found, ["doc_id", "seq"], "left_anti").select("doc_id", "seq", "n", "pos", "token")
-    earlier = led.selectExpr("doc_id AS to_doc", "seq AS to_seq", "n AS to_n", "pos AS to_pos", "token", "place").where("place > 1").drop("place")
+    parities = heads.select("doc_id", "seq", "parity_0", "parity_1")
+    marked = led.where("place > 1").join(parities, ["doc_id", "seq"]).select("doc_id", "seq", "n", "pos", "token", "place", "parity_0", "parity_1")
+    marked = written(marked.distinct(), "line-marked")
+    rest = marked.where("place > 2").join(led_found, ["doc_id", "seq"], "left_anti").drop("place")
+    earlier = marked.selectExpr("doc_id AS to_doc", "seq AS to_seq", "n AS to_n", "pos AS to_pos", "token", "parity_0 AS to_parity_0", "parity_1 AS to_parity_1")
+    # every token that one set has alone flips one of 128 bits, and sets that reach the threshold have few of those
+    apart = "bit_count(parity_0 ^ to_parity_0) + bit_count(parity_1 ^ to_parity_1)"
+    alone = f"n + to_n - 2 * CAST(ceil({PERCENT} * (n + to_n) / {100 + PERCENT}D) AS int)"
     joined = rest.join(
         earlier,
         (rest["token"] == earlier["token"])
         & F.expr("(to_doc < doc_id OR (to_doc = doc_id AND to_seq < seq))")
-        & F.expr(_enough("least(n - pos, to_n - to_pos)", "n", "to_n")),
+        & F.expr(_enough("least(n - pos, to_n - to_pos)", "n", "to_n"))
+        & F.expr(f"{apart} <= {alone}"),
     )
     more = written(joined.select("doc_id", "seq", "to_doc", "to_seq").distinct(), "line-pairs")
     return same.select("doc_id", "seq").unionByName(led_found).unionByName(_verified(docs, levels, more)).distinct()
