@@ -35,13 +35,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # some hundred documents at a time, and ids only if asked for: workers share the executor's memory
+        for batch in (whole.slice(at, 250) for whole in batches for at in range(0, whole.num_rows, 250)):
             rows: list[tuple] = []
             ids = batch.column("doc_id").to_pylist()
             for doc, data in zip(ids, batches_of((x.as_py() for x in batch.column("text")), end_id, tokenizer), strict=True):
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
-                    rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part))
+                    rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
             yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
