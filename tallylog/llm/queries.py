@@ -47,7 +47,7 @@ def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
-    cleaned = dedup_lines(docs)
+    cleaned = dedup_lines(docs, by_words=True)
     return cleaned.select("doc_id", "text", "n_lines", F.length("text").cast("long").alias("n_chars_kept"))
 
 
