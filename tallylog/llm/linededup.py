@@ -13,7 +13,8 @@ more, the later one (by doc_id, then line number) goes; a line goes if any earli
    positional and parity filters, none of which can lose a match.
 4. Candidates are verified on the whole sets.
 
-Defined cases: lines of fewer than SHINGLE words stay and match nothing; null texts have no line and come back null; a text
+Defined cases: by words, a line of 1 to SHINGLE - 1 words matches the lines of the same words in the same order, and lines
+without words stay; by shingles, lines of fewer than SHINGLE words stay and match nothing; null texts have no line and come back null; a text
 all of whose lines go comes back empty; rows that share doc_id and text are one document and lose the same lines. All columns
 of the documents come back as they were, but for the text.
 """
@@ -42,9 +43,13 @@ def _words(line: str) -> Column:
 
 
 def _hashes(words: str, by_words: bool) -> Column:
-    """Hashes of the words or shingles of a sequence of words, as often as they occur; none if it is too short."""
+    """Hashes of the words or shingles of a sequence of words, as often as they occur; none if it is too short.
+
+    By words, a sequence shorter than SHINGLE is one token as a whole.
+    """
     if by_words:
-        return F.when(F.size(words) >= SHINGLE, F.transform(words, lambda w: F.xxhash64(w)))
+        whole = F.array(F.xxhash64(F.size(words), F.array_join(words, " ")))
+        return F.when(F.size(words) >= SHINGLE, F.transform(words, lambda w: F.xxhash64(w))).when(F.size(words) > 0, whole)
     at = ", ".join(f"element_at({words}, i + {k})" for k in range(SHINGLE))
     shingles = F.expr(f"transform(sequence(1, size({words}) - {SHINGLE - 1}), i -> xxhash64({at}))")
     return F.when(F.size(words) >= SHINGLE, shingles)
@@ -110,6 +115,8 @@ def duplicate_lines(docs: DataFrame, by_words: bool = False) -> DataFrame:
     same = brief.select("of_set", "n", "doc_id", "seq").join(heads_of, ["of_set", "n"]).where("head_doc <> doc_id OR head_seq <> seq")
     heads = brief.join(first, ["of_set", "n", "doc_id", "seq"], "left_semi")
 
+    # one or two tokens match nothing but an equal set
+    heads = heads.where("n > 2")
     sent = heads.select(F.explode("prefix").alias("token")).groupBy("token").count()
     shared = checked(written(sent.where("count > 1").select("token"), "line-shared"), SHARED_ROWS)
     led = heads.selectExpr("doc_id", "seq", "n", "posexplode(prefix) AS (pos, token)").join(shared, "token", "left_semi")

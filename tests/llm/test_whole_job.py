@@ -38,3 +38,9 @@ def test_lines_match_by_lower_cased_words(spark):
     got = {r.doc_id: r.text for r in rows}
     assert got == _without_similar(docs)
     assert got[50_000] == "" and got[50_001] == "alone " * 6 + "\nAlone x y z w"
+
+
+def test_short_lines_go_when_repeated(spark):
+    docs = [(1, "All rights reserved.\n\nfoo\nb a\na b c d"), (2, "all RIGHTS  reserved.\n\n \nfoo foo foo foo foo\na b\na b c d"), (3, "Foo\na b c\nd c b a")]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), by_words=True).collect()}
+    assert got == {1: docs[0][1], 2: "\n \nfoo foo foo foo foo\na b", 3: "a b c\nd c b a"}
