@@ -10,7 +10,8 @@ often each occurs; words are split at white space and lower-cased in A-Z.
 2. The other windows get a 64-bit SimHash of their words. All fingerprints of items of that length within RADIUS are found by
    a multi-index: 8 blocks of 8 bits; of two fingerprints at most 15 bits apart some block differs in one bit or none, so items
    are filed under every block value and its eight neighbours and windows look up their own eight.
-3. Pairs within the radius are verified by the exact weighted similarity.
+3. Pairs within the radius are verified by the exact weighted similarity. Those of the remaining windows and items that lie
+   further apart but share shingles are verified as exactly, from the shingles they share: no window is left to the radius.
 
 Defined cases: null, empty and blank texts, and items without words, match nothing; repeated items and documents are found
 each; ties of similarity go to the earliest window. Rows that share a doc_id but not the text are told apart by the text.
@@ -62,6 +63,21 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return items.select("item_id", F.size("w").alias("n"), _shingles("w").alias("item_shingles"), F.expr(_fingerprint("w")).alias("item_print"))
 
 
+def _counted(shingles: str) -> str:
+    """A row per distinct shingle, with how often it occurs."""
+    return f"inline(transform(array_distinct({shingles}), x -> named_struct('h', x, 'times', size(filter({shingles}, y -> y = x)))))"
+
+
+def _beyond(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, start, shared and total of windows and items that share shingles and lie beyond the radius."""
+    by_item = items.selectExpr("item_id", "n AS item_n", "item_print", "xxhash64(item_shingles) AS item_of", _counted("item_shingles"))
+    by_item = written(by_item.withColumnsRenamed({"h": "item_h", "times": "item_times"}).distinct(), "item-counts")
+    own = windows.selectExpr("doc_id", "of", "n", "start", "print", "size(shingles) AS size", _counted("shingles"))
+    both = own.join(checked(by_item), (F.col("h") == F.col("item_h")) & (F.col("n") == F.col("item_n")) & F.expr(f"bit_count(print ^ item_print) > {RADIUS}"))
+    shared = both.groupBy("doc_id", "of", "start", "size", "item_id", "item_of").agg(F.sum(F.least("times", "item_times")).alias("shared"))
+    return shared.selectExpr("doc_id", "item_id", "start", "shared", "2 * size - shared AS total")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity and word_start of the best window for every document and item that match."""
     items = written(benchmark_items(benchmark), "items")
@@ -88,9 +104,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     at = at.select("doc_id", "of", words_of(lower_ascii(F.col("text"))).alias("words"), "places").distinct()
     # cut the windows out before they become rows: a row never repeats the document
     cut = "inline(transform(places, p -> named_struct('n', p.n, 'start', p.start, 'w', slice(words, p.start + 1, p.n))))"
-    windows = at.selectExpr("doc_id", cut)
+    windows = at.selectExpr("doc_id", "of", cut)
     windows = windows.withColumn("w_hashes", F.transform("w", lambda x: F.xxhash64(x)))
-    windows = windows.select("doc_id", "n", "start", _shingles("w").alias("shingles"), F.expr(_fingerprint("w")).alias("print"))
+    windows = windows.select("doc_id", "of", "n", "start", _shingles("w").alias("shingles"), F.expr(_fingerprint("w")).alias("print"))
+    windows = written(windows, "prints")
 
     blocks = "posexplode(transform(sequence(0, 7), b -> shiftright(print, 8 * b) & 255L)) AS (block, value)"
     filed = items.selectExpr("item_id", "n AS item_n", "item_shingles", "item_print", blocks.replace("print", "item_print").replace("value)", "own)"))
@@ -102,5 +119,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     pairs = near.dropDuplicates(["doc_id", "start", "item_id", "print"])
     shared = pairs.withColumn("shared", F.expr(_weighted_similarity("shingles", "item_shingles"))).withColumn("total", F.expr("size(shingles) + size(item_shingles)") - F.col("shared"))
+    shared = shared.select("doc_id", "item_id", "start", "shared", "total").unionByName(_beyond(windows, items))
     best = shared.where(f"100 * shared >= {PERCENT} * total").groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("shared") / F.col("total")).alias("similarity"), (-F.col("start")).alias("back"))).alias("b"))
     return best.selectExpr("doc_id", "item_id", "b.similarity AS similarity", "CAST(-b.back AS bigint) AS word_start")

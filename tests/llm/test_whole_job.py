@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from tallylog.llm import linededup
+from tallylog.llm import decontaminate, linededup
 from tests.llm import helpers
 from tests.llm.test_operators import SF_DIR, _edited
 
@@ -44,3 +44,13 @@ def test_short_lines_go_when_repeated(spark):
     docs = [(1, "All rights reserved.\n\nfoo\nb a\na b c d"), (2, "all RIGHTS  reserved.\n\n \nfoo foo foo foo foo\na b\na b c d"), (3, "Foo\na b c\nd c b a")]
     got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), by_words=True).collect()}
     assert got == {1: docs[0][1], 2: "\n \nfoo foo foo foo foo\na b", 3: "a b c\nd c b a"}
+
+
+def test_benchmark_items_with_a_new_end_are_found(spark):
+    rng = random.Random(11)
+    items = [(k, [f"q{rng.randrange(3000)}" for _ in range(39)]) for k in range(400)]
+    docs = [(k, " ".join(own[:34] + [f"z{rng.randrange(3000)}" for _ in range(5)])) for k, own in items]
+    items = [(k, " ".join(own)) for k, own in items]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + items[:9], "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.similarity for r in found.collect()}
+    assert got == {(k, k): 0.75 for k, _ in items} == helpers.contaminated_pairs(docs, items)
