@@ -8,7 +8,8 @@ sets is estimated by counting equal bits, corrected for chance agreement; bands
 3. Representatives that share a band key with the smallest one in its bucket form candidate clusters (linear in rows: a
    bucket gives a star, never all its pairs).
 4. A cluster is cut into blocks of at most 2 x BLOCK texts (each pair of blocks meets once), so no task holds a cluster. In
-   a block a pair whose estimate is within reach is confirmed on the full sets; a pair already connected needs no test.
+   a block a pair whose estimate is within reach, or one with a set of fewer than SMALL shingles and sizes within reach, is
+   confirmed on the full sets; a pair already connected needs no test.
 5. Components of the confirmed links.
 
 Nulls, empty and blank texts have an empty set and no link. A text of fewer words than a shingle is one shingle. Rows that
@@ -32,8 +33,10 @@ PERCENT = 75
 MINIMA, BANDS, BITS = 128, 32, 2
 #: Texts of one side of a block.
 BLOCK = 256
-#: An estimate so many standard errors below the threshold rules a pair out (chance below 1e-6 for a true link).
+#: An estimate so many standard errors below the threshold rules a pair out (chance below 1e-6 for a true link). That takes
+#: agreement by chance averaged over many minima; in a set of fewer than SMALL shingles few make all of them.
 SIGMAS = 5
+SMALL = 32
 
 _rng = np.random.RandomState(20240501)
 _XOR = _rng.randint(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -159,14 +162,17 @@ def _cut() -> float:
     return PERCENT / 100 - SIGMAS * (agree * (1 - agree) / MINIMA) ** 0.5 / (1 - chance)
 
 
-def block_links(ids: list[int], sides: list[int], packed: list[bytes], words: list[np.ndarray], same: bool) -> list[tuple[int, int]]:
+def block_links(ids: list[int], sides: list[int], sizes: list[int], packed: list[bytes], words: list[np.ndarray], same: bool) -> list[tuple[int, int]]:
     """Confirmed links of a block, as a forest: enough links to connect whatever is connected within it."""
     order = sorted(range(len(ids)), key=lambda i: (sides[i], ids[i]))
     ids, packed, words = [ids[i] for i in order], [packed[i] for i in order], [words[i] for i in order]
+    counts = np.array([sizes[i] for i in order], np.int64)
     border = sum(1 for i in order if sides[i] == 0) if not same else len(ids)
     bits = np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(ids), -1), axis=1).reshape(len(ids), BITS, MINIMA)
     left, right = (bits, bits) if same else (bits[:border], bits[border:])
-    near = _agreement(left, right) >= _cut()
+    rows, columns = (counts, counts) if same else (counts[:border], counts[border:])
+    least, most = np.minimum.outer(rows, columns), np.maximum.outer(rows, columns)
+    near = ((_agreement(left, right) >= _cut()) | (least < SMALL)) & (100 * least >= PERCENT * most)
     if same:
         near = np.triu(near, 1)
     sets: dict[int, set[int]] = {}
@@ -189,8 +195,6 @@ def block_links(ids: list[int], sides: list[int], packed: list[bytes], words: li
         if (rx := root(x)) == (ry := root(y)):
             continue
         one, two = held(x), held(y)
-        if 100 * min(len(one), len(two)) < PERCENT * max(len(one), len(two)):
-            continue
         shared = len(one & two)
         if 100 * shared >= PERCENT * (len(one) + len(two) - shared):
             parent[rx] = ry
@@ -200,7 +204,7 @@ def block_links(ids: list[int], sides: list[int], packed: list[bytes], words: li
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of equal (cluster, i, j), sorted; yields the links of each."""
-    key, held = None, ([], [], [], [])
+    key, held = None, ([], [], [], [], [])
     out: list[tuple[int, int]] = []
 
     def close() -> None:
@@ -214,12 +218,12 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         values, offsets = _lists(batch.column("words"))
-        columns = [batch.column(name).to_pylist() for name in ("cluster", "i", "j", "doc_id", "side", "signature")]
-        for row, (cluster, i, j, doc, side, signature) in enumerate(zip(*columns, strict=True)):
+        columns = [batch.column(name).to_pylist() for name in ("cluster", "i", "j", "doc_id", "side", "n_shingles", "signature")]
+        for row, (cluster, i, j, doc, side, size, signature) in enumerate(zip(*columns, strict=True)):
             if (cluster, i, j) != key:
                 close()
-                key, held = (cluster, i, j), ([], [], [], [])
-            for part, value in zip(held, (doc, side, signature, values[offsets[row] : offsets[row + 1]].copy()), strict=True):
+                key, held = (cluster, i, j), ([], [], [], [], [])
+            for part, value in zip(held, (doc, side, size, signature, values[offsets[row] : offsets[row + 1]].copy()), strict=True):
                 part.append(value)
         if out:
             yield flush()
@@ -237,16 +241,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies = members.where("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
 
     chosen = classes.select(F.col("class").alias("doc_id"), "set_a", "set_b")
-    heads = filled.join(chosen, ["doc_id", "set_a", "set_b"], "left_semi").select("doc_id", "set_a", "signature", "bands")
+    heads = filled.join(chosen, ["doc_id", "set_a", "set_b"], "left_semi").select("doc_id", "set_a", "n_shingles", "signature", "bands")
     keys = heads.select("doc_id", F.explode("bands").alias("band"))
     stars = keys.withColumn("leader", F.expr("first(doc_id) OVER (PARTITION BY band ORDER BY doc_id)"))
     clusters = written(components(stars.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))), "clusters")
 
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = written(clusters.join(sizes, "component").join(heads.withColumnRenamed("doc_id", "node"), "node").selectExpr("node AS doc_id", "set_a", "signature", "component AS cluster", "blocks", "CAST(pmod(xxhash64(node, set_a), blocks) AS int) AS block").dropDuplicates(["doc_id", "set_a"]), "placed")
+    placed = written(clusters.join(sizes, "component").join(heads.withColumnRenamed("doc_id", "node"), "node").selectExpr("node AS doc_id", "set_a", "n_shingles", "signature", "component AS cluster", "blocks", "CAST(pmod(xxhash64(node, set_a), blocks) AS int) AS block").dropDuplicates(["doc_id", "set_a"]), "placed")
     # the words of a row follow only if the row is a representative: its id and fingerprint-free text may repeat, which is harmless
     texts = hashed_words(docs.select("doc_id", "text").join(checked(placed.select("doc_id").distinct()), "doc_id", "left_semi"))
-    dealt = placed.join(texts, "doc_id").selectExpr("*", "explode(sequence(0, blocks - 1)) AS other").selectExpr("cluster", "least(block, other) AS i", "greatest(block, other) AS j", "doc_id", "IF(block <= other, 0, 1) AS side", "signature", "words")
+    dealt = placed.join(texts, "doc_id").selectExpr("*", "explode(sequence(0, blocks - 1)) AS other").selectExpr("cluster", "least(block, other) AS i", "greatest(block, other) AS j", "doc_id", "IF(block <= other, 0, 1) AS side", "n_shingles", "signature", "words")
     links = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_confirm, "a long, b long")
 
     found = written(components(copies.unionByName(links)), "components")

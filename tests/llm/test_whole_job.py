@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from tallylog.llm import decontaminate, linededup
+import numpy as np
+
+from tallylog.llm import decontaminate, linededup, neardup
 from tests.llm import helpers
 from tests.llm.test_operators import SF_DIR, _edited
 
@@ -54,3 +56,21 @@ def test_benchmark_items_with_a_new_end_are_found(spark):
     found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + items[:9], "item_id long, text string"))
     got = {(r.doc_id, r.item_id): r.similarity for r in found.collect()}
     assert got == {(k, k): 0.75 for k, _ in items} == helpers.contaminated_pairs(docs, items)
+
+
+def test_small_sets_lose_no_link(spark):
+    rng = random.Random(8)
+    hashes = [r.h for r in spark.range(2000).selectExpr("id", "xxhash64(concat('w', id)) AS h").orderBy("id").collect()]
+    hashes = np.array(hashes, np.int64)
+    rows, links = [], 0
+    for _ in range(20_000):
+        own = [rng.randrange(2000) for _ in range(8)]
+        two = [neardup.minima(neardup.shingle_set(hashes[own[:k]])) for k in (7, 8)]
+        bits = [np.unpackbits(np.frombuffer(neardup._signature(m), np.uint8)).reshape(1, neardup.BITS, -1) for m in two]
+        # 3 of 4 shingles shared: ruled out by the estimate, though a band brings them together
+        if neardup._agreement(*bits)[0, 0] < neardup._cut() and set(neardup._band_keys(two[0])) & set(neardup._band_keys(two[1])):
+            rows += [(2 * links, " ".join(f"w{k}" for k in own[:7])), (2 * links + 1, " ".join(f"w{k}" for k in own))]
+            links += 1
+    assert links
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k - k % 2 for k in range(2 * links)} == helpers.near_duplicate_components(rows)
