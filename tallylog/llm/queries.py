@@ -16,6 +16,7 @@ from tallylog.llm.decontaminate import contaminated
 from tallylog.llm.linededup import dedup_lines
 from tallylog.llm.neardup import near_duplicates
 from tallylog.llm.packing import pack, token_pieces
+from tallylog.llm.repair import repair
 from tallylog.llm.rules import judged
 from tallylog.llm.tokenfile import token_ids
 from tallylog.llm.urls import judged as judged_urls
@@ -69,6 +70,29 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with faults planted by the crc32 of ``conv_id:turn``: dropped, emptied, without end marks, repeated, or said by user."""
+    case = "crc32(encode(concat(coalesce(CAST(conv_id AS string), ' '), ':', coalesce(CAST(turn AS string), ' ')), 'UTF-8')) % 20"
+    rows = turns.selectExpr("conv_id", "turn", "coalesce(role, ' ') AS role", "coalesce(text, ' ') AS text", f"{case} AS fault")
+    return rows.selectExpr(
+        "conv_id",
+        "turn",
+        "IF(fault = 4, 'user', role) AS role",
+        "CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text",
+        "explode(array_repeat(0, CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy",
+    ).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = repair(damaged(turns)).drop("path", "n_turns")
+    all_ids = turns.select(F.col("conv_id").alias("id")).distinct()
+    whole = all_ids.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(name, F.lit(0).cast("long")).alias(name) for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit(""), 256)
+    return whole.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_best_fit": op1_pack_best_fit,
     "op2_chat_perspectives": op2_chat_perspectives,
@@ -80,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_url_language_models": op9_url_language_models,
     "op10_wrapper_induction": op10_wrapper_induction,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
