@@ -18,6 +18,7 @@ from tallylog.llm.neardup import near_duplicates
 from tallylog.llm.packing import pack, token_pieces
 from tallylog.llm.repair import repair
 from tallylog.llm.rules import judged
+from tallylog.llm.spelling import changed, corpus_words, variants
 from tallylog.llm.tokenfile import token_ids
 from tallylog.llm.urls import judged as judged_urls
 from tallylog.llm.wrapper import main_text
@@ -70,6 +71,10 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(corpus_words(table(spark, sf_dir, "documents"), changed))
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """Turns with faults planted by the crc32 of ``conv_id:turn``: dropped, emptied, without end marks, repeated, or said by user."""
     case = "crc32(encode(concat(coalesce(CAST(conv_id AS string), ' '), ':', coalesce(CAST(turn AS string), ' ')), 'UTF-8')) % 20"
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_url_language_models": op9_url_language_models,
     "op10_wrapper_induction": op10_wrapper_induction,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -153,5 +159,47 @@ WITH RECURSIVE texts AS (
 )
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept
 FROM sets s JOIN least_of m ON s.doc_id = m.doc_id
+""",
+    "op12_spelling_variants": """
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256))::BIGINT AS i))
+), runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents)
+  GROUP BY ALL
+), bytes AS (
+  SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM runs
+), hashed AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(range(1, length(h), 2), lambda i: CAST('0x' || h[i:i + 1] AS BIGINT))),
+      lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS code
+  FROM bytes, crc_table
+), words AS (
+  SELECT CASE WHEN code % 97 = 0 THEN left(run, (code % length(run))::INT) || substr(run, (code % length(run))::INT + 2) ELSE run END AS word,
+    CAST(sum(times) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(times) >= 3
+), cut AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)
+), pairs AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, n, count(*) AS n_near, min({'less': -other_n, 'other': other}) AS usual FROM pairs GROUP BY word, n
+), forms AS (
+  SELECT word, n_near, CASE WHEN -usual.less >= 2 * n THEN usual.other END AS form, CASE WHEN -usual.less >= 2 * n THEN -usual.less END AS form_n
+  FROM best
+), ways(word, root, steps) AS (
+  SELECT word, form, 1 FROM forms WHERE form IS NOT NULL
+  UNION ALL
+  SELECT w.word, f.form, steps + 1 FROM ways w JOIN forms f ON w.root = f.word WHERE f.form IS NOT NULL
+), led AS (
+  SELECT word, max_by(root, steps) AS root FROM ways GROUP BY word
+)
+SELECT w.word, f.form, coalesce(l.root, w.word) AS root, w.n, coalesce(f.n_near, 0) AS n_near, f.form_n
+FROM words w LEFT JOIN forms f ON w.word = f.word LEFT JOIN led l ON w.word = l.word
 """,
 }
