@@ -19,6 +19,7 @@ from tallylog.llm.packing import pack, token_pieces
 from tallylog.llm.repair import repair
 from tallylog.llm.rules import judged
 from tallylog.llm.spelling import changed, corpus_words, variants
+from tallylog.llm.suffix import without_repeats
 from tallylog.llm.tokenfile import token_ids
 from tallylog.llm.urls import judged as judged_urls
 from tallylog.llm.wrapper import main_text
@@ -71,6 +72,19 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = without_repeats(docs, keep_first=False)
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return rows.select(
+        "doc_id",
+        n_bytes.alias("n_bytes"),
+        (n_bytes - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(corpus_words(table(spark, sf_dir, "documents"), changed))
 
@@ -109,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_url_language_models": op9_url_language_models,
     "op10_wrapper_induction": op10_wrapper_induction,
+    "op11_suffix_array_dedup": op11_suffix_array_dedup,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -159,6 +174,32 @@ WITH RECURSIVE texts AS (
 )
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept
 FROM sets s JOIN least_of m ON s.doc_id = m.doc_id
+""",
+    "op11_suffix_array_dedup": """
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), strings AS (
+  SELECT rid, pos, md5(substr(h, 2 * pos + 1, 800)) AS digest
+  FROM (SELECT rid, h, unnest(range(0, length(h) // 2 - 399)) AS pos FROM texts)
+), repeated AS (
+  SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY digest) AS n FROM strings) WHERE n > 1
+), ends AS (
+  SELECT rid, pos, pos + 400 AS after, lag(pos + 400) OVER (PARTITION BY rid ORDER BY pos) AS before FROM repeated
+), runs AS (
+  SELECT rid, pos, after, count(*) FILTER (before IS NULL OR before < pos) OVER (PARTITION BY rid ORDER BY pos) AS run FROM ends
+), spans AS (
+  SELECT rid, run, min(pos) AS start, max(after) AS stop FROM runs GROUP BY rid, run
+), kept AS (
+  SELECT rid, start, stop, coalesce(lag(stop) OVER w, 0) AS since, lead(start) OVER w AS next FROM spans WINDOW w AS (PARTITION BY rid ORDER BY start)
+), cut AS (
+  SELECT k.rid, CAST(sum(stop - start) AS BIGINT) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * since + 1, 2 * (start - since)), '' ORDER BY start)
+      || max(CASE WHEN next IS NULL THEN substr(h, 2 * stop + 1) ELSE '' END) AS h
+  FROM kept k JOIN texts t ON k.rid = t.rid GROUP BY k.rid
+)
+SELECT t.doc_id, length(t.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(c.h, t.h))) AS kept_sha256
+FROM texts t LEFT JOIN cut c ON t.rid = c.rid
 """,
     "op12_spelling_variants": """
 WITH RECURSIVE crc_table AS (
