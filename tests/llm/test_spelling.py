@@ -67,15 +67,14 @@ def test_every_edit_leaves_a_sent_gram_alone():
         words = ["".join(rng.choice("ab") for _ in range(rng.randrange(5, 10))) for _ in range(30)]
         held = Counter(m[k : k + size] for m in map(spelling._marked, words) for size in (2, 3, 4) for k in range(len(m) - size + 1))
         frequent = {gram for gram, n in held.items() if n > trial}
+        levels = rng.randbytes(spelling.BUCKETS)
         for word in words[:6]:
-            own = spelling.sent_grams(word, frequent)
+            own = spelling.sent_grams(word, frequent, levels)
             assert len(own) <= len(spelling.grams(word, frequent))
-            lists = {(len(word), f"{len(g)}<{spelling._marked(word)[: at + len(g)]}") for at, g in own}
-            lists |= {(len(word), f"{len(g)}>{spelling._marked(word)[at:]}") for at, g in own}
+            lists = set(spelling.lists_of(word, own))
             for other in edits(word, "abc"):
-                sent = spelling.sent_grams(other, frequent)
-                theirs = {f"{len(g)}<{spelling._marked(other)[: at + len(g)]}" for at, g in sent} | {f"{len(g)}>{spelling._marked(other)[at:]}" for at, g in sent}
-                assert theirs & {name for _, name in lists}, (word, other)
+                assert lists & set(spelling.lists_of(other, spelling.sent_grams(other, frequent, levels))), (word, other)
+                assert (spelling.letter_parities(word) ^ spelling.letter_parities(other)).bit_count() <= 2
 
 
 def test_awkward_documents(spark):
@@ -91,5 +90,6 @@ def test_awkward_documents(spark):
 def test_dictionary_is_bounded(spark):
     words = spark.range(3000).selectExpr("concat('word', lpad(CAST(id AS string), 4, '0')) AS word", "3L AS n")
     words = words.selectExpr("translate(word, '0123456789', 'abcdefghij') AS word", "n")
-    assert len(spelling.frequent_grams(words, 1, 40)) <= 40
+    counts = spelling.gram_counts(words)
+    assert len(spelling.frequent_grams(counts, 1, 40)) <= 40 < len(spelling.frequent_grams(counts, 1, 4000))
     assert queries.ORACLES["op12_spelling_variants"]
