@@ -42,8 +42,8 @@ GRAM = 64
 #: Distinct runs of one anchor that are compared in one suffix array, at most.
 GROUP = 512
 #: Bytes of a suffix array, about; and bytes of a text that are hashed at a time.
-BATCH = 1 << 20
-PIECE = 1 << 20
+BATCH = 1 << 19
+PIECE = 1 << 19
 #: Starts per block where an anchor has too many runs, round by round.
 BLOCKS = (64, 8, 1)
 #: Bytes whose order starts the prefix doubling (9 bits each in a 64-bit number).
@@ -303,11 +303,12 @@ def _cut(batches: Iterator[pa.RecordBatch], schema: pa.Schema, length: int, bloc
 
 
 def _with_bytes(runs: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """``runs`` with the bytes they cover."""
-    ids = checked(written(runs.select(F.col("doc_id").alias("i"), F.col("of").alias("o"), "at", "starts", "reach", "token", "same"), "runs-to-cut"), 200_000)
-    texts = docs.select("doc_id", "of", F.encode("text", "UTF-8").alias("whole"))
-    joined = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("of") == F.col("o")))
-    return joined.selectExpr("doc_id", "of", "at", "starts", "reach", "token", "same", f"substring(whole, CAST(at AS int) + 1, starts - 1 + {length}) AS bytes")
+    """``runs`` with the bytes they cover. Texts and runs are shuffled at every size: both grow with the corpus."""
+    lists = runs.groupBy("doc_id", "of").agg(F.collect_list(F.struct("at", "starts", "reach", "token", "same")).alias("runs"))
+    lists = lists.select(F.col("doc_id").alias("i"), F.col("of").alias("o"), "runs")
+    texts = docs.select("doc_id", "of", "text").join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("of") == F.col("o")))
+    each = texts.select("doc_id", "of", F.encode("text", "UTF-8").alias("whole"), F.explode("runs").alias("run"))
+    return each.selectExpr("doc_id", "of", "run.*", f"substring(whole, CAST(run.at AS int) + 1, run.starts - 1 + {length}) AS bytes")
 
 
 def _arrow(df: DataFrame, shape: str) -> pa.Schema:
@@ -388,11 +389,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tr
     """``docs`` with ``spans`` (maximal removed runs of bytes, in order) and ``kept`` (the bytes that stay)."""
     found = repeated_spans(docs, length, keep_first, **bounds)
     lists = found.groupBy("doc_id", "of").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    lists = checked(written(lists.selectExpr("doc_id AS span_id", "of AS span_of", "spans"), "removed-spans"), 200_000)
+    lists = lists.selectExpr("doc_id AS span_id", "of AS span_of", "spans")
     plain = docs.drop("spans", "kept")
     keys = F.struct(*(F.col(c) for c in plain.columns)).alias("row")
     rows = plain.select(keys, F.xxhash64("text").alias("of"))
-    joined = rows.join(lists, F.col("row.doc_id").eqNullSafe(F.col("span_id")) & (F.col("of") == F.col("span_of")), "left").select("row.*", "spans")
+    joined = rows.join(lists.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("span_id")) & (F.col("of") == F.col("span_of")), "left").select("row.*", "spans")
     shape = joined.withColumn("kept", F.lit(b""))
     schema = to_arrow_schema(shape.schema)
     return joined.mapInArrow(lambda batches: _removed(batches, schema), shape.schema)
