@@ -3,7 +3,7 @@
 from tallylog.operators import build_filter, report
 from tallylog.plans import ExportResult, aggregate, analyze, export, stats, tail_logs
 from tallylog.sources import LogSource, detect_formats, open_logs, parse_warnings, read_logs
-from tallylog.streaming import follow
+from tallylog.streaming import follow, follow_appended
 
 __all__ = [
     "ExportResult",
@@ -14,6 +14,7 @@ __all__ = [
     "detect_formats",
     "export",
     "follow",
+    "follow_appended",
     "open_logs",
     "parse_warnings",
     "read_logs",

@@ -257,6 +257,33 @@ SELECT source AS file, event_id AS line FROM (
 ) WHERE back <= 1200
 """
     ),
+    "head_files": _events(
+        """
+, placed AS (
+  SELECT source AS service, message, level = 'WARN' AND NOT broken AS fits, row_number() OVER (PARTITION BY source ORDER BY event_id) AS line
+  FROM e
+), found AS (
+  SELECT *, row_number() OVER (ORDER BY service, line) AS place FROM placed WHERE fits
+)
+SELECT n, service, line, message FROM found JOIN (SELECT unnest([20, 5000])::INT AS n) ON place <= n
+"""
+    ),
+    "tail_files": _events(
+        """
+SELECT service, row_number() OVER (PARTITION BY service ORDER BY event_id DESC) AS back, level, message
+FROM (SELECT *, source AS service FROM e) QUALIFY back <= 1200 AND level = 'INFO'
+"""
+    ),
+    "file_order": _events(
+        """
+SELECT source AS service, row_number() OVER (PARTITION BY source ORDER BY event_id) AS place,
+  '<' || priority || '>' || strftime(ts, '%b %-d %H:%M:%S') || ' ' || source || ' events[' || user_id || ']: ' || message AS raw
+FROM e WHERE level = 'ERROR'
+"""
+    ),
+    "follow_appended": _events(
+        "SELECT time, level, source, message FROM j WHERE event_id % 3 <> 0 AND level = 'WARN' AND contains(message, 'purchase')"
+    ),
     "export_json_roundtrip": _events(
         """
 SELECT time AS timestamp, level, source, message, CAST(value AS VARCHAR) AS value,

@@ -12,14 +12,17 @@ from tallylog.functions import iso_utc, normalize_level, parse_timestamp
 from tallylog.functions.fields import folded_keys
 from tallylog.operators import aggregates, filters, limits
 from tallylog.operators.report import report
-from tallylog.plans.jobs import analyze, export, stats
+from tallylog.plans.jobs import analyze, export, stats, tail_logs
 from tallylog.plans.scratch import scratch_dir
 from tallylog.sinks.entries import listing_lines, write_parquet
 from tallylog.sinks.reports import write_report_csv, write_report_json
 from tallylog.sources.decode import decode_csv, decode_json, decode_syslog, decode_text
 from tallylog.sources.detect import detect_formats
+from tallylog.sources.lines import read_lines
 from tallylog.sources.logs import open_logs
+from tallylog.sources.ranges import open_file
 from tallylog.streaming.follow import follow, running_level_counts, running_report, start_query
+from tallylog.streaming.follow import follow_appended as follow_growing
 
 YEAR = 2024
 
@@ -304,6 +307,47 @@ def tail_large(spark: SparkSession, sf: str) -> DataFrame:
     return limits.tail(entries, 1200).select("file", "line")
 
 
+def _file_per_source(lines: DataFrame, facts: DataFrame, name: str) -> str:
+    """A folder with one file per service, its lines in the order of the events."""
+    path = scratch_dir(lines.sparkSession, name)
+    rows = lines.select("line", "value").join(facts.select(F.col("event_id").alias("line"), "source"), "line")
+    placed = rows.repartition("source").sortWithinPartitions("source", "line")
+    placed.select("source", "value").write.partitionBy("source").text(path)
+    return path
+
+
+_SERVICE = F.regexp_extract("file", "source=([^/]+)/", 1)
+
+
+def head_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 20 and the first 5,000 matches over the files in their order, with service and line number."""
+    facts = _facts(spark, sf)
+    logs = open_logs(spark, _file_per_source(render.json_lines(facts), facts, "head"), "json")
+    rows = [analyze(logs, level="WARN", limit=n).select(F.lit(n).alias("n"), _SERVICE.alias("service"), "line", "message") for n in (20, 5000)]
+    return rows[0].unionByName(rows[1])
+
+
+def tail_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The last 1,200 lines of every file and of those the informative ones, with their place from the end."""
+    facts = _facts(spark, sf)
+    logs = open_logs(spark, _file_per_source(render.syslog_lines(facts), facts, "tail"), "syslog", default_year=YEAR)
+    last = tail_logs(logs, 1200)
+    back = F.row_number().over(Window.partitionBy("file").orderBy(F.col("pos").desc()))
+    return last.select(_SERVICE.alias("service"), back.cast("long").alias("back"), "level", "message").where("level = 'INFO'")
+
+
+def file_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw lines exported in file order, with the place each has among the lines of its service in the output."""
+    facts = _facts(spark, sf)
+    logs = open_logs(spark, _file_per_source(render.syslog_lines(facts), facts, "order"), "syslog", default_year=YEAR)
+    target = scratch_dir(spark, "export")
+    export(logs, target, "raw", level="ERROR", ordered=True)
+    back = read_lines(spark, target).select(F.element_at(F.split("file", "/"), -1).alias("part"), "pos", "value")
+    service = F.regexp_extract("value", r" (svc-\d+) ", 1)
+    place = F.row_number().over(Window.partitionBy(service).orderBy("part", "pos"))
+    return back.select(service.alias("service"), place.cast("long").alias("place"), F.col("value").alias("raw"))
+
+
 # --- Sinks ----------------------------------------------------------------------------------------
 
 
@@ -487,6 +531,55 @@ def follow_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(target)
 
 
+def _grow(rows: DataFrame, root: str, before: bytes = b"", after: bytes = b"\n") -> None:
+    """Append ``value`` to the file of each ``source`` in the order of ``line``, as the services would."""
+
+    def append(batches):
+        files = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                name = row["source"]
+                if name not in files:
+                    system, path = open_file(f"{root}/{name}.log")
+                    files[name] = system.open_append_stream(path)
+                    files[name].write(before)
+                else:
+                    files[name].write(b"\n")
+                files[name].write(row["value"].encode())
+            yield batch.slice(0, 0)
+        for file in files.values():
+            file.write(after)
+            file.close()
+
+    placed = rows.select("source", "line", "value").repartition("source").sortWithinPartitions("source", "line")
+    placed.mapInArrow(append, placed.schema).count()
+
+
+def follow_appended(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches among lines appended to known files while a stream runs; what was there before is not delivered.
+
+    The first lot ends in the middle of a line, as far as the stream can tell, and the second goes on from there.
+    """
+    facts = _facts(spark, sf)
+    lines = render.json_lines(facts).join(facts.select(F.col("event_id").alias("line"), "source"), "line")
+    root, target = scratch_dir(spark, "growing"), scratch_dir(spark, "followed")
+    system, path = open_file(root)
+    system.create_dir(path)
+    _grow(lines.where("line % 3 = 0"), root)
+    entries = follow_growing(spark, root, "json", search="purchase", level="warn")
+    rows = entries.select(iso_utc(F.col("timestamp")).alias("time"), "level", "source", "message")
+    running = start_query(rows).format("parquet").option("path", target).start()
+    try:
+        running.processAllAvailable()
+        _grow(lines.where("line % 3 = 1"), root, after=b"")
+        running.processAllAvailable()
+        _grow(lines.where("line % 3 = 2"), root, before=b"\n")
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.read.schema(rows.schema).parquet(target)
+
+
 def stream_level_counts(spark: SparkSession, sf: str) -> DataFrame:
     path = _write_lines(render.syslog_lines(_facts(spark, sf)), "arriving")
     counts = running_level_counts(follow(spark, path, "syslog", default_year=YEAR))
@@ -544,6 +637,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "head_limit": head_limit,
     "tail_n": tail_n,
     "tail_large": tail_large,
+    "head_files": head_files,
+    "tail_files": tail_files,
+    "file_order": file_order,
+    "follow_appended": follow_appended,
     "export_json_roundtrip": export_json_roundtrip,
     "export_csv_roundtrip": export_csv_roundtrip,
     "export_raw_roundtrip": export_raw_roundtrip,

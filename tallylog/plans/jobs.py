@@ -36,9 +36,13 @@ def analyze(
     """Matching entries, the first ``limit`` in file order when it is positive.
 
     Line numbers are joined to the rows that remain, and cost one more counting scan. With a limit the result is in
-    file order; the sort comes last, since a join keeps none.
+    file order; the sort comes last, since a join keeps none. Files of lines are then read from the first on, in growing
+    groups, and no further than the limit needs; CSV, compressed and mixed input is scanned.
     """
     chosen = build_filter(search, filters, level, regex, time_from, time_to, where)
+    found = logs.first(limit, chosen.on_raw, chosen.on_entry, line_numbers) if limit > 0 else None
+    if found is not None:
+        return found[0]
     entries = head(select_entries(logs, chosen), limit)
     if not line_numbers:
         return entries
@@ -83,9 +87,13 @@ def tail_logs(
 ) -> DataFrame:
     """The last n non-blank lines of every file, then the filter; or, with ``filter_first``, the last n matches.
 
-    Unless the filter comes first, only the last lines are decoded.
+    Unless the filter comes first, only the last lines are decoded, and without line numbers only the ends of the files
+    are read (CSV and compressed files are scanned).
     """
     chosen = build_filter(search=search, level=level).predicate
+    ends = None if filter_first or line_numbers else logs.tail(n)
+    if ends is not None:
+        return in_file_order(ends.where(chosen))
     if filter_first:
         rows = last_rows(logs.entries().where(chosen), n)
     else:

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from tallylog.functions.text import non_blank, trim_space
 from tallylog.model import ENTRY_SCHEMA
-from tallylog.operators.limits import last_rows
+from tallylog.operators.limits import head, in_file_order, last_rows
+from tallylog.plans.scratch import written
 from tallylog.sources.decode import csv_entries, csv_header, decode
 from tallylog.sources.detect import detect_formats, file_heads, listed_files, literal_path, parse_format
 from tallylog.sources.lines import block_offsets, number_rows, read_lines, read_records
+from tallylog.sources.ranges import growing_windows, read_windows, tail_lines, windows_frame
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,46 @@ class LogSource:
         parts = [self._branch_entries(branch, raw_filter, keep_rejected, last) for branch in self.branches]
         return self._union(parts) if parts else self.spark.createDataFrame([], ENTRY_SCHEMA)
 
+    def tail(self, n: int) -> DataFrame | None:
+        """The last n lines of every file, decoded; only the ends of the files are read. None where that cannot be."""
+        parts = []
+        for branch in self.branches:
+            lines = None if branch.fmt == "csv" else tail_lines(self.spark, branch.paths, n)
+            if lines is None:
+                return None
+            parts.append(decode(lines, branch.fmt, default_year=self.default_year))
+        return self._union(parts) if parts else None
+
+    def first(
+        self, n: int, raw_filter: Column | None = None, on_entry: Column | None = None, line_numbers: bool = True
+    ) -> tuple[DataFrame, list[tuple[str, int, int]]] | None:
+        """The first n matching entries in file order, and the windows of the files that were read for them.
+
+        Files are decoded from the first on, in growing groups, until n matches are in. None where ranges cannot be read.
+        """
+        if len(self.branches) != 1 or self.branches[0].fmt == "csv":
+            return None
+        branch = self.branches[0]
+        groups = growing_windows(self.spark, branch.paths)
+        if groups is None:
+            return None
+        kept, used, left = [], [], n
+        for group in groups:
+            used += group
+            lines = read_windows(windows_frame(self.spark, group)).where(non_blank(F.col("value")))
+            if raw_filter is not None:
+                lines = lines.withColumn("raw", F.col("value")).where(raw_filter).drop("raw")
+            entries = decode(lines, branch.fmt, default_year=self.default_year)
+            entries = entries if on_entry is None else entries.where(on_entry)
+            kept.append(written(head(entries, left), "head"))
+            left -= kept[-1].count()
+            if left <= 0:
+                break
+        rows = self._union(kept) if kept else self.spark.createDataFrame([], ENTRY_SCHEMA)
+        if line_numbers and used:
+            rows = number_rows(rows, block_offsets(read_windows(windows_frame(self.spark, used))))
+        return in_file_order(rows), used
+
     def number(self, entries: DataFrame) -> DataFrame:
         """Fill ``line`` with the line number in the file (for CSV, the record number; the header is 1)."""
         if not self.branches:

@@ -16,6 +16,7 @@ from tallylog.plans.scratch import scratch_dir
 from tallylog.sources.decode import CSV_OPTIONS, csv_entries, csv_schema, decode
 from tallylog.sources.detect import parse_format
 from tallylog.sources.lines import stream_lines
+from tallylog.streaming.appended import appended_lines
 
 
 def follow(
@@ -57,6 +58,28 @@ def follow(
     return entries if chosen.on_entry is None else entries.where(chosen.on_entry)
 
 
+def follow_appended(
+    spark: SparkSession,
+    path: str,
+    fmt: str,
+    search: str = "",
+    level: str = "",
+    from_end: bool = True,
+    header: list[str] | None = None,
+    default_year: int | None = None,
+) -> DataFrame:
+    """Stream of matching entries from lines appended to files, known ones and new ones.
+
+    By default it starts at the end of the files that are there. A file that is truncated or replaced is read from its
+    start. ``path`` is a file, a directory or a pattern for names, in a store that Arrow opens.
+    """
+    lines = appended_lines(spark, path, from_end)
+    if parse_format(fmt) == "csv":
+        # the header is the first line of a file
+        lines = lines.where((F.col("pos.block") > 0) | (F.col("pos.seq") > 0))
+    return follow(spark, path, fmt, search, level, header=header, default_year=default_year, lines=lines)
+
+
 def _since(rows: DataFrame, since: dt.datetime | None) -> DataFrame:
     if since is None:
         return rows
