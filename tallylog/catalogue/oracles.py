@@ -323,10 +323,26 @@ FROM e
         + " UNION ALL SELECT 'number', unnest(['value', 'k', 'user_id', 'status']), count(*) FROM j"
     ),
     "report_csv_sections": _events(_SECTIONS),
+    "csv_multiline_files": _events(
+        """
+SELECT CASE WHEN NOT broken THEN time END AS time, CASE WHEN NOT broken THEN level END AS level,
+  CASE WHEN NOT broken THEN source END AS source,
+  CASE WHEN NOT broken THEN message || CASE WHEN event_id % 3 = 0 THEN chr(10) || 'and, "more"' ELSE '' END END AS message,
+  CASE WHEN NOT broken THEN CAST(status AS VARCHAR) END AS status,
+  CASE WHEN broken THEN 'wrong number of fields' END AS parse_error
+FROM e
+"""
+    ),
+    "export_csv_wide": _events(
+        """
+SELECT 'key-' || event_id AS key, row_number() OVER (ORDER BY 'key-' || event_id) AS place, event_id // 50 AS line, 'v, ' || event_id AS value
+FROM e
+"""
+    ),
     "analyze_files": _events(
         """
 SELECT 'json' AS folder, count(*) AS n, count(*) AS numbered, min(time) AS first_time FROM j WHERE level = 'FATAL'
-UNION ALL SELECT 'csv', count(*), count(*), min(time) FROM j WHERE level = 'FATAL'
+UNION ALL SELECT unnest(['csv', 'quoted']), count(*), count(*), min(time) FROM j WHERE level = 'FATAL'
 UNION ALL SELECT 'syslog', count(*), count(*), min(time) FROM e WHERE level = 'FATAL'
 UNION ALL SELECT 'text', count(*), count(*), min(time) FROM t WHERE level = 'FATAL'
 """
@@ -365,7 +381,10 @@ CROSS JOIN (SELECT count(*) AS total, count(*) FILTER (broken) AS warnings,
   count(*) FILTER (level = 'ERROR' AND NOT broken) AS matched FROM e)
 """
     ),
-    "export_text_csv": _events("SELECT time AS timestamp, level, source, message FROM t WHERE level = 'FATAL'"),
+    "export_text_csv": _events(
+        "SELECT time AS timestamp, level, source, message, row_number() OVER (PARTITION BY regexp_extract(message, 'by user ([0-9]+)', 1) ORDER BY line) AS place"
+        " FROM t WHERE level = 'FATAL'"
+    ),
     "report_all_errors": _events(
         f"""
 SELECT row_number() OVER (ORDER BY n DESC, error) - 1 AS place, error, n

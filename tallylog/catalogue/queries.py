@@ -14,13 +14,14 @@ from tallylog.operators import aggregates, filters, limits
 from tallylog.operators.report import report
 from tallylog.plans.jobs import analyze, export, stats, tail_logs
 from tallylog.plans.scratch import scratch_dir
-from tallylog.sinks.entries import listing_lines, write_parquet
+from tallylog.sinks.entries import listing_lines, write_csv, write_parquet
 from tallylog.sinks.reports import write_report_csv, write_report_json
 from tallylog.sources.decode import decode_csv, decode_json, decode_syslog, decode_text
 from tallylog.sources.detect import detect_formats
 from tallylog.sources.lines import read_lines
 from tallylog.sources.logs import open_logs
 from tallylog.sources.ranges import open_file
+from tallylog.sources.records import csv_record_lines
 from tallylog.streaming.follow import follow, running_level_counts, running_report, start_query
 from tallylog.streaming.follow import follow_appended as follow_growing
 
@@ -434,6 +435,43 @@ def report_csv_sections(spark: SparkSession, sf: str) -> DataFrame:
 # --- Jobs and streams -----------------------------------------------------------------------------
 
 
+def _csv_files(lines: DataFrame, path: str) -> str:
+    """Lines of CSV as files that each begin with the header."""
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    header = ",".join(render.CSV_HEADER) + "\n"
+    lines.select(F.when(first, F.concat(F.lit(header), "value")).otherwise(F.col("value")).alias("value")).write.text(path)
+    return path
+
+
+def csv_multiline_files(spark: SparkSession, sf: str) -> DataFrame:
+    """CSV files with line breaks, commas and quotes inside quotes and broken rows, read in small splits; rejected rows too."""
+    facts = _facts(spark, sf).withColumn("message", F.concat("message", F.when(F.col("event_id") % 3 == 0, "\nand, \"more\"").otherwise("")))
+    quoted = F.concat(F.lit('"'), F.replace("message", F.lit('"'), F.lit('""')), F.lit('"'))
+    stamp = F.concat(F.col("second"), F.lit("Z"))
+    value = F.concat_ws(",", stamp, render.loose_level(), "source", quoted, "value", "k", "user_id", "status", F.coalesce("address", F.lit("")))
+    lines = facts.select(F.concat(value, F.when(F.col("broken"), ",extra").otherwise("")).alias("value"))
+    path = _csv_files(lines, scratch_dir(spark, "multiline"))
+    records = csv_record_lines(spark, path, range_bytes=10_000)
+    entries = decode_csv(records, render.CSV_HEADER, keep_rejected=True)
+    return entries.select(iso_utc(F.col("timestamp")).alias("time"), "level", "source", "message", _field("status").alias("status"), "parse_error")
+
+
+def export_csv_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON lines of fifty events each, with a field per event, exported as CSV: columns and values by key."""
+    rows = _facts(spark, sf).groupBy(F.floor(F.col("event_id") / 50).alias("line"))
+    pairs = F.collect_list(F.struct(F.concat(F.lit("key-"), F.col("event_id").cast("string")), F.concat(F.lit("v, "), F.col("event_id").cast("string"))))
+    lines = rows.agg(F.to_json(F.map_from_entries(pairs)).alias("value")).select(F.lit("f").alias("file"), "line", "value")
+    target = scratch_dir(spark, "wide")
+    write_csv(decode_json(lines), target)
+    # the header's places, joined with the places of the values that are not empty; the one comma in a value is followed by a space
+    parts = F.split(F.replace("value", F.lit(", "), F.lit("; ")), ",")
+    cells = read_lines(spark, target).select(F.col("value").startswith("line,").alias("header"), F.get(parts, 0).alias("line"), F.posexplode(parts).alias("place", "cell"))
+    cells = cells.where("place >= 5 AND cell <> ''")
+    names = cells.where("header").select(F.col("place").alias("at"), F.col("cell").alias("key")).distinct()
+    values = cells.where("NOT header").select("place", F.col("line").cast("long").alias("line"), F.replace(F.translate("cell", '"', ""), F.lit("; "), F.lit(", ")).alias("value"))
+    return names.join(values, F.col("at") == F.col("place")).select("key", (F.col("place") - 4).cast("long").alias("place"), "line", "value")
+
+
 def analyze_files(spark: SparkSession, sf: str) -> DataFrame:
     """All four formats in one folder tree, recognised per file and searched together."""
     facts = _facts(spark, sf)
@@ -449,6 +487,9 @@ def analyze_files(spark: SparkSession, sf: str) -> DataFrame:
         else:
             make(facts).select("value").write.text(f"{root}/{name}")
     found = analyze(open_logs(spark, f"{root}/*", default_year=YEAR), level="FATAL")
+    # all rows as they are, with commas inside quotes and broken ones: not recognised as CSV, so their format is given
+    records = _csv_files(render.csv_lines(facts), f"{root}-given/quoted")
+    found = found.unionByName(analyze(open_logs(spark, records, "csv"), level="FATAL"))
     folder = F.element_at(F.split("file", "/"), -2).alias("folder")
     return found.groupBy(folder).agg(
         F.count(F.lit(1)).alias("n"), F.count("line").alias("numbered"), iso_utc(F.min("timestamp")).alias("first_time")
@@ -483,12 +524,16 @@ def export_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def export_text_csv(spark: SparkSession, sf: str) -> DataFrame:
-    """Plain text, which has no fields, exported as CSV in order and read back with the place in the output."""
-    path = _write_lines(render.text_lines(_facts(spark, sf)), "logs")
+    """Plain text, which has no fields, exported as CSV in order and read back with the place of each user's entries in the output."""
+    facts = _facts(spark, sf)
+    path = _file_per_source(render.text_lines(facts), facts, "logs")
     target = scratch_dir(spark, "export")
     export(open_logs(spark, path, "text"), target, "csv", level="FATAL", ordered=True)
-    back = spark.read.csv(target, header=True, escape='"')
-    return back.select("timestamp", "level", "source", "message")
+    # a row of a part file follows the parts before it
+    back = spark.read.csv(target, header=True, escape='"').select(F.col("_metadata.file_name").alias("part"), F.monotonically_increasing_id().alias("seq"), "*")
+    service = F.regexp_extract("message", r"by user (\d+)", 1)
+    place = F.row_number().over(Window.partitionBy(service).orderBy("part", "seq"))
+    return back.select("timestamp", "level", "source", "message", place.cast("long").alias("place"))
 
 
 def report_all_errors(spark: SparkSession, sf: str) -> DataFrame:
@@ -649,6 +694,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_object": report_object,
     "report_csv_sections": report_csv_sections,
     "analyze_files": analyze_files,
+    "csv_multiline_files": csv_multiline_files,
+    "export_csv_wide": export_csv_wide,
     "stats_files": stats_files,
     "follow_filtered": follow_filtered,
     "stream_level_counts": stream_level_counts,

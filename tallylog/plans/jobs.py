@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallylog.operators.filters import EntryFilter, build_filter
 from tallylog.operators.limits import head, in_file_order, last_rows
 from tallylog.operators.report import report
+from tallylog.plans.scratch import written
 from tallylog.sinks.entries import EXPORT_FORMATS, write_entries
 from tallylog.sources.logs import LogSource
 
@@ -127,7 +128,8 @@ def export(
 ) -> ExportResult:
     """Write matching entries as JSON, CSV or raw lines and return the counts (K6).
 
-    The counts come from an aggregation of their own, which a sort or a repeated stage cannot count twice. ``ordered``
+    The input is decoded once: that pass writes the matching rows to the scratch folder and counts on the way, in a job
+    without shuffles, where a task counts once however often it runs. Everything else works on the rows written. ``ordered``
     sorts the output by file and line, as does a limit; otherwise part files hold the rows as they are read.
     """
     if fmt not in EXPORT_FORMATS:
@@ -135,23 +137,25 @@ def export(
     chosen = build_filter(search, filters, level, regex, time_from, time_to, where)
     if logs.is_empty():
         raise ValueError("nothing to export: the input holds no line")
-    counts = (
-        logs.entries(keep_rejected=True)
-        .agg(
-            F.count_if(~_is_rejected()).alias("total"),
-            F.count_if(F.col("parse_error").isNotNull()).alias("warnings"),
-            F.count_if(~_is_rejected() & chosen.predicate).alias("matched"),
-        )
-        .first()
+    counts = Observation()
+    matched = F.col("_matched")
+    decoded = logs.entries(keep_rejected=True).withColumn("_matched", ~_is_rejected() & chosen.predicate)
+    counted = decoded.observe(
+        counts,
+        F.count_if(~_is_rejected()).alias("total"),
+        F.count_if(F.col("parse_error").isNotNull()).alias("warnings"),
+        F.count_if(matched).alias("matched"),
     )
-    rows = head(select_entries(logs, chosen), limit)
+    needed = ["file", "pos", "line", "raw"] if fmt == "raw" else [c for c in decoded.columns if c not in ("raw", "_matched")]
+    rows = head(written(counted.where(matched).select(*needed), "export-rows"), limit)
+    found = counts.get
     if fmt != "raw":
         rows = logs.number(rows)
     if ordered or limit > 0:
         rows = in_file_order(rows)
     write_entries(rows, path, fmt, mode)
-    exported = min(counts["matched"], limit) if limit > 0 else counts["matched"]
-    return ExportResult(exported, counts["total"], counts["warnings"])
+    exported = min(found["matched"], limit) if limit > 0 else found["matched"]
+    return ExportResult(exported, found["total"], found["warnings"])
 
 
 def _is_rejected() -> Column:

@@ -13,9 +13,10 @@ from tallylog.functions.text import non_blank, trim_space
 from tallylog.model import ENTRY_SCHEMA
 from tallylog.operators.limits import head, in_file_order, last_rows
 from tallylog.plans.scratch import written
-from tallylog.sources.decode import csv_entries, csv_header, decode
+from tallylog.sources.decode import csv_entries, csv_header, decode, decode_csv
 from tallylog.sources.detect import detect_formats, file_heads, listed_files, literal_path, parse_format
 from tallylog.sources.lines import block_offsets, number_rows, read_lines, read_records
+from tallylog.sources.records import csv_record_lines
 from tallylog.sources.ranges import growing_windows, read_windows, tail_lines, windows_frame
 
 
@@ -105,6 +106,9 @@ class LogSource:
 
     def _branch_rows(self, branch: Branch) -> DataFrame:
         if branch.fmt == "csv":
+            lines = csv_record_lines(self.spark, branch.paths) if self.multiline_csv else None
+            if lines is not None:
+                return lines
             return read_records(self.spark, branch.paths, branch.header, self.multiline_csv)
         return read_lines(self.spark, branch.paths)
 
@@ -113,7 +117,8 @@ class LogSource:
     ) -> DataFrame:
         rows = self._branch_rows(branch)
         if branch.fmt == "csv":
-            entries = csv_entries(rows, branch.header, self.default_year, keep_rejected)
+            split = csv_entries if "_rejected" in rows.columns else decode_csv
+            entries = split(rows, branch.header, self.default_year, keep_rejected)
             entries = entries if raw_filter is None else entries.where(raw_filter)
             return entries if last is None else last_rows(entries, last)
         lines = rows.where(non_blank(F.col("value")))
