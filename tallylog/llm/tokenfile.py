@@ -56,7 +56,8 @@ def write_block(rows: list[tuple[int | None, int, bytes]], dictionary: bytes) ->
     """(doc_id, number of ids, frame) as one block."""
     index, at = [], 0
     for doc, count, frame in rows:
-        index.append(struct.pack("<qqq", -(1 << 63) if doc is None else doc, at, count))
+        # a null doc_id shows in a negative number of ids
+        index.append(struct.pack("<qqq", doc or 0, at, -1 - count if doc is None else count))
         at += len(frame)
     head = MAGIC + struct.pack("<QQ", xxhash.xxh64_intdigest(dictionary) if dictionary else 0, len(rows))
     return b"".join([head, *index, *(frame for _, _, frame in rows)])
@@ -74,8 +75,9 @@ def read_block(data: bytes, dictionary: bytes) -> Iterator[tuple[int | None, int
     entries = [struct.unpack_from("<qqq", data, 24 + 24 * k) for k in range(count)]
     ends = [body + entry[1] for entry in entries[1:]] + [len(data)]
     for (doc, at, length), end in zip(entries, ends, strict=True):
-        ids = reader.decompress(view[body + at : end], max_output_size=4 * length)
-        yield (None if doc == -(1 << 63) else doc), length, ids
+        if length < 0:
+            doc, length = None, -1 - length
+        yield doc, length, reader.decompress(view[body + at : end], max_output_size=4 * length)
 
 
 def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> None:

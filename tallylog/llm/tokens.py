@@ -2,12 +2,14 @@
 
 Both vocabularies cut a text into pieces that never reach over certain borders: between a word and the white space or plain
 punctuation behind it, and before a single space that starts a word. A text is cut at such borders only, so its ids are the
-ids of its chunks in order; the tests hold this against encoding whole texts. Chunks repeat, texts rarely do.
+ids of its chunks in order; the tests hold this against encoding whole texts. Chunks repeat, texts rarely do. The vocabulary's
+added tokens are cut out of the raw text first, as the library does it: what is on their two sides is encoded apart.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -18,8 +20,8 @@ _SPACE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3
 _LETTER = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 _PUNCTUATION = r"!-&(-/:-@\[-`{-~"
 _END = f"(?=[{_PUNCTUATION}{_SPACE}]|\\Z)"
-#: Chunks kept per worker process; the oldest half goes beyond it.
-CACHE = 400_000
+#: Characters of the chunks kept per worker process; all go beyond it, and when a task ends.
+CACHE = 1_500_000
 #: Letters whose lower case depends on more than themselves, or that lie outside the plain alphabets.
 _UNSURE = re.compile("[\\u0130\\u0250-\\U0010ffff]").search
 
@@ -48,7 +50,10 @@ class Encoder:
         else:
             self.pattern = re.compile(f" ?{word}|{tail}| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
         self.simple = re.compile(f"[{_LETTER}]+" if self.lowers else f" ?[{_LETTER}]+").fullmatch
+        contents = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("(" + "|".join(map(re.escape, sorted(contents, key=len, reverse=True))) + ")") if contents else None
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _learn(self, new: list[str]) -> None:
         simple, letters, model = self.simple, _byte_letters(), self.tokenizer.model
@@ -62,22 +67,33 @@ class Encoder:
         for chunk, encoding in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.known[chunk] = np.array(encoding.ids, "<u4").tobytes()
 
+    def _chunked(self, text: str) -> list[str]:
+        """The chunks of a text without added tokens; those that only arise by lower-casing must not be taken for such."""
+        if self.lowers and not _UNSURE(text):
+            lower = text.lower()
+            if self.added and self.added.search(lower):
+                return [text]
+            text = lower
+        return self.pattern.findall(text)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.lowers:
-            texts = [text if _UNSURE(text) else text.lower() for text in texts]
-        out = []
-        for text in texts:
-            chunks = self.pattern.findall(text)
-            try:
-                out.append(b"".join(map(self.known.__getitem__, chunks)))
-            except KeyError:
-                if len(self.known) > CACHE:
-                    for chunk in list(self.known)[: CACHE // 2]:
-                        del self.known[chunk]
-                self._learn(list({c for c in chunks if c not in self.known}))
-                out.append(b"".join(map(self.known.__getitem__, chunks)))
+        known = self.known
+        parts = [self.added.split(text) if self.added else [text] for text in texts]
+        # what the added tokens leave at even places
+        chunks = [[self._chunked(piece) if k % 2 == 0 else [piece] for k, piece in enumerate(pieces)] for pieces in parts]
+        new = set().union(*(own for pieces in chunks for own in pieces)).difference(known)
+        if new:
+            self.held += sum(map(len, new))
+            self._learn(list(new))
+        out = [b"".join(known[chunk] for own in pieces for chunk in own) for pieces in chunks]
+        if self.held > CACHE:
+            self.forget()
         return out
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
+
 
 @cache
 def encoder(path: str) -> Encoder:
@@ -85,8 +101,21 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def batches_of(texts: list[str | None], ends: int, path: str):
-    """The ids of every text (null: empty) with the end id appended, one text at a time."""
+def batches_of(texts: Iterable[str | None], ends: int, path: str, size: int = 64, chars: int = 1 << 20) -> Iterator[bytes]:
+    """The ids of every text (null: empty) with the end id appended; ``size`` texts or ``chars`` characters at a time."""
     coder, end = encoder(path), np.array([ends], "<u4").tobytes()
-    for text in texts:
-        yield coder.encode([text or ""])[0] + end
+    held: list[str] = []
+    room = chars
+    try:
+        for text in texts:
+            held.append(text or "")
+            room -= len(held[-1])
+            if len(held) == size or room <= 0:
+                for ids in coder.encode(held):
+                    yield ids + end
+                held, room = [], chars
+        for ids in coder.encode(held) if held else ():
+            yield ids + end
+    finally:
+        if coder.held > CACHE // 2:
+            coder.forget()
