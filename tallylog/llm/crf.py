@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     return fit([row.text for row in rows], [int(row.quality) for row in rows])
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, chunk: int = 256) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, chunk: int = 64) -> DataFrame:
     """doc_id, score, predicted (1 if score >= THRESHOLD) for every row of ``docs``."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # a few hundred numbers
 
