@@ -1,8 +1,7 @@
 """Line deduplication as an exact set-similarity join, with DataFrame operations only.
 
-The tokens of a line are its distinct lower-cased words (``by_words``, which op6_line_dedup uses) or its distinct SHINGLE-word
-shingles, case kept (the default, which the pipeline uses). Of two lines whose sets have a Jaccard similarity of PERCENT or
-more, the later one (by doc_id, then line number) goes; a line goes if any earlier line matches it, whether or not that stays.
+The tokens of a line are its distinct lower-cased words. Of two lines whose sets have a Jaccard similarity of PERCENT or more,
+the later one (by doc_id, then line number) goes; a line goes if any earlier line matches it, whether or not that stays.
 
 1. Token frequencies, added up in BUCKETS buckets of token hashes, give every token a rarity level: a table of BUCKETS bytes.
    The order of tokens (level, then hash) is the same in all lines, which is all that exactness asks of it.
@@ -13,10 +12,10 @@ more, the later one (by doc_id, then line number) goes; a line goes if any earli
    positional and parity filters, none of which can lose a match.
 4. Candidates are verified on the whole sets.
 
-Defined cases: by words, a line of 1 to SHINGLE - 1 words matches the lines of the same words in the same order, and lines
-without words stay; by shingles, lines of fewer than SHINGLE words stay and match nothing; null texts have no line and come back null; a text
-all of whose lines go comes back empty; rows that share doc_id and text are one document and lose the same lines. All columns
-of the documents come back as they were, but for the text.
+Defined cases: a line of 1 to SHORT - 1 words matches the lines of the same words in the same order; lines without words stay;
+null texts have no line and come back null; lines of a null doc_id match nothing and stay; a text all of whose lines go comes
+back empty; rows that share doc_id and text are one document and lose the same lines; texts of any length are split in their
+own row; an empty table gives an empty result. All columns of the documents come back as they were, but for the text.
 """
 
 from __future__ import annotations
@@ -27,7 +26,8 @@ from pyspark.sql import functions as F
 from tallylog.functions.text import fence
 from tallylog.llm.common import WORD_BREAK, checked, written
 
-SHINGLE = 5
+#: Lines of fewer words are one token.
+SHORT = 5
 PERCENT = 75
 BUCKETS = 1 << 16
 #: Levels per doubling of a frequency; a level must stay below 64.
@@ -42,29 +42,21 @@ def _words(line: str) -> Column:
     return F.array_remove(F.split(other, " "), "")
 
 
-def _hashes(words: str, by_words: bool) -> Column:
-    """Hashes of the words or shingles of a sequence of words, as often as they occur; none if it is too short.
+def _hashes(words: str) -> Column:
+    """Hashes of the words of a line, as often as they occur; one of the whole line if it is short, null without words."""
+    whole = F.array(F.xxhash64(F.size(words), F.array_join(words, " ")))
+    return F.when(F.size(words) >= SHORT, F.transform(words, lambda w: F.xxhash64(w))).when(F.size(words) > 0, whole)
 
-    By words, a sequence shorter than SHINGLE is one token as a whole.
-    """
-    if by_words:
-        whole = F.array(F.xxhash64(F.size(words), F.array_join(words, " ")))
-        return F.when(F.size(words) >= SHINGLE, F.transform(words, lambda w: F.xxhash64(w))).when(F.size(words) > 0, whole)
-    at = ", ".join(f"element_at({words}, i + {k})" for k in range(SHINGLE))
-    shingles = F.expr(f"transform(sequence(1, size({words}) - {SHINGLE - 1}), i -> xxhash64({at}))")
-    return F.when(F.size(words) >= SHINGLE, shingles)
 
-
-def _split(lines: DataFrame, by_words: bool) -> DataFrame:
+def _split(lines: DataFrame) -> DataFrame:
     """``lines`` with w (words) for line. Fenced: a filter above must not copy the splitting of a line into each of its tokens."""
     keys = [c for c in lines.columns if c != "line"]
-    folded = lines.withColumn("line", F.lower("line")) if by_words else lines
-    return fence(folded.select(*keys, _words("line").alias("w")), "w")
+    return fence(lines.withColumn("line", F.lower("line")).select(*keys, _words("line").alias("w")), "w")
 
 
-def rarity_levels(docs: DataFrame, by_words: bool = False) -> bytes:
+def rarity_levels(docs: DataFrame) -> bytes:
     """A level per bucket of token hashes, from the frequencies in all lines: BUCKETS bytes, whatever the input."""
-    tokens = _split(_lines(docs).select("line"), by_words).select(F.explode(_hashes("w", by_words)).alias("h"))
+    tokens = _split(_lines(docs).select("line")).select(F.explode(_hashes("w")).alias("h"))
     sums = tokens.groupBy(F.pmod("h", F.lit(BUCKETS)).alias("bucket")).count()
     levels = bytearray(BUCKETS)
     for row in sums.select("bucket", F.least(F.lit(63), F.floor(STEPS * F.log2(F.col("count") + 1))).alias("level")).collect():
@@ -72,7 +64,7 @@ def rarity_levels(docs: DataFrame, by_words: bool = False) -> bytes:
     return bytes(levels)
 
 
-def _tokens(lines: DataFrame, levels: bytes, by_words: bool) -> DataFrame:
+def _tokens(lines: DataFrame, levels: bytes) -> DataFrame:
     """``lines`` with tokens for line: sorted numbers, rarest first (six bits of level, then the hash), null if too few words."""
     table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<tinyint>")  # a constant, folded once
 
@@ -81,7 +73,7 @@ def _tokens(lines: DataFrame, levels: bytes, by_words: bool) -> DataFrame:
         return F.shiftleft(level.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
     keys = [c for c in lines.columns if c != "line"]
-    hashed = _split(lines, by_words).select(*keys, F.array_distinct(_hashes("w", by_words)).alias("h"))
+    hashed = _split(lines).select(*keys, F.array_distinct(_hashes("w")).alias("h"))
     return fence(hashed.select(*keys, F.sort_array(F.transform("h", token)).alias("tokens")), "tokens")
 
 
@@ -100,10 +92,10 @@ def _enough(shared: str, one: str, two: str) -> str:
     return f"100 * {shared} >= {PERCENT} * ({one} + {two} - {shared})"
 
 
-def duplicate_lines(docs: DataFrame, by_words: bool = False) -> DataFrame:
+def duplicate_lines(docs: DataFrame) -> DataFrame:
     """doc_id, seq of every line to be removed from ``docs`` (doc_id, text)."""
-    levels = rarity_levels(docs, by_words)
-    sets = _tokens(_lines(docs), levels, by_words).where("tokens IS NOT NULL").withColumn("n", F.size("tokens"))
+    levels = rarity_levels(docs)
+    sets = _tokens(_lines(docs), levels).where("tokens IS NOT NULL").withColumn("n", F.size("tokens"))
     # n - ceil(n * t) + 1 tokens: a set that shares none of them falls short of the threshold
     prefix = f"slice(tokens, 1, n - CAST(ceil(n * {PERCENT} / 100D) AS int) + 1)"
     brief = sets.selectExpr("doc_id", "seq", "n", f"{prefix} AS prefix", "aggregate(tokens, 0L, (a, x) -> xxhash64(a, x)) AS of_set", *(f"{_parity(k)} AS parity_{k}" for k in (0, 1)))
@@ -126,7 +118,7 @@ def duplicate_lines(docs: DataFrame, by_words: bool = False) -> DataFrame:
     reach = _enough("least(n - pos, lead.n - lead.pos)", "n", "lead.n")
     led = written(led.selectExpr("doc_id", "seq", "n", "pos", "token", "lead.doc_id AS to_doc", "lead.seq AS to_seq", "place", f"{reach} AS near"), "line-led")
     pairs = led.where("place > 1 AND near AND (to_doc <> doc_id OR to_seq <> seq)").select("doc_id", "seq", "to_doc", "to_seq").distinct()
-    led_found = written(_verified(docs, levels, written(pairs, "line-pairs"), by_words), "line-found")
+    led_found = written(_verified(docs, levels, written(pairs, "line-pairs")), "line-found")
 
     # those without a match: against all earlier lines around their tokens
     parities = heads.select("doc_id", "seq", "parity_0", "parity_1")
@@ -145,25 +137,33 @@ def duplicate_lines(docs: DataFrame, by_words: bool = False) -> DataFrame:
         & F.expr(f"{apart} <= {alone}"),
     )
     more = written(joined.select("doc_id", "seq", "to_doc", "to_seq").distinct(), "line-pairs")
-    return same.select("doc_id", "seq").unionByName(led_found).unionByName(_verified(docs, levels, more, by_words)).distinct()
+    return same.select("doc_id", "seq").unionByName(led_found).unionByName(_verified(docs, levels, more)).distinct()
 
 
-def _verified(docs: DataFrame, levels: bytes, pairs: DataFrame, by_words: bool) -> DataFrame:
+def _verified(docs: DataFrame, levels: bytes, pairs: DataFrame) -> DataFrame:
     """The (doc_id, seq) of ``pairs`` whose partner (to_doc, to_seq) is similar enough, on the whole sets."""
     ends = pairs.select("doc_id", "seq").unionByName(pairs.select(F.col("to_doc").alias("doc_id"), F.col("to_seq").alias("seq"))).distinct()
     ends = written(ends, "line-ends")
     some = docs.join(checked(ends.select("doc_id").distinct()), "doc_id", "left_semi")
-    sets = written(_tokens(_lines(some).join(checked(ends), ["doc_id", "seq"], "left_semi"), levels, by_words), "line-tokens").dropDuplicates(["doc_id", "seq"])
+    sets = written(_tokens(_lines(some).join(checked(ends), ["doc_id", "seq"], "left_semi"), levels), "line-tokens").dropDuplicates(["doc_id", "seq"])
     both = pairs.join(sets, ["doc_id", "seq"]).join(sets.selectExpr("doc_id AS to_doc", "seq AS to_seq", "tokens AS to_tokens"), ["to_doc", "to_seq"])
     shared = both.withColumn("shared", F.size(F.array_intersect("tokens", "to_tokens")))
     return shared.where(_enough("shared", "size(tokens)", "size(to_tokens)")).select("doc_id", "seq").distinct()
 
 
-def dedup_lines(docs: DataFrame, by_words: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the later of similar lines taken out of ``text``; all columns and rows stay."""
-    gone = written(duplicate_lines(docs.select("doc_id", "text"), by_words), "line-gone")
-    lists = written(gone.groupBy("doc_id").agg(F.collect_list("seq").alias("_gone")), "line-lists")
-    joined = docs.join(checked(lists), "doc_id", "left")
-    tail = F.shiftrightunsigned(F.xxhash64("text"), 33)
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", F.shiftleft(i.cast("long"), 31).bitwiseOR(tail)))
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    gone = written(duplicate_lines(docs.select("doc_id", "text")), "line-gone")
+    lists = written(gone.groupBy("doc_id").agg(F.collect_list("seq").alias("seqs")), "line-lists")
+    columns = docs.columns
+    rows = docs.select(F.struct(*columns).alias("row"))
+    joined = rows.join(checked(lists.withColumnRenamed("doc_id", "of")), F.col("row.doc_id") == F.col("of"), "left")
+    # line numbers that go from this text, told apart by its hash; the text is split once and lines are taken by number
+    tail = F.shiftrightunsigned(F.xxhash64("row.text"), 33)
+    own = F.transform(F.filter("seqs", lambda q: q.bitwiseAND((1 << 31) - 1) == tail), lambda q: F.shiftright(q, 31).cast("int"))
+    marked = F.when(F.col("row.text").isNotNull(), own)
+    split = fence(joined.select("row", marked.alias("gone"), F.when(F.size(marked) > 0, F.split("row.text", "\n")).alias("lines")), "gone", "lines")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n")
+    cleaned = F.when(F.col("lines").isNotNull(), kept).otherwise(F.col("row.text"))
+    return split.select(*(cleaned.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in columns))

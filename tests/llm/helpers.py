@@ -61,9 +61,12 @@ def contaminated_pairs(docs: list[tuple[int, str | None]], items: list[tuple[int
 
 
 def deduped_lines(docs: list[tuple[int, str | None]], percent: int = 75, least: int = 5) -> dict[int, str | None]:
-    """Texts without the lines that match an earlier one; doc_ids must differ."""
-    seen: list[set[tuple[str, ...]]] = []
-    by_word: dict[tuple[str, ...], list[int]] = {}
+    """Texts without the lines whose lower-cased words match those of an earlier line; doc_ids must differ.
+
+    Lines of fewer than ``least`` words match those of the same words in the same order.
+    """
+    seen: list[set] = []
+    by_token: dict = {}
     out = {}
     for doc, text in sorted(docs):
         if text is None:
@@ -71,15 +74,13 @@ def deduped_lines(docs: list[tuple[int, str | None]], percent: int = 75, least:
             continue
         kept = []
         for line in text.split("\n"):
-            if len(words(line)) < least:
-                kept.append(line)
-                continue
-            own = set(shingles(words(line)))
-            shared = Counter(k for w in own for k in by_word.get(w, ()))
+            words_ = words(line.lower())
+            own = set(words_) if len(words_) >= least else {tuple(words_)} if words_ else set()
+            shared = Counter(k for token in own for k in by_token.get(token, ()))
             if not any(100 * n >= percent * (len(own) + len(seen[k]) - n) for k, n in shared.items()):
                 kept.append(line)
-            for w in own:
-                by_word.setdefault(w, []).append(len(seen))
+            for token in own:
+                by_token.setdefault(token, []).append(len(seen))
             seen.append(own)
         out[doc] = "\n".join(kept)
     return out

@@ -261,7 +261,7 @@ def test_line_dedup_awkward(awkward, empty):
     assert linededup.dedup_lines(awkward).columns == awkward.columns
     texts = Counter((r.doc_id, r.text) for r in rows)
     assert texts[1, None] == 1 and texts[2, ""] == 1 and texts[8, ""] == 2 and texts[7, AWKWARD[6][1]] == 1
-    assert texts[None, AWKWARD[10][1]] == 1 and texts[5, "one two"] == 1 and texts[9, AWKWARD[9][1].split("\n")[0]] == 1
+    assert texts[None, AWKWARD[10][1]] == 1 and texts[4, "one two"] == texts[5, ""] == texts[6, ""] == 1 and texts[9, AWKWARD[9][1].split("\n")[0]] == 1
     assert linededup.dedup_lines(empty).count() == 0
 
 
