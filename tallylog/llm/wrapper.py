@@ -10,6 +10,9 @@ text in most of the host's different pages is template; a node whose text varies
 4. Blocks that are template, or lie in parts that hold no article by their markup (menus, forms, adverts, comments, ...), go.
    If a page has article or main elements with text, only text inside them stays.
 
+Trees may be of any depth and nodes of any number of kids; nothing recurses. Kids between those alike at both ends are matched by
+a table of their number squared.
+
 Defined cases: null, empty and blank html gives an empty text; broken and cut-off markup is closed at the end; a host with fewer
 than VOTES different pages has no template and relies on the markup; repeated pages get a row each; a null url is the host "".
 """
@@ -20,6 +23,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,19 +35,24 @@ from tallylog.llm.urls import host_and_path
 SHARE, VOTES = 0.8, 5
 #: Hosts whose reference pages are broadcast together.
 HOSTS = 5_000
+#: Reference pages that a task keeps parsed.
+REFERENCES = 32
 
 # Elements and names by their meaning in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea iframe svg math select object title".split())
-INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+RAW = set("script style noscript template textarea iframe svg select object title".split())
+INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var math mi mn mo ms mtext mrow msup msub mfrac msqrt".split())
 OUTSIDE = set("head nav footer aside form button dialog menu noscript template".split())
 NAMES = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice notices popup promo related replies reply respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: What such names are made of besides: inside an article, a name counts only if nothing else is in it.
+PARTS = set("area bar block box button buttons container content form group icon icons inner item items link links list outer panel row section slot unit widget widgets wrap wrapper".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu".split())
 #: A start tag of the key closes an open element of these, up to the nearest of the bounds.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 BOUNDS = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "main", "blockquote"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPENS = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_STOPS = re.compile("[>\"']")
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 _WORD = re.compile("[a-z0-9]+")
@@ -51,13 +60,20 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "inside", "kids", "label", "outside", "place", "tag")
+    __slots__ = ("children", "inside", "kids", "label", "outside", "place", "shape", "tag")
 
     def __init__(self, tag: str, label: str, outside: bool, inside: bool):
         self.tag, self.label, self.outside, self.inside = tag, label, outside, inside
         self.children: list[Node | str] = []
         self.kids: list[Node] = []
-        self.place = -1
+        self.place = self.shape = -1
+
+
+def _names_a_part(value: str, inside: bool) -> bool:
+    """Whether a class or id names a part that is no article: by any word in it, inside an article by all words of one name."""
+    if not inside:
+        return not NAMES.isdisjoint(_WORD.findall(value))
+    return any(not NAMES.isdisjoint(own) and own <= NAMES | PARTS for own in (set(_WORD.findall(name)) for name in value.split()))
 
 
 def _made(tag: str, attributes: str, parent: Node) -> Node:
@@ -68,25 +84,67 @@ def _made(tag: str, attributes: str, parent: Node) -> Node:
             if kind.lower() == "role":
                 outside = outside or value in ROLES
             elif tag not in ("html", "body", "article", "main"):
-                words = set(_WORD.findall(value))
-                outside = outside or not words.isdisjoint(NAMES)
+                outside = outside or _names_a_part(value, parent.inside)
                 if kind.lower() == "class":
                     label = f"{tag}.{value}"
     return Node(tag, label, outside, parent.inside or tag in ("article", "main"))
 
 
+class _Tags:
+    """The tags of a page from the front on, as (start, end, closing, name, attributes); name is empty for comments and such.
+
+    A place is looked at once: what is not there any more (a quote, an end of a tag) is remembered. Where quotes would swallow
+    the rest of the page, they count as plain characters from there on.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.quotes = html, {'"': True, "'": True}
+
+    def _end(self, at: int) -> int:
+        """The place of the ``>`` that closes a tag, -1 without one."""
+        html, place = self.html, at
+        while any(self.quotes.values()):
+            stop = _STOPS.search(html, place)
+            if not stop:
+                self.quotes = dict.fromkeys(self.quotes, False)
+                break
+            if stop[0] == ">":
+                return stop.start()
+            place = stop.end()
+            if self.quotes[stop[0]]:
+                shut = html.find(stop[0], place)
+                if shut < 0:
+                    self.quotes[stop[0]] = False
+                else:
+                    place = shut + 1
+        return html.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        opens = _OPENS.search(self.html, at)
+        if not opens:
+            return None
+        if opens[2]:
+            end = self._end(opens.end())
+            return None if end < 0 else (opens.start(), end + 1, opens[1], opens[2], self.html[opens.end() : end])
+        if opens[0] == "<!--":
+            end = self.html.find("-->", opens.end())
+            return opens.start(), len(self.html) if end < 0 else end + 3, "", "", ""
+        end = self.html.find(">", opens.end())
+        return None if end < 0 else (opens.start(), end + 1, "", "", "")
+
+
 def parse(html: str) -> Node:
     """The tree of a page; forgiving about what is never closed or never opened."""
     root = Node("", "", False, False)
-    stack, at, end = [root], 0, len(html)
+    stack, at, end, tags = [root], 0, len(html), _Tags(html)
     while at < end:
-        match = _TAG.search(html, at)
-        if not match:
+        found = tags.next(at)
+        if not found:
             break
-        if match.start() > at:
-            stack[-1].children.append(entities.unescape(html[at : match.start()]))
-        at = match.end()
-        closing, tag, attributes = match.groups()
+        start, after, closing, tag, attributes = found
+        if start > at:
+            stack[-1].children.append(entities.unescape(html[at:start]))
+        at = after
         if not tag:
             continue
         tag = tag.lower()
@@ -131,54 +189,128 @@ def numbered(root: Node) -> Node:
     return root
 
 
-def _matching(one: Node, two: Node, memo: dict) -> int:
-    """Size of the largest matching of two trees whose roots have equal labels, the roots included."""
-    a, b = one.kids, two.kids
-    if not a or not b:
-        return 1
-    key = (id(one), id(two))
-    if key not in memo:
-        row = [0] * (len(b) + 1)
-        table = [row]
-        for x in a:
-            label, previous, row = x.label, row, [0]
-            best = 0
-            for j, y in enumerate(b):
-                up = previous[j + 1]
-                if up > best:
-                    best = up
-                if label == y.label:
-                    both = previous[j] + (1 if not x.kids or not y.kids else _matching(x, y, memo))
-                    if both > best:
-                        best = both
-                row.append(best)
-            table.append(row)
-        memo[key] = table
-    return 1 + memo[key][-1][-1]
-
-
-def align(page: Node, reference: Node) -> None:
-    """Gives the nodes of ``page`` the places of the nodes of ``reference`` they match."""
-    memo: dict = {}
-    pairs = [(page, reference)]
+class Reference:
+    """A numbered reference tree with what aligning pages with it has taught: shapes of subtrees and matchings of shapes.
+
+    A shape is a label and the shapes of the kids, as a number. How two subtrees match depends on their shapes alone, and of
+    those a site has few.
+    """
+
+    #: Numbers of shapes and tables that are kept; beyond it they are worked out anew.
+    MOST_SHAPES, MOST_TABLES = 200_000, 20_000
+
+    def __init__(self, html: str):
+        self.root = numbered(parse(html))
+        self.shapes: dict[tuple, int] = {}
+        self.kids: list[tuple[str, tuple[int, ...], int]] = []
+        self.tables: dict[tuple[int, int], tuple] = {}
+        self.shape(self.root)
+
+    def shape(self, root: Node) -> None:
+        """Numbers the shapes of a tree, kids before their parents."""
+        order, stack = [], [root]
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            stack.extend(node.kids)
+        for node in reversed(order):
+            key = node.label, tuple(kid.shape for kid in node.kids)
+            if key not in self.shapes:
+                self.shapes[key] = len(self.kids)
+                self.kids.append((*key, 1 + sum(self.kids[k][2] for k in key[1])))
+            node.shape = self.shapes[key]
+
+    def _known(self, one: int, two: int) -> int | None:
+        """Size of the largest matching of two shapes with equal labels, the roots included, if that is known or plain."""
+        if one == two:
+            return self.kids[one][2]
+        if not self.kids[one][1] or not self.kids[two][1]:
+            return 1
+        table = self.tables.get((one, two))
+        return None if table is None else table[2]
+
+    def matching(self, one: int, two: int) -> tuple[int, int, int, list]:
+        """Kids alike at the front and at the back, size of the largest matching, and the table of the kids between.
+
+        Kids of one shape at the same end match whole, which no other matching of them beats.
+        """
+        stack = [(one, two)]
+        while stack:
+            x, y = stack[-1]
+            if (x, y) in self.tables:
+                stack.pop()
+                continue
+            a, b = self.kids[x][1], self.kids[y][1]
+            front, most = 0, min(len(a), len(b))
+            while front < most and a[front] == b[front]:
+                front += 1
+            back = 0
+            while back < most - front and a[-1 - back] == b[-1 - back]:
+                back += 1
+            left, right = a[front : len(a) - back], b[front : len(b) - back]
+            weights: dict[tuple[int, int], int] = {}
+            waiting = []
+            for p in set(left):
+                for q in set(right):
+                    if self.kids[p][0] == self.kids[q][0]:
+                        known = self._known(p, q)
+                        if known is None:
+                            waiting.append((p, q))
+                        else:
+                            weights[p, q] = known
+            if waiting:
+                stack.extend(waiting)
+                continue
+            row = np.zeros(len(right) + 1, np.int32)
+            table = [row]
+            rows: dict[int, np.ndarray] = {}
+            for p in left:
+                if p not in rows:
+                    rows[p] = np.array([weights.get((p, q), 0) for q in right], np.int32)
+                after = np.zeros_like(row)
+                np.maximum.accumulate(np.maximum(row[1:], row[:-1] + rows[p]), out=after[1:])
+                row = after
+                table.append(row)
+            size = 1 + sum(self.kids[k][2] for k in a[:front]) + sum(self.kids[k][2] for k in a[len(a) - back :]) + int(row[-1])
+            self.tables[x, y] = front, back, size, table
+            stack.pop()
+        front, back, size, table = self.tables[one, two]
+        return front, back, size, table
+
+
+def align(page: Node, reference: Reference) -> None:
+    """Gives the nodes of ``page`` the places of the nodes of the reference they match."""
+    if len(reference.kids) > reference.MOST_SHAPES:
+        reference.shapes.clear()
+        reference.kids.clear()
+        reference.tables.clear()
+        reference.shape(reference.root)
+    if len(reference.tables) > reference.MOST_TABLES:
+        reference.tables.clear()
+    reference.shape(page)
+    pairs = [(page, reference.root)]
     while pairs:
         one, two = pairs.pop()
         one.place = two.place
-        _matching(one, two, memo)
-        table = memo.get((id(one), id(two)))
-        if table is None:
+        if one.shape == two.shape:
+            pairs.extend(zip(one.kids, two.kids, strict=True))
+            continue
+        if not one.kids or not two.kids:
             continue
-        i, j = len(one.kids), len(two.kids)
+        front, back, _, table = reference.matching(one.shape, two.shape)
+        pairs.extend(zip(one.kids[:front], two.kids[:front], strict=True))
+        if back:
+            pairs.extend(zip(one.kids[-back:], two.kids[-back:], strict=True))
+        i, j = len(table) - 1, len(table[0]) - 1
         while i and j:
-            x, y = one.kids[i - 1], two.kids[j - 1]
             here = table[i][j]
             if here == table[i - 1][j]:
                 i -= 1
             elif here == table[i][j - 1]:
                 j -= 1
             else:
-                pairs.append((x, y))
                 i, j = i - 1, j - 1
+                pairs.append((one.kids[front + i], two.kids[front + j]))
 
 
 def blocks(root: Node) -> list[tuple[int, bool, bool, str]]:
@@ -215,7 +347,7 @@ def blocks(root: Node) -> list[tuple[int, bool, bool, str]]:
 
 
 def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, reference = None, None
+    known: dict[str, Reference] = {}
     kind = pa.list_(pa.struct([("place", pa.int32()), ("skip", pa.bool_()), ("text", pa.string())]))
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
@@ -224,9 +356,11 @@ def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for page, model in zip(part.column("html").to_pylist(), part.column("reference").to_pylist(), strict=True):
                 tree = parse(page or "")
                 if model:
-                    if model != last:
-                        last, reference = model, numbered(parse(model))
-                    align(tree, reference)
+                    if model not in known:
+                        if len(known) >= REFERENCES:
+                            known.pop(next(iter(known)))
+                        known[model] = Reference(model)
+                    align(tree, known[model])
                 own = blocks(tree)
                 only = any(inside and not outside for _, outside, inside, _ in own)
                 found.append([{"place": place, "skip": outside or (only and not inside), "text": text} for place, outside, inside, text in own])

@@ -5,46 +5,31 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
+from tokenizers import Tokenizer
 
-from tallylog.llm import decontaminate, linededup, neardup
+from tallylog.llm import decontaminate, linededup, neardup, wrapper
+from tallylog.llm.queries import BYTE_BPE, WORD_BPE
+from tallylog.llm.tokens import Encoder
 from tests.llm import helpers
 from tests.llm.test_operators import SF_DIR, _edited
 
 
-def _without_similar(docs, least=5):
-    """Texts without the lines whose lower-cased words match those of an earlier line; doc_ids must differ."""
-    seen, out = [], {}
-    for doc, text in sorted(docs):
-        kept = []
-        for line in text.split("\n"):
-            own = helpers.words(line.lower())
-            if len(own) < least:
-                kept.append(line)
-                continue
-            own = set(own)
-            shared = [(len(own & other), len(own | other)) for other in seen]
-            if not any(100 * a >= linededup.PERCENT * b for a, b in shared):
-                kept.append(line)
-            seen.append(own)
-        out[doc] = "\n".join(kept)
-    return out
-
-
 def test_lines_match_by_lower_cased_words(spark):
     rng = random.Random(4)
     line = [f"v{k}" for k in range(20)]
     planted = [(40_000 + k, f"Start{k} of text number{k} here\n" + _edited(line, rng, rng.randrange(4))) for k in range(80)]
     planted += [(50_000, " ".join(line).upper()), (50_001, "alone " * 6 + "\nAlone x y z w\nw z y x alone")]
     docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()] + planted
-    rows = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), by_words=True).collect()
+    rows = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
     got = {r.doc_id: r.text for r in rows}
-    assert got == _without_similar(docs)
+    assert got == helpers.deduped_lines(docs)
     assert got[50_000] == "" and got[50_001] == "alone " * 6 + "\nAlone x y z w"
 
 
 def test_short_lines_go_when_repeated(spark):
     docs = [(1, "All rights reserved.\n\nfoo\nb a\na b c d"), (2, "all RIGHTS  reserved.\n\n \nfoo foo foo foo foo\na b\na b c d"), (3, "Foo\na b c\nd c b a")]
-    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), by_words=True).collect()}
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {1: docs[0][1], 2: "\n \nfoo foo foo foo foo\na b", 3: "a b c\nd c b a"}
 
 
@@ -74,3 +59,66 @@ def test_small_sets_lose_no_link(spark):
     assert links
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: k - k % 2 for k in range(2 * links)} == helpers.near_duplicate_components(rows)
+
+
+@pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
+def test_added_tokens_and_white_space(path):
+    rng = random.Random(6)
+    whole, cached = Tokenizer.from_file(path), Encoder(path)
+    added = [token.content for token in whole.get_added_tokens_decoder().values()]
+    pieces = [*added, *(x.upper() for x in added), added[0][:-1], " ", "\n", "\t", "\u00a0", "\u3000", "The", "x", "'s", "1", "É", "e\u0301", ".", "<|", "Σ", "İ"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(9))) for _ in range(20_000)]
+    for text, ids in zip(texts, cached.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def _largest(one, two) -> int:
+    """Simple tree matching by its definition."""
+    if one.label != two.label:
+        return 0
+    table = [[0] * (len(two.kids) + 1) for _ in range(len(one.kids) + 1)]
+    for i, x in enumerate(one.kids, 1):
+        for j, y in enumerate(two.kids, 1):
+            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + _largest(x, y))
+    return 1 + table[-1][-1]
+
+
+def test_pages_match_as_much_as_they_can():
+    rng = random.Random(12)
+
+    def page(depth):
+        return "".join(f"<{t}>{page(depth - 1) if depth else 'x'}</{t}>" for t in rng.choices(["div", "ul", "section", "b"], k=rng.randrange(4)))
+
+    for _ in range(150):
+        one, two = page(3), page(3)
+        reference, tree = wrapper.Reference(two), wrapper.parse(one)
+        wrapper.align(tree, reference)
+        placed, stack = {}, [(reference.root, None)]
+        while stack:
+            node, above = stack.pop()
+            placed[node.place] = node, above
+            stack += [(kid, node.place) for kid in node.kids]
+        found, stack = [], [(tree, None)]
+        while stack:
+            node, above = stack.pop()
+            if node.place >= 0:
+                match, parent = placed[node.place]
+                assert match.label == node.label and parent == above
+                found.append(node.place)
+            stack += [(kid, node.place) for kid in node.kids]
+        assert len(found) == len(set(found)) == _largest(tree, reference.root)
+
+
+@pytest.mark.parametrize("html", ["<div>" * 5000 + "x", "<ul>" + "<li><b>x</b>y" * 20_000, "<a '" * 250_000, "<a '>'" * 150_000, "<!" * 400_000, "<p " * 300_000])
+def test_hard_pages_take_no_time(html):
+    reference = wrapper.Reference(html)
+    wrapper.align(wrapper.parse(html + "<p>more</p>"), reference)
+
+
+def test_names_inside_articles(spark):
+    html = (
+        '<div class="nav-top">menu</div><article><div class="entry-header">Title</div><p class="share-price">5</p><p id="related-work">Work</p>'
+        '<p>See <math><mi>x</mi></math>.</p><div class="ad-slot">buy</div><div class="text comments">hm</div><div class="share-buttons">s</div></article>'
+    )
+    row = wrapper.main_text(spark.createDataFrame([(1, "http://a.b/", html)], "page_id long, url string, html string")).first()
+    assert row.text == "Title 5 Work See x."
