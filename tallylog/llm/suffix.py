@@ -297,17 +297,18 @@ def _cut(batches: Iterator[pa.RecordBatch], schema: pa.Schema, length: int, bloc
                 core = text[reach - number * block : reach - number * block - block + 1 + length]
                 token = xxhash.xxh3_64_intdigest(core + b"%d %d" % (number, row["token"])) - (1 << 63)
                 same = xxhash.xxh3_128_digest(text[k : k + n - 1 + length])
-                out.append({"doc_id": row["doc_id"], "of": row["of"], "at": row["at"] + k, "starts": n, "reach": reach - k, "token": token, "same": same})
+                own = text[k : k + n - 1 + length]
+                out.append({"doc_id": row["doc_id"], "of": row["of"], "at": row["at"] + k, "starts": n, "reach": reach - k, "token": token, "same": same, "bytes": own})
                 k += n
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
 def _with_bytes(runs: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """``runs`` with the bytes they cover. Texts and runs are shuffled at every size: both grow with the corpus."""
-    lists = runs.groupBy("doc_id", "of").agg(F.collect_list(F.struct("at", "starts", "reach", "token", "same")).alias("runs"))
-    lists = lists.select(F.col("doc_id").alias("i"), F.col("of").alias("o"), "runs")
+    """``runs`` with the bytes they cover. Texts are shuffled for it at every size, once: they grow with the corpus."""
+    lists = runs.groupBy("doc_id", "of").agg(F.collect_list(F.struct("at", "starts", "reach", "token", "same", "runs")).alias("own"))
+    lists = lists.select(F.col("doc_id").alias("i"), F.col("of").alias("o"), "own")
     texts = docs.select("doc_id", "of", "text").join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("of") == F.col("o")))
-    each = texts.select("doc_id", "of", F.encode("text", "UTF-8").alias("whole"), F.explode("runs").alias("run"))
+    each = texts.select("doc_id", "of", F.encode("text", "UTF-8").alias("whole"), F.explode("own").alias("run"))
     return each.selectExpr("doc_id", "of", "run.*", f"substring(whole, CAST(run.at AS int) + 1, run.starts - 1 + {length}) AS bytes")
 
 
@@ -336,6 +337,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     single = long_enough.join(several, equal_text & other, "left_anti")
 
     runs = written(single.mapInArrow(lambda batches: _find_runs(batches, run_schema, length, gram), run), "runs")
+    cut_schema = _arrow(docs, f"{run}, bytes binary")
     for block in (*(size for size in BLOCKS if 2 * size <= length), 0):
         tokens = runs.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
         shared = checked(written(tokens.where("n > 1").select("token"), "shared-anchors"))
@@ -345,21 +347,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
         # equal runs repeat whole; but for the first of them, where that is to stay
         equal = checked(sets.where("n > 1").select("token", "same", "first"), 100_000)
         again = met.join(equal, ["token", "same"])
+        is_first = F.struct("doc_id", "of", "at").eqNullSafe(F.struct("first.doc_id", "first.of", "first.at"))
         if keep_first:
-            again = again.where(~F.struct("doc_id", "of", "at").eqNullSafe(F.struct("first.doc_id", "first.of", "first.at")))
+            again = again.where(~is_first)
         out.append(again.selectExpr("doc_id", "of", "at AS start", f"at + starts - 1 + {length} AS end"))
         # runs that differ: a suffix array, or smaller blocks
         per = written(sets.groupBy("token").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1"), "differing-anchors")
-        heads = sets.selectExpr("token", "same", "first.*")
-        few = heads.join(checked(per.where(F.col("runs") <= group).select("token")), "token", "left_semi")
-        some = _with_bytes(few, texts, length).repartition("token").sortWithinPartitions("token", "doc_id", "of", "at")
-        spans = some.select("doc_id", "of", "at", "starts", "token", "bytes").mapInArrow(lambda batches: _compare(batches, span_schema, length, keep_first), span)
+        if per.isEmpty():
+            break
+        heads = sets.join(checked(per), "token")
+        if "bytes" in met.columns:  # blocks have kept theirs
+            heads = met.join(heads.select("token", "same", "first", "runs"), ["token", "same"]).where(is_first).dropDuplicates(["token", "same"])
+        else:
+            heads = _with_bytes(heads.selectExpr("token", "same", "first.*", "runs"), texts, length)
+        heads = written(heads.select("doc_id", "of", "at", "starts", "reach", "token", "same", "runs", "bytes"), "differing-runs")
+        few = heads.where(F.col("runs") <= group).repartition("token").sortWithinPartitions("token", "doc_id", "of", "at")
+        spans = few.select("doc_id", "of", "at", "starts", "token", "bytes").mapInArrow(lambda batches: _compare(batches, span_schema, length, keep_first), span)
         out.append(written(spans, "factor-spans"))
-        many = per.where(F.col("runs") > group).select("token")
+        many = heads.where(F.col("runs") > group).drop("runs")
         if not block or many.isEmpty():
             break
-        held = _with_bytes(heads.join(checked(many), "token", "left_semi"), texts, length)
-        runs = written(held.mapInArrow(lambda batches, block=block: _cut(batches, run_schema, length, block), run), "cut-runs")
+        runs = written(many.mapInArrow(lambda batches, block=block: _cut(batches, cut_schema, length, block), f"{run}, bytes binary"), "cut-runs")
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)
