@@ -317,14 +317,15 @@ def _file_per_source(lines: DataFrame, facts: DataFrame, name: str) -> str:
     return path
 
 
-_SERVICE = F.regexp_extract("file", "source=([^/]+)/", 1)
+def _service() -> Column:
+    return F.regexp_extract("file", "source=([^/]+)/", 1)
 
 
 def head_files(spark: SparkSession, sf: str) -> DataFrame:
     """The first 20 and the first 5,000 matches over the files in their order, with service and line number."""
     facts = _facts(spark, sf)
     logs = open_logs(spark, _file_per_source(render.json_lines(facts), facts, "head"), "json")
-    rows = [analyze(logs, level="WARN", limit=n).select(F.lit(n).alias("n"), _SERVICE.alias("service"), "line", "message") for n in (20, 5000)]
+    rows = [analyze(logs, level="WARN", limit=n).select(F.lit(n).alias("n"), _service().alias("service"), "line", "message") for n in (20, 5000)]
     return rows[0].unionByName(rows[1])
 
 
@@ -334,7 +335,7 @@ def tail_files(spark: SparkSession, sf: str) -> DataFrame:
     logs = open_logs(spark, _file_per_source(render.syslog_lines(facts), facts, "tail"), "syslog", default_year=YEAR)
     last = tail_logs(logs, 1200)
     back = F.row_number().over(Window.partitionBy("file").orderBy(F.col("pos").desc()))
-    return last.select(_SERVICE.alias("service"), back.cast("long").alias("back"), "level", "message").where("level = 'INFO'")
+    return last.select(_service().alias("service"), back.cast("long").alias("back"), "level", "message").where("level = 'INFO'")
 
 
 def file_order(spark: SparkSession, sf: str) -> DataFrame:
