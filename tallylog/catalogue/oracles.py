@@ -84,7 +84,7 @@ _NO_RANK = "CAST(NULL AS BIGINT) AS rank"
 _NO_FIGURES = "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS sum, CAST(NULL AS DOUBLE) AS avg"
 
 
-def _full_report() -> str:
+def _full_report(chosen: str = "level <> 'DEBUG'", matched: str = "m") -> str:
     def ranked(facet: str, inner: str, n: int) -> str:
         return (
             f"SELECT '{facet}' AS facet, value AS key, rank, count AS n, {_NO_FIGURES} FROM (SELECT value, count, "
@@ -98,7 +98,7 @@ def _full_report() -> str:
     )
     parts = [
         _report("summary", f"'total_entries' AS key, {_NO_RANK}, count(*) AS n, {_NO_FIGURES} FROM e"),
-        _report("summary", f"'matched_entries' AS key, {_NO_RANK}, count(*) AS n, {_NO_FIGURES} FROM m"),
+        _report("summary", f"'matched_entries' AS key, {_NO_RANK}, count(*) AS n, {_NO_FIGURES} FROM {matched}"),
         _report("first_timestamp", f"min(time) AS key, {_NO_RANK}, CAST(NULL AS BIGINT) AS n, {_NO_FIGURES} FROM m"),
         _report("last_timestamp", f"max(time) AS key, {_NO_RANK}, CAST(NULL AS BIGINT) AS n, {_NO_FIGURES} FROM m"),
         _report("level", f"level AS key, {_NO_RANK}, count(*) AS n, {_NO_FIGURES} FROM m GROUP BY level"),
@@ -111,7 +111,7 @@ def _full_report() -> str:
         ),
         numbers,
     ]
-    return _events(", m AS (SELECT * FROM j WHERE level <> 'DEBUG') " + " UNION ALL ".join(parts))
+    return _events(f", m AS (SELECT * FROM j WHERE {chosen}) " + " UNION ALL ".join(parts))
 
 
 _SECTIONS = (
@@ -363,6 +363,19 @@ UNION ALL SELECT 'number', 'user_id', count(*), min(user_id), max(user_id) FROM
 UNION ALL SELECT 'number', 'status', count(*), min(status), max(status) FROM j
 """
     ),
+    "stream_top": _full_report("TRUE", "e"),
+    "report_wide": """
+WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS number, 'customer ' || o_custkey AS message, CAST(o_totalprice AS DOUBLE) AS price,
+  CASE o_orderstatus WHEN 'F' THEN 'ERROR' WHEN 'O' THEN 'INFO' ELSE 'WARN' END AS level FROM orders)
+SELECT 'summary' AS facet, unnest(['total_entries', 'matched_entries']) AS key, CAST(NULL AS BIGINT) AS rank, count(*) AS n,
+  CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max FROM o
+UNION ALL SELECT 'level', level, NULL, count(*), NULL, NULL FROM o GROUP BY level
+UNION ALL SELECT 'group:number', number, NULL, count(*), NULL, NULL FROM o GROUP BY number
+UNION ALL SELECT 'number', 'number', NULL, count(*), min(CAST(number AS DOUBLE)), max(CAST(number AS DOUBLE)) FROM o
+UNION ALL SELECT 'number', 'price', NULL, count(*), round(min(price), 2), round(max(price), 2) FROM o
+UNION ALL (SELECT 'error', message, row_number() OVER (ORDER BY count(*) DESC, message) AS place, count(*), NULL, NULL
+  FROM o WHERE level = 'ERROR' GROUP BY message QUALIFY place <= 150)
+""",
     "detect_hard_files": _events(
         """
 SELECT 'my json' AS folder, count(*) AS n, count(*) FILTER (NOT broken) AS with_level FROM e

@@ -22,7 +22,7 @@ from tallylog.sources.lines import read_lines
 from tallylog.sources.logs import open_logs
 from tallylog.sources.ranges import open_file
 from tallylog.sources.records import csv_record_lines
-from tallylog.streaming.follow import follow, running_level_counts, running_report, start_query
+from tallylog.streaming.follow import follow, running_level_counts, running_report, start_query, top_report
 from tallylog.streaming.follow import follow_appended as follow_growing
 
 YEAR = 2024
@@ -288,6 +288,17 @@ def full_report(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("facet", "key", F.col("rank").cast("bigint").alias("rank"), "n", *figures)
 
 
+def report_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """The report over orders as JSON lines, grouped by their unique key, with more errors asked for than are ranked at once."""
+    orders = render.table(spark, sf, "orders")
+    level = F.when(F.col("o_orderstatus") == "F", "err").when(F.col("o_orderstatus") == "O", "info").otherwise("wrn")
+    message = F.concat(F.lit("customer "), F.col("o_custkey").cast("string"))
+    record = F.struct(level.alias("level"), message.alias("msg"), F.col("o_orderkey").alias("number"), F.col("o_totalprice").alias("price"))
+    rows = report(decode_json(orders.select(F.to_json(record).alias("value"))), group_by="number", top_errors=150)
+    figures = [F.round(name, 2).alias(name) for name in ("min", "max")]
+    return rows.select("facet", "key", F.col("rank").cast("bigint").alias("rank"), "n", *figures)
+
+
 # --- Order and limits -----------------------------------------------------------------------------
 
 
@@ -644,8 +655,22 @@ def stream_report(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(target).select("facet", "key", "n", "min", "max")
 
 
+def stream_top(spark: SparkSession, sf: str) -> DataFrame:
+    """The cut report after the last of several batches, by files that each bring some of every key."""
+    path = scratch_dir(spark, "arriving")
+    render.json_lines(_facts(spark, sf)).repartition(3, "line").select("value").write.text(path)
+    target = scratch_dir(spark, "top")
+    entries = follow(spark, path, "json", files_per_trigger=1)
+    deliver = lambda rows, _: rows.write.mode("overwrite").parquet(target)
+    top_report(entries, deliver, "source", top_ips=5, top_errors=15, available_now=True).start().awaitTermination()
+    figures = [F.round(name, 2).alias(name) for name in ("min", "max", "sum", "avg")]
+    return spark.read.parquet(target).select("facet", "key", F.col("rank").cast("bigint").alias("rank"), "n", *figures)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_report": stream_report,
+    "stream_top": stream_top,
+    "report_wide": report_wide,
     "detect_hard_files": detect_hard_files,
     "export_counts": export_counts,
     "export_text_csv": export_text_csv,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallylog.functions.fields import entry_field, folded_keys
-from tallylog.functions.text import absent_if_empty
+from tallylog.functions.text import absent_if_empty, fence
 from tallylog.functions.timestamps import iso_utc
 from tallylog.operators.aggregates import address, error_key, number
 
@@ -28,9 +28,7 @@ def report(
     first n. All of it is one scan, one shuffle of partial aggregates, and one of the results by rank.
     """
     totals = facet_totals(entries, predicate, group_by.lower(), top_ips > 0)
-    bounds = {"ip": top_ips, "error": top_errors}
-    ranked = _rank(totals, {facet: n for facet, n in bounds.items() if n > 0})
-    return with_summary_rows(ranked)
+    return with_summary_rows(rank_facets(totals, {"ip": top_ips, "error": top_errors}))
 
 
 def facet_totals(entries: DataFrame, predicate: Column | None, group_by: str, with_ips: bool) -> DataFrame:
@@ -93,29 +91,26 @@ def facet_totals(entries: DataFrame, predicate: Column | None, group_by: str, wi
     )
 
 
-def _rank(totals: DataFrame, bounds: dict[str, int]) -> DataFrame:
-    """Cut the bounded facets to their first rows; all other facets pass whole.
+def rank_facets(totals: DataFrame, bounds: dict[str, int]) -> DataFrame:
+    """Cut the bounded facets to their first rows; all other facets pass as they are, without a window.
 
-    A key of an unbounded facet is a window partition of its own, so no task holds such a facet.
+    Both branches read the same exchange: the fence keeps their filters above the aggregation.
     """
+    bounds = {facet: n for facet, n in bounds.items() if n > 0}
+    unranked = F.lit(None).cast("int").alias("rank")
     if not bounds:
-        return totals.withColumn("rank", F.lit(None).cast("int"))
+        return totals.select("*", unranked)
+    totals = fence(totals, "facet")
     bounded = F.col("facet").isin(*bounds)
-    widest = max(bounds.values())
-    slot = F.when(bounded, F.lit("")).otherwise(F.col("key"))
+    bound = F.element_at(F.create_map(*(F.lit(part) for pair in bounds.items() for part in pair)), F.col("facet"))
     order = [F.col("n").desc(), F.col("key")]
-    # slices of the keys are ranked in parallel first, as many as shuffles have partitions
+    # slices of the keys are cut in parallel first, as many as shuffles have partitions
     slices = int(totals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    piece = F.pmod(F.xxhash64("key"), F.lit(slices))
-    sliced = Window.partitionBy("facet", slot, piece).orderBy(*order)
-    totals = totals.withColumn("rank", F.row_number().over(sliced)).where(F.col("rank") <= widest).drop("rank")
-    whole = Window.partitionBy("facet", slot).orderBy(*order)
-    ranked = totals.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= widest)
-    bound = None
-    for facet, n in bounds.items():
-        condition = F.col("facet") == facet
-        bound = F.when(condition, n) if bound is None else bound.when(condition, n)
-    return ranked.where(~bounded | (F.col("rank") <= bound)).withColumn("rank", F.when(bounded, F.col("rank")))
+    sliced = Window.partitionBy("facet", F.pmod(F.xxhash64("key"), F.lit(slices))).orderBy(*order)
+    cut = totals.where(bounded).withColumn("rank", F.row_number().over(sliced)).where(F.col("rank") <= bound).drop("rank")
+    whole = Window.partitionBy("facet").orderBy(*order)
+    cut = cut.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= bound)
+    return totals.where(~bounded).select("*", unranked).unionByName(cut)
 
 
 def with_summary_rows(ranked: DataFrame) -> DataFrame:

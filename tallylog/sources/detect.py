@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import islice
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallylog.functions.text import trim_space
 from tallylog.functions.timestamps import MONTHS
 from tallylog.model import FORMAT_NAMES
-from tallylog.sources.lines import scan_position
+from tallylog.sources.lines import of_chosen_files, scan_position
+from tallylog.sources.ranges import COMPRESSED, file_sizes, is_compressed, open_file, seekable
 
 # Fixed value: number of leading lines looked at.
 SAMPLE_LINES = 10
@@ -20,6 +23,11 @@ SAMPLE_LINES = 10
 # Split size of the probe: larger files are split, and only their first split is looked at.
 _WHOLE_FILE = str(1 << 40)
 
+#: Files whose beginnings one task reads.
+FILES_PER_TASK = 256
+_OPEN_COST = 1 << 36
+_CHUNK = 1 << 14
+
 
 def parse_format(name: str) -> str:
     """Canonical format name; ``ValueError`` when unknown."""
@@ -29,8 +37,10 @@ def parse_format(name: str) -> str:
     return FORMAT_NAMES[key]
 
 
-def listed_files(spark: SparkSession, paths: str | list[str]) -> list[str]:
+def listed_files(spark: SparkSession, paths: str | list[str], on_file: Column | None = None) -> list[str]:
     """All files that ``paths`` stand for, as the scan names them (URL-encoded). The driver's file index holds them already."""
+    if on_file is not None:
+        return sorted(row["file"] for row in file_sizes(_packing(spark), paths, on_file).select("file").collect())
     # the index writes file:///x where the scan writes file:/x
     return sorted(re.sub(r"^(\w+):///", r"\1:/", file) for file in spark.read.text(paths).inputFiles())
 
@@ -73,23 +83,83 @@ def detect_formats(lines: DataFrame) -> DataFrame:
     return facts.select("file", fmt.alias("format"), "first_line")
 
 
-def file_heads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """The leading lines of every file: ``file``, ``line``, ``value``.
+def file_heads(spark: SparkSession, paths: str | list[str], files: list[str], on_file: Column | None = None) -> DataFrame:
+    """The leading lines of every file: ``file``, ``line``, ``value``. ``files`` is what ``paths`` (and ``on_file``) stand for.
 
-    Each task takes one small batch and stops, so a file of any size costs one buffered read. The probe
-    runs in a sibling session, where the split size and open cost give every file a task of its own and
-    the batch size is the sample size; the caller's settings are left alone.
+    Tasks hold FILES_PER_TASK paths each and read the beginning of one file after the other, no more of it than its first
+    lines take. Compressed files, and stores that Arrow cannot open, go through a scan that stops early.
     """
+    plain = [file for file in files if not is_compressed(file)]
+    if not plain or not seekable(plain[0]):
+        return _scanned_heads(spark, paths, on_file)
+    listed = file_sizes(_packing(spark), paths, on_file).where("size > 0")
+    read = listed.where(~_named_compressed()).select("file").mapInArrow(_heads, "file string, line bigint, value binary")
+    heads = read.select("file", "line", F.col("value").cast("string").alias("value"))
+    if len(plain) == len(files):
+        return heads
+    odd = _scanned_heads(spark, [literal_path(file) for file in files if is_compressed(file)])
+    return heads.unionByName(odd)
+
+
+def _named_compressed() -> Column:
+    return F.lower("file").rlike("(" + "|".join(COMPRESSED).replace(".", r"\.") + ")$")
+
+
+def first_lines(file: str, n: int = SAMPLE_LINES) -> list[bytes]:
+    """The first n lines of a file, read in chunks until they are whole."""
+    system, path = open_file(file)
+    data, feeds = [], 0
+    with system.open_input_stream(path) as source:
+        while feeds < n:
+            chunk = source.read(_CHUNK)
+            if not chunk:
+                break
+            data.append(chunk)
+            feeds += chunk.count(b"\n")
+    lines = b"".join(data).split(b"\n", n)
+    # what follows the n-th line, or the empty rest behind the last line feed
+    return lines[:n] if len(lines) > n or lines[-1] else lines[:-1]
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["file", "line", "value"]
+    for batch in batches:
+        for file in batch.column(0).to_pylist():
+            lines = first_lines(file)
+            columns = [pa.array([file] * len(lines), pa.string()), pa.array(range(1, len(lines) + 1), pa.int64()), pa.array(lines, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _sibling(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session with the settings of the caller's but these, so that the caller's are left alone."""
     probe = spark.newSession()
     for key, value in spark.conf.getAll.items():
         if spark.conf.isModifiable(key):
             probe.conf.set(key, value)
-    # with this bound several files would share a task, and only the first would be looked at
+    # with this bound the packing of files would depend on it
     probe.conf.unset("spark.sql.files.maxPartitionNum")
-    probe.conf.set("spark.sql.files.maxPartitionBytes", _WHOLE_FILE)
-    probe.conf.set("spark.sql.files.openCostInBytes", _WHOLE_FILE)
-    probe.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SAMPLE_LINES))
-    lines = probe.read.option("lineSep", "\n").text(paths)
+    for key, value in settings.items():
+        probe.conf.set(key, value)
+    return probe
+
+
+def _packing(spark: SparkSession) -> SparkSession:
+    """A session whose scans pack files by number: a file counts for its open cost, whatever its size."""
+    return _sibling(spark, {"spark.sql.files.maxPartitionBytes": str(FILES_PER_TASK * _OPEN_COST), "spark.sql.files.openCostInBytes": str(_OPEN_COST)})
+
+
+def _scanned_heads(spark: SparkSession, paths: str | list[str], on_file: Column | None = None) -> DataFrame:
+    """The leading lines of files of any kind, by a scan.
+
+    Each task takes one small batch and stops, so a file of any size costs one buffered read. The split size and open cost
+    give every file a task of its own, and the batch size is the sample size.
+    """
+    settings = {
+        "spark.sql.files.maxPartitionBytes": _WHOLE_FILE,
+        "spark.sql.files.openCostInBytes": _WHOLE_FILE,
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(SAMPLE_LINES),
+    }
+    lines = of_chosen_files(_sibling(spark, settings).read.option("lineSep", "\n").text(paths), on_file)
     placed = lines.select(*scan_position(), "value")
     located = placed.select("file", F.col("pos.block").alias("block"), (F.col("pos.seq") + 1).alias("line"), "value")
     # Local, so that tasks need not import this package.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import reduce
@@ -15,7 +16,7 @@ from tallylog.operators.limits import head, in_file_order, last_rows
 from tallylog.plans.scratch import written
 from tallylog.sources.decode import csv_entries, csv_header, decode, decode_csv
 from tallylog.sources.detect import detect_formats, file_heads, listed_files, literal_path, parse_format
-from tallylog.sources.lines import block_offsets, number_rows, read_lines, read_records
+from tallylog.sources.lines import block_offsets, choose_files, number_rows, read_lines, read_records
 from tallylog.sources.records import csv_record_lines
 from tallylog.sources.ranges import growing_windows, read_windows, tail_lines, windows_frame
 
@@ -37,6 +38,7 @@ class LogSource:
     branches: list[Branch]
     default_year: int | None = None
     multiline_csv: bool = False
+    on_file: Column | None = None
 
     def entries(
         self, raw_filter: Column | None = None, keep_rejected: bool = False, last: int | None = None
@@ -53,7 +55,7 @@ class LogSource:
         """The last n lines of every file, decoded; only the ends of the files are read. None where that cannot be."""
         parts = []
         for branch in self.branches:
-            lines = None if branch.fmt == "csv" else tail_lines(self.spark, branch.paths, n)
+            lines = None if branch.fmt == "csv" else tail_lines(self.spark, branch.paths, n, on_file=self.on_file)
             if lines is None:
                 return None
             parts.append(decode(lines, branch.fmt, default_year=self.default_year))
@@ -69,7 +71,7 @@ class LogSource:
         if len(self.branches) != 1 or self.branches[0].fmt == "csv":
             return None
         branch = self.branches[0]
-        groups = growing_windows(self.spark, branch.paths)
+        groups = growing_windows(self.spark, branch.paths, on_file=self.on_file)
         if groups is None:
             return None
         kept, used, left = [], [], n
@@ -106,11 +108,11 @@ class LogSource:
 
     def _branch_rows(self, branch: Branch) -> DataFrame:
         if branch.fmt == "csv":
-            lines = csv_record_lines(self.spark, branch.paths) if self.multiline_csv else None
+            lines = csv_record_lines(self.spark, branch.paths, on_file=self.on_file) if self.multiline_csv else None
             if lines is not None:
                 return lines
-            return read_records(self.spark, branch.paths, branch.header, self.multiline_csv)
-        return read_lines(self.spark, branch.paths)
+            return read_records(self.spark, branch.paths, branch.header, self.multiline_csv, self.on_file)
+        return read_lines(self.spark, branch.paths, self.on_file)
 
     def _branch_entries(
         self, branch: Branch, raw_filter: Column | None, keep_rejected: bool, last: int | None
@@ -139,36 +141,49 @@ def open_logs(
     fmt: str = "auto",
     default_year: int | None = None,
     multiline_csv: bool = False,
+    files: str = "",
+    modified_from: dt.datetime | None = None,
+    modified_to: dt.datetime | None = None,
 ) -> LogSource:
     """Open log files, directories or globs.
 
     With a known ``fmt`` nothing is read here, except the first line of each CSV file. With ``auto`` the
     first lines of every file are read and each file gets its own format; files decoded alike are then
-    scanned together, each once.
+    scanned together, each once. ``files`` (a regular expression found in the path) and the times of the last
+    modification (with a zone, inclusive) choose among the files; the others are never opened.
     """
     name = parse_format(fmt)
     asked = [paths] if isinstance(paths, str) else list(paths)
+    on_file = choose_files(files, modified_from, modified_to)
     if name not in ("auto", "csv"):
-        return LogSource(spark, [Branch(name, asked)], default_year, multiline_csv)
+        return LogSource(spark, [Branch(name, asked)], default_year, multiline_csv, on_file)
 
     # Every listed file gets a format, whatever its first lines hold; only CSV needs its first line here.
-    found = detect_formats(file_heads(spark, asked))
+    listed = listed_files(spark, asked, on_file)
+    if not listed:
+        return LogSource(spark, [], default_year, multiline_csv)
+    found = detect_formats(file_heads(spark, asked, listed, on_file))
     chosen = F.col("format") if name == "auto" else F.lit(name)
     rows = found.select("file", chosen.alias("format"), F.when(chosen == "csv", F.col("first_line")).alias("first_line"))
+    rows = written(rows, "formats")
+    alike = rows.groupBy("format", "first_line").count().limit(2).collect()
+    if len(alike) == 1 and alike[0]["count"] == len(listed) and (alike[0]["format"] != "csv" or alike[0]["first_line"]):
+        # one row for all files; the paths as given keep the plan small
+        header = csv_header(alike[0]["first_line"]) if alike[0]["format"] == "csv" else []
+        return LogSource(spark, [Branch(alike[0]["format"], asked, header)], default_year, multiline_csv, on_file)
     formats = {row["file"]: (row["format"], row["first_line"]) for row in rows.collect()}
     unread = "text" if name == "auto" else name
     groups: dict[tuple[str, str | None], list[str]] = defaultdict(list)
-    for file in listed_files(spark, asked):
+    for file in listed:
         groups[formats.get(file, (unread, None))].append(file)
     headless = groups.pop(("csv", None), [])
     for file, first_line in _later_headers(spark, headless).items():
         groups[("csv", first_line)].append(file)
     branches = []
-    for (group, first_line), files in sorted(groups.items(), key=lambda item: (item[0][0], item[0][1] or "")):
-        # The paths as given keep the plan small when all files are alike.
-        paths = asked if len(groups) == 1 else [literal_path(file) for file in sorted(files)]
+    for (group, first_line), members in sorted(groups.items(), key=lambda item: (item[0][0], item[0][1] or "")):
+        paths = asked if len(groups) == 1 else [literal_path(file) for file in sorted(members)]
         branches.append(Branch(group, paths, csv_header(first_line) if group == "csv" else []))
-    return LogSource(spark, branches, default_year, multiline_csv)
+    return LogSource(spark, branches, default_year, multiline_csv, on_file)
 
 
 def _later_headers(spark: SparkSession, files: list[str]) -> dict[str, str]:

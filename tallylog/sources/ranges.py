@@ -13,12 +13,13 @@ from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallylog.functions.text import non_blank
 from tallylog.operators.limits import last_rows
 from tallylog.plans.scratch import written
+from tallylog.sources.lines import of_chosen_files
 
 #: Bytes of a range, at most; a task holds one range and the rest of its last line.
 RANGE_BYTES = 8 << 20
@@ -27,7 +28,7 @@ FIRST_BYTES = 64 << 10
 GROWTH = 4
 #: Tasks that ranges are dealt to, at most.
 MOST_TASKS = 4096
-_COMPRESSED = (".gz", ".bz2", ".zst", ".snappy", ".lz4", ".deflate", ".xz")
+COMPRESSED = (".gz", ".bz2", ".zst", ".snappy", ".lz4", ".deflate", ".xz")
 _CHUNK = 1 << 16
 _SCHEMA = pa.schema([("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("value", pa.binary())])
 
@@ -41,9 +42,13 @@ def open_file(file: str) -> tuple[pafs.FileSystem, str]:
     return system, path
 
 
+def is_compressed(file: str) -> bool:
+    return file.lower().endswith(COMPRESSED)
+
+
 def seekable(file: str) -> bool:
     """Whether ranges of a file can be read."""
-    if file.lower().endswith(_COMPRESSED):
+    if is_compressed(file):
         return False
     try:
         open_file(file)
@@ -97,9 +102,9 @@ def as_lines(read: DataFrame) -> DataFrame:
     return read.select("file", F.struct("block", "seq").alias("pos"), plain.alias("value"))
 
 
-def file_sizes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``file`` and ``size`` of every file, from the listing; nothing is read."""
-    listed = spark.read.format("binaryFile").load(paths)
+def file_sizes(spark: SparkSession, paths: str | list[str], on_file: Column | None = None) -> DataFrame:
+    """``file`` and ``size`` of every file, or of the chosen ones, from the listing; nothing is read."""
+    listed = of_chosen_files(spark.read.format("binaryFile").load(paths), on_file)
     return listed.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
 
 
@@ -115,15 +120,17 @@ def read_windows(windows: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFram
     return as_lines(dealt.mapInArrow(_read, "file string, block bigint, seq bigint, value binary"))
 
 
-def tail_lines(spark: SparkSession, paths: str | list[str], n: int, first_bytes: int = FIRST_BYTES) -> DataFrame | None:
+def tail_lines(
+    spark: SparkSession, paths: str | list[str], n: int, first_bytes: int = FIRST_BYTES, on_file: Column | None = None
+) -> DataFrame | None:
     """The last n lines of every file that are not blank; None if a file has no ranges.
 
     Of each file the last bytes are counted, and of those with too few lines GROWTH times as many, until the window
     holds n lines or the file. So what is read of a file depends on n, not on the file.
     """
-    sizes = written(file_sizes(spark, paths).where("size > 0"), "tail-files")
+    sizes = written(file_sizes(spark, paths, on_file).where("size > 0"), "tail-files")
     some = sizes.select("file").first()
-    compressed = F.lower("file").rlike("(" + "|".join(_COMPRESSED).replace(".", r"\.") + ")$")
+    compressed = F.lower("file").rlike("(" + "|".join(COMPRESSED).replace(".", r"\.") + ")$")
     if some is not None and (not seekable(some["file"]) or not sizes.where(compressed).isEmpty()):
         return None
     done: list[DataFrame] = []
@@ -146,14 +153,16 @@ def tail_lines(spark: SparkSession, paths: str | list[str], n: int, first_bytes:
     return last_rows(read_windows(windows).where(non_blank(F.col("value"))), n)
 
 
-def growing_windows(spark: SparkSession, paths: str | list[str], first_bytes: int = 1 << 20) -> Iterator[list[tuple[str, int, int]]] | None:
+def growing_windows(
+    spark: SparkSession, paths: str | list[str], first_bytes: int = 1 << 20, on_file: Column | None = None
+) -> Iterator[list[tuple[str, int, int]]] | None:
     """All bytes of all files in file order, as groups of (file, start, stop), each GROWTH times as large as the one before.
 
     The files are listed as the groups need them. None if a file has no ranges.
     """
-    sizes = written(file_sizes(spark, paths).where("size > 0"), "head-files")
+    sizes = written(file_sizes(spark, paths, on_file).where("size > 0"), "head-files")
     some = sizes.select("file").first()
-    compressed = F.lower("file").rlike("(" + "|".join(_COMPRESSED).replace(".", r"\.") + ")$")
+    compressed = F.lower("file").rlike("(" + "|".join(COMPRESSED).replace(".", r"\.") + ")$")
     if some is not None and (not seekable(some["file"]) or not sizes.where(compressed).isEmpty()):
         return None
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallylog.plans.scratch import written
@@ -126,12 +126,14 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LINES)], schema=_LINES)
 
 
-def csv_record_lines(spark: SparkSession, paths: str | list[str], range_bytes: int = RANGE_BYTES) -> DataFrame | None:
+def csv_record_lines(
+    spark: SparkSession, paths: str | list[str], range_bytes: int = RANGE_BYTES, *, on_file: Column | None = None
+) -> DataFrame | None:
     """The records of CSV files as ``file``, ``pos``, ``value``, the header left out; None if a file has no ranges.
 
     The header begins in the first range of its file.
     """
-    sizes = written(file_sizes(spark, paths).where("size > 0"), "csv-files")
+    sizes = written(file_sizes(spark, paths, on_file).where("size > 0"), "csv-files")
     if any(not seekable(row["file"]) for row in sizes.select("file").toLocalIterator()):
         return None
     ranges = sizes.select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start"))

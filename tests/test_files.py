@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import gzip
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from tests.helpers import write_file
 
 from tallylog import aggregate, analyze, export, follow, open_logs, read_logs, stats, tail_logs
 from tallylog.sinks import field_keys, write_csv, write_json, write_parquet, write_report_csv, write_report_json
-from tallylog.sources import parse_format
+from tallylog.sources import file_heads, parse_format
+from tallylog.sources.detect import first_lines, listed_files
 from tallylog.streaming import running_level_counts, start_query
 
 JSON = """{"timestamp":"2024-01-15T08:23:01Z","level":"info","msg":"started","service":"api","ip":"10.0.0.1"}
@@ -329,3 +331,60 @@ def test_json_sink_keeps_zero_values_out(spark, tmp_path):
     entries = read_logs(spark, write_file(tmp_path / "t", "plain line\n"), "text")
     write_json(entries, f"file:{tmp_path}/o")
     assert _json_rows(tmp_path / "o") == [{"line": 1, "message": "plain line"}]
+
+
+def test_recognition_of_many_small_files(spark, tmp_path):
+    """Hundreds of files a task, and one row for the driver where all are alike."""
+    for i in range(5000):
+        (tmp_path / f"{i}.log").write_text(f"<{11 + i % 4}>Jan 15 08:00:00 host app[{i}]: said {i}\n")
+    files = listed_files(spark, str(tmp_path))
+    heads = file_heads(spark, str(tmp_path), files)
+    assert heads.rdd.getNumPartitions() < 100
+    logs = open_logs(spark, str(tmp_path))
+    assert [(b.fmt, b.paths) for b in logs.branches] == [("syslog", [str(tmp_path)])]
+    (tmp_path / "0.log").write_text('{"level": "info"}\n')
+    assert {b.fmt: len(b.paths) for b in open_logs(spark, str(tmp_path)).branches} == {"json": 1, "syslog": 4999}
+
+
+@pytest.mark.parametrize("text", ["", "\n", "a", "a\n", "\n\nb", "1\n" * 10, "1\n" * 10 + "x", "1\n" * 40, "y" * 40_000 + "\n2\n3"])
+def test_first_lines(tmp_path, text):
+    path = tmp_path / "f"
+    path.write_text(text)
+    lines = text.split("\n")
+    whole = lines[:-1] if not lines[-1] else lines
+    assert [line.decode() for line in first_lines(str(path))] == whole[:10]
+
+
+@pytest.mark.parametrize("fmt", ["json", "auto", "csv"])
+def test_files_are_chosen_before_they_are_opened(spark, tmp_path, fmt):
+    """By path and by time; what is not chosen is not read, and every job sees the same files."""
+    for i in range(6):
+        lines = CSV if fmt == "csv" else JSON
+        (tmp_path / f"{'api' if i % 2 else 'web'}-{i}.log").write_text(lines)
+        os.utime(tmp_path / f"{'api' if i % 2 else 'web'}-{i}.log", (1_700_000_000 + i, 1_700_000_000 + i))
+    at = lambda s: dt.datetime.fromtimestamp(1_700_000_000 + s, dt.timezone.utc)
+    logs = open_logs(spark, str(tmp_path), fmt, files="/api-", modified_from=at(2), modified_to=at(5))
+    names = {f"api-{i}.log" for i in (3, 5)}
+    scan = logs.entries().select("raw")
+    scan.collect()
+    read = [n for n in _nodes(scan._jdf.queryExecution().executedPlan()) if n.metrics().contains("numFiles")]
+    assert [n.metrics().apply("numFiles").value() for n in read] == [2]
+    for rows in (analyze(logs), analyze(logs, limit=1000), tail_logs(logs, 1000)):
+        assert {r.file.rsplit("/", 1)[1] for r in rows.collect()} == names
+    assert analyze(open_logs(spark, str(tmp_path), fmt, files="/none")).count() == 0
+    with pytest.raises(ValueError):
+        open_logs(spark, str(tmp_path), fmt, modified_from=dt.datetime(2024, 1, 1))
+
+
+def _nodes(plan):
+    """The scans of an executed plan."""
+    found, left = [], [plan]
+    while left:
+        node = left.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+            continue
+        found.append(node)
+        children = node.children()
+        left += [children.apply(i) for i in range(children.size())]
+    return found

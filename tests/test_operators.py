@@ -161,6 +161,18 @@ def test_report_large_and_unlimited_ranks(spark):
     assert everything.where("facet = 'ip'").isEmpty()
 
 
+def test_report_reads_its_figures_once(spark):
+    """Ranked and unranked facets share one exchange of partial figures, and no window sees an unranked facet."""
+    entries = make_entries(spark, *({"level": "ERROR", "message": f"m{i % 9}", "source": f"s{i}", "fields": {"ip": f"10.0.0.{i}"}} for i in range(40)))
+    rows = report(entries, group_by="source", top_ips=3, top_errors=2)
+    assert sorted((r.facet, r.rank) for r in rows.collect() if r["rank"]) == [("error", 1), ("error", 2), ("ip", 1), ("ip", 2), ("ip", 3)]
+    assert rows.where("facet = 'group:source' AND rank IS NULL").count() == 40
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1
+    windows = [line for line in plan.splitlines() if " Window [" in line or line.strip().startswith("Window [")]
+    assert all("facet" in line for line in windows)
+
+
 def test_report_of_nothing(spark):
     rows = report(_report(spark).where("false"), None, "level", 5, 5).collect()
     assert rows == []
