@@ -8,7 +8,8 @@ order inside a conversation comes from sums over stretches of STRETCH turn numbe
 
 Defined cases: turns are ordered by turn, role, text (nulls first), ties and repeated rows stay; a null role is the speaker
 ``unknown``; a null text is empty; a null conv_id is a conversation of its own; a conversation with system turns alone has no
-participant and no row. Special tokens inside a text are broken by a space after ``<|``. Other columns are ignored.
+participant and no row. Special tokens inside a text, or in the name of a user, are broken by a space after ``<|``. Texts
+of any length are rendered in their own rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +22,13 @@ STRETCH = 256
 UNKNOWN, SYSTEM = "unknown", "system"
 
 
+def _plain(text: Column) -> Column:
+    """Text that holds no special token."""
+    return F.replace(text, F.lit("<|"), F.lit("<| "))
+
+
 def _header(role: Column, speaker: Column) -> Column:
-    named = F.concat(F.lit("<|user|>"), role, F.lit(": "))
+    named = F.concat(F.lit("<|user|>"), _plain(role), F.lit(": "))
     return F.when(role == SYSTEM, F.lit("<|system|>")).when(role == speaker, F.lit("<|assistant|>")).otherwise(named)
 
 
@@ -36,7 +42,7 @@ def perspectives(turns: DataFrame) -> DataFrame:
         "conv_id",
         "turn",
         F.coalesce(F.when(F.col("role") != "", F.col("role")), F.lit(UNKNOWN)).alias("role"),
-        F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("<| ")).alias("said"),
+        _plain(F.coalesce("text", F.lit(""))).alias("said"),
         F.floor(F.col("turn") / STRETCH).alias("stretch"),
     )
     speakers = said.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("role").alias("speaker")).distinct()

@@ -138,7 +138,7 @@ WITH said AS (
 ), seats AS (
   SELECT s.*, p.speaker,
     CASE WHEN role = 'system' THEN '<|system|>' WHEN role = speaker THEN '<|assistant|>'
-         ELSE '<|user|>' || role || ': ' END AS header
+         ELSE '<|user|>' || replace(role, '<|', '<| ') || ': ' END AS header
   FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
 ), placed AS (
   SELECT *, header || said || '<|end|>' || chr(10) AS segment,

@@ -2,15 +2,17 @@
 
 Two variable-order Markov models over characters, one of the URLs that the rules allow and one of those they block, give every
 character of a URL a probability from its longest seen context, smoothed down to shorter ones (Witten-Bell). The score is the
-difference of log-likelihoods per character. The threshold is calibrated on a fifth of the ruled URLs that the models have not
-seen, for the best balanced accuracy. A URL at or above it is allowed.
+difference of log-likelihoods per character. The threshold is calibrated on a fifth of the ruled URLs, by hash, scored under
+models of the other four fifths, for the best balanced accuracy. A URL at or above it is allowed.
 
-Counts are over all ruled URLs. Everything is an aggregation or a join on grams of up to ORDER + 1 characters: probabilities
+The models that judge count all ruled URLs, the fifth included. Everything is an aggregation or a join on grams of up to ORDER + 1 characters: probabilities
 are worked out once per distinct gram of the URLs to be scored, then summed per URL; no model is collected or broadcast.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is scored on its own text; an
-empty URL, or models without both kinds of URL, scores 0, which is allowed when there is nothing to calibrate on. Repeated
-pages are judged each; a page_id that occurs twice keeps both rows.
+empty URL, or models without both kinds of URL, scores 0; without both kinds in the fifth and in the rest there is nothing to
+calibrate on, and the threshold is 0, which allows a score of 0. Repeated pages are judged each; a page_id that occurs twice
+keeps both rows. A URL of any length is cut into grams whole, in its own row; an empty table gives an empty result; columns
+other than page_id and url are ignored.
 """
 
 from __future__ import annotations
@@ -110,12 +112,15 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score (null where a rule decides) for every page."""
     ruled = written(with_rules(pages, rules).withColumn("text", F.coalesce("url", F.lit(""))), "urls")
     known = ruled.where("ruled IS NOT NULL")
-    fold = F.pmod(F.xxhash64("text"), F.lit(CALIBRATION)) == 0
-    grams = written(_grams(known.where(~fold), "ruled").groupBy("gram", "ruled").agg(F.count("*").alias("n")), "grams")
-    unseen = known.where(fold)
-    threshold = calibrated(unseen.join(scored(unseen, grams), "text"))
-    full = known.select("ruled", "text")
-    both = full.select("ruled").distinct().count() == 2
+    known = known.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(CALIBRATION)) == 0)
+    # counted apart in the fold, so that one table serves both pairs of models
+    grams = written(_grams(known, "ruled", "fold").groupBy("gram", "ruled", "fold").agg(F.count("*").alias("n")), "grams")
+    kinds = {(row["ruled"], row["fold"]) for row in known.select("ruled", "fold").distinct().collect()}
+    threshold = 0.0
+    if len(kinds) == 4:
+        unseen = known.where("fold")
+        threshold = calibrated(unseen.join(scored(unseen, grams.where("NOT fold")), "text"))
+    both = len({verdict for verdict, _ in kinds}) == 2
     rest = ruled.where("ruled IS NULL")
     scores = scored(rest, grams) if both else rest.select("text").distinct().withColumn("score", F.lit(0.0))
     out = ruled.join(written(scores, "url-scores"), "text", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -97,3 +98,38 @@ def rule_counts(text: str | None) -> tuple[int, int, int, int, int]:
             dups += line in seen
             seen.add(line)
     return len(own), sum(map(len, own)), sum(text.count(c) for c in "#*$%&|<>"), dups, len(covered)
+
+
+def url_models(known: list[tuple[str, str]], order: int = 4, alphabet: int = 128):
+    """Score of a URL under character models of ``known`` (url, allow or block), by plain counting."""
+    counts = {verdict: [Counter() for _ in range(order + 1)] for verdict in ("allow", "block")}
+
+    def grams(url: str) -> list[str]:
+        padded = "^" * order + url + "$"
+        return [padded[i : i + order + 1] for i in range(len(padded) - order)]
+
+    for url, verdict in known:
+        for gram in grams(url):
+            for k in range(order + 1):
+                counts[verdict][k][gram[order - k :]] += 1
+    seen = {v: [Counter() for _ in range(order + 1)] for v in counts}
+    kinds = {v: [Counter() for _ in range(order + 1)] for v in counts}
+    for v, tables in counts.items():
+        for k, table in enumerate(tables):
+            for tail, n in table.items():
+                seen[v][k][tail[:k]] += n
+                kinds[v][k][tail[:k]] += 1
+
+    def probability(v: str, gram: str) -> float:
+        p = 1 / alphabet
+        for k in range(order + 1):
+            tail = gram[order - k :]
+            if seen[v][k][tail[:k]]:
+                p = (counts[v][k][tail] + kinds[v][k][tail[:k]] * p) / (seen[v][k][tail[:k]] + kinds[v][k][tail[:k]])
+        return p
+
+    def score(url: str) -> float:
+        own = grams(url)
+        return sum(math.log(probability("allow", g)) - math.log(probability("block", g)) for g in own) / len(own)
+
+    return score
