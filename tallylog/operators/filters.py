@@ -26,7 +26,7 @@ def _check_pattern(pattern: str) -> None:
     try:
         session.sql("SELECT '' RLIKE :pattern", args={"pattern": pattern}).collect()
     except Exception as error:
-        raise ValueError(f"invalid regex {pattern!r}") from error
+        raise ValueError(f"Java cannot compile the pattern {pattern!r}") from error
 
 
 def _true_if(condition: Column) -> Column:
@@ -53,7 +53,7 @@ def field_filter(expression: str) -> Column:
     """
     name, colon, pattern = expression.partition(":")
     if not colon:
-        raise ValueError(f"invalid filter expression {expression!r} (expected field:pattern)")
+        raise ValueError(f"no colon between field and pattern in {expression!r}")
     name, pattern = name.strip().lower(), pattern.strip()
     _check_pattern(pattern)
     if name in FILTER_NAMED_COLUMNS:
@@ -77,11 +77,11 @@ def raw_filter(pattern: str) -> Column:
 
 def _instant(text: str, name: str) -> Column:
     if not _RFC3339.fullmatch(text):
-        raise ValueError(f"invalid {name} time {text!r} (expected RFC 3339)")
+        raise ValueError(f"{text!r} as the {name} time is not of the form 2024-01-31T08:00:00Z")
     try:
         moment = dt.datetime.fromisoformat(text)
     except ValueError as error:
-        raise ValueError(f"invalid {name} time {text!r} (expected RFC 3339)") from error
+        raise ValueError(f"{text!r} as the {name} time is not of the form 2024-01-31T08:00:00Z") from error
     micros = (moment - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)
     return F.timestamp_micros(F.lit(micros))
 

@@ -16,8 +16,8 @@ from tallylog.sinks import listing_lines, report_fragments
 @pytest.mark.parametrize(
     "entry",
     [
-        {"level": "INFO", "message": "An error occurred", "raw": "An error occurred"},
-        {"level": "ERROR", "message": "Something happened"},
+        {"level": "INFO", "message": "pump 3 sends eRrOr code 9", "raw": "pump 3"},
+        {"level": "ERROR", "message": "valve shut"},
         {"message": "x", "source": "error-gateway"},
         {"message": "x", "fields": {"service": "ERROR-cache"}},
         {"raw": "an Error"},
@@ -34,12 +34,12 @@ def _matching(spark, condition, *entries):
 
 def test_field_filter(spark):
     entries = [
-        {"level": "ERROR", "message": "connection timeout", "fields": {"Status": "503"}},
+        {"level": "ERROR", "message": "lease of berth ran out", "fields": {"Status": "503"}},
         {"source": "web", "fields": {"status": "200", "empty": ""}},
     ]
     assert _matching(spark, field_filter("level:ERROR"), *entries) == [1]
     assert _matching(spark, field_filter(" severity : ^$ "), *entries) == [2]
-    assert _matching(spark, field_filter("message:timeout"), *entries) == [1]
+    assert _matching(spark, field_filter("message:ran"), *entries) == [1]
     assert _matching(spark, field_filter("hostname:we"), *entries) == [2]
     assert _matching(spark, field_filter(r"status:5\d{2}"), *entries) == [1]
     assert _matching(spark, field_filter("STATUS:^2"), *entries) == [2]
@@ -62,7 +62,7 @@ def test_raw_and_time_filter(spark):
         {"raw": "turbine 4 spun down", "time": "2024-01-15T09:00:00Z"},
         {"raw": "no time 100.1.1.1"},
     ]
-    assert _matching(spark, raw_filter(r"\d{3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"), *entries) == [1, 3]
+    assert _matching(spark, raw_filter(r"^peer [\d.]+ hung|no time \S+$"), *entries) == [1, 3]
     assert _matching(spark, time_filter("2024-01-15T08:30:00Z", "2024-01-15T10:00:00+01:00"), *entries) == [1, 2]
     assert _matching(spark, time_filter("2024-01-15T08:30:00.5Z"), *entries) == [2]
     assert _matching(spark, time_filter(time_to="2024-01-15T08:59:59Z"), *entries) == [1]
