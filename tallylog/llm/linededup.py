@@ -1,4 +1,4 @@
-"""Line deduplication as an exact set-similarity join, with DataFrame operations only.
+"""Line deduplication as an exact set-similarity join: lines are tokenised in Arrow batches, everything else is DataFrame operations.
 
 The tokens of a line are its distinct lower-cased words. Of two lines whose sets have a Jaccard similarity of PERCENT or more,
 the later one (by doc_id, then line number) goes; a line goes if any earlier line matches it, whether or not that stays.
@@ -6,146 +6,301 @@ the later one (by doc_id, then line number) goes; a line goes if any earlier lin
 1. Token frequencies, added up in BUCKETS buckets of token hashes, give every token a rarity level: a table of BUCKETS bytes.
    The order of tokens (level, then hash) is the same in all lines, which is all that exactness asks of it.
 2. Equal sets are grouped (partial aggregation first); the earliest line stands for its set.
-3. Representatives send out the rarest tokens of their prefix: two sets that reach the threshold share one. Tokens that only
-   one line sends out are dropped after a count. Around a token, each line meets the earliest line there; what that confirms
-   needs no other partner. Only lines without a match are joined with the earlier ones of their tokens, under length,
-   positional and parity filters, none of which can lose a match.
-4. Candidates are verified on the whole sets.
+3. Representatives send out the rarest tokens of their prefix: two sets that reach the threshold share one. Around a token, lines
+   meet the earlier ones, under length, positional and parity filters, none of which can lose a match. Of its candidates each
+   line keeps the one nearest by parities, so that a group of similar lines never leaves the join as all its pairs.
+4. Nearest candidates are verified on the whole sets. Lines whose nearest one falls short meet all their candidates.
 
 Defined cases: a line of 1 to SHORT - 1 words matches the lines of the same words in the same order; lines without words stay;
 null texts have no line and come back null; lines of a null doc_id match nothing and stay; a text all of whose lines go comes
-back empty; rows that share doc_id and text are one document and lose the same lines; texts of any length are split in their
-own row; an empty table gives an empty result. All columns of the documents come back as they were, but for the text.
+back empty; rows that share doc_id and text are one document and lose the same lines; texts of any length are tokenised in
+blocks of CHUNK characters that end with a line; an empty table gives an empty result. All columns of the documents come back
+as they were, whatever their names, but for the text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallylog.functions.text import fence
-from tallylog.llm.common import WORD_BREAK, checked, written
+from tallylog.llm.common import checked, written
 
 #: Lines of fewer words are one token.
 SHORT = 5
 PERCENT = 75
-BUCKETS = 1 << 16
+BUCKETS = 1 << 20
 #: Levels per doubling of a frequency; a level must stay below 64.
 STEPS = 2
-#: Shared tokens that are broadcast together: single numbers, some 30 bytes each in memory.
-SHARED_ROWS = 4_000_000
-
-
-def _words(line: str) -> Column:
-    """The words of a line. Lines with nothing but spaces between words take the short way."""
-    other = F.when(F.col(line).rlike(r"[\x09\x0B-\x0D]|  "), F.regexp_replace(line, WORD_BREAK, " ")).otherwise(F.col(line))
-    return F.array_remove(F.split(other, " "), "")
-
-
-def _hashes(words: str) -> Column:
-    """Hashes of the words of a line, as often as they occur; one of the whole line if it is short, null without words."""
-    whole = F.array(F.xxhash64(F.size(words), F.array_join(words, " ")))
-    return F.when(F.size(words) >= SHORT, F.transform(words, lambda w: F.xxhash64(w))).when(F.size(words) > 0, whole)
-
-
-def _split(lines: DataFrame) -> DataFrame:
-    """``lines`` with w (words) for line. Fenced: a filter above must not copy the splitting of a line into each of its tokens."""
-    keys = [c for c in lines.columns if c != "line"]
-    return fence(lines.withColumn("line", F.lower("line")).select(*keys, _words("line").alias("w")), "w")
+#: Characters that are tokenised together, and lines that are sorted together (12 bits of a sort key).
+CHUNK = 1 << 20
+LINES = 1 << 12
+#: Tokens of 6 bits of level and 46 bits of hash.
+TOKEN_BITS = 52
+#: Rows of lines without a verified match that are broadcast; beyond it they are shuffled.
+REST_ROWS = 200_000
+
+_U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads the bits of 64-bit numbers, one to one."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+_BYTES = _mixed(np.arange(1, 257, dtype=_U) * _U(_BASE))
+_powers = [np.ones(1, _U), np.ones(1, _U)]
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, from 0 to n - 1 at least."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            factors = np.full(n, base, _U)
+            factors[0] = 1
+            _powers[k] = np.multiply.accumulate(factors)
+    return _powers
+
+
+def _parts(texts: Iterable[str]) -> Iterator[tuple[int, int, str]]:
+    """(number of the text, number of its first line, lines) of at most CHUNK characters or one line."""
+    for k, text in enumerate(texts):
+        at = no = 0
+        while len(text) - at > CHUNK:
+            end = text.rfind("\n", at, at + CHUNK)
+            end = end if end >= 0 else text.find("\n", at + CHUNK)
+            if end < 0:
+                break
+            yield k, no, text[at:end]
+            no += text.count("\n", at, end) + 1
+            at = end + 1
+        yield k, no, text[at:]
+
+
+class _Block:
+    """Lines of several texts: the hashes of all words and the line each is in; for every line its text and number there."""
+
+    def __init__(self, parts: list[tuple[int, int, str]]):
+        data = [part.lower().encode() for _, _, part in parts]
+        buf = np.frombuffer(b"\n".join(data), np.uint8)
+        edges = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[buf], [True]))))
+        start, end = edges[::2], edges[1::2]
+        power, inverse = _powers_to(len(buf) + 1)
+        sums = np.zeros(len(buf) + 1, _U)
+        np.cumsum(_BYTES[buf] * power[: len(buf)], out=sums[1:])
+        self.hashes = _mixed((sums[end] - sums[start]) * inverse[start])
+        self.line = np.searchsorted(np.flatnonzero(buf == 10), start)
+        of_part = np.array([d.count(b"\n") + 1 for d in data])
+        self.lines = int(of_part.sum())
+        self.text = np.repeat(np.array([k for k, _, _ in parts]), of_part)
+        firsts = np.cumsum(of_part) - of_part
+        self.number = np.arange(self.lines) + np.repeat(np.array([no for _, no, _ in parts]) - firsts, of_part)
+
+
+def _blocks(texts: Iterable[str]) -> Iterator[_Block]:
+    parts, size = [], 0
+    for part in _parts(texts):
+        if parts and size + len(part[2]) > CHUNK:
+            yield _Block(parts)
+            parts, size = [], 0
+        parts.append(part)
+        size += len(part[2])
+    if parts:
+        yield _Block(parts)
+
+
+class _Sets:
+    """Lines of a block in order: at (index in the block), start and n of each in tokens, which are sorted rarest first."""
+
+    def __init__(self, at: np.ndarray, start: np.ndarray, tokens: np.ndarray):
+        self.at, self.start, self.tokens = at, start, tokens
+        self.n = np.diff(np.append(start, len(tokens)))
+
+    def cut(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and tokens of the first ``size`` tokens of each line."""
+        place = np.arange(len(self.tokens)) - np.repeat(self.start, self.n)
+        return np.append(0, np.cumsum(size)), self.tokens[place < np.repeat(size, self.n)]
+
+    def reduced(self, by: np.ufunc, values: np.ndarray) -> np.ndarray:
+        return by.reduceat(values, self.start)
+
+
+def _long_lines(block: _Block, levels: np.ndarray) -> Iterator[_Sets]:
+    """The lines of SHORT words or more, LINES at a time."""
+    words = np.bincount(block.line, minlength=block.lines)
+    for low in range(0, block.lines, LINES):
+        first, last = np.searchsorted(block.line, (low, low + LINES))
+        line, hashes = block.line[first:last], block.hashes[first:last]
+        long = words[line] >= SHORT
+        line, hashes = line[long], hashes[long]
+        if not len(line):
+            continue
+        level = levels[(hashes & _U(BUCKETS - 1)).astype(np.int64)].astype(_U)
+        keys = ((line - low).astype(_U) << _U(TOKEN_BITS)) | (level << _U(TOKEN_BITS - 6)) | (hashes >> _U(70 - TOKEN_BITS))
+        keys.sort()
+        keys = keys[np.append(True, keys[1:] != keys[:-1])]
+        of = (keys >> _U(TOKEN_BITS)).astype(np.int64)
+        start = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        yield _Sets(of[start] + low, start, keys & _U((1 << TOKEN_BITS) - 1))
+
+
+def _short_lines(block: _Block) -> tuple[np.ndarray, np.ndarray]:
+    """Index and hash of the word sequence of every line of fewer words."""
+    words = np.bincount(block.line, minlength=block.lines)
+    short = words[block.line] < SHORT
+    line, hashes = block.line[short], block.hashes[short]
+    if not len(line):
+        return line, hashes
+    start = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+    place = np.arange(len(line)) - np.repeat(start, np.diff(np.append(start, len(line))))
+    return line[start], _mixed(np.add.reduceat(_mixed(hashes + (place + 1).astype(_U) * _U(_BASE)), start))
+
+
+def _bucket_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for block in _blocks(batch.column(0).to_pylist()):
+            counts += np.bincount((block.hashes & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    bucket = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(counts[bucket])], ["bucket", "n"])
 
 
 def rarity_levels(docs: DataFrame) -> bytes:
-    """A level per bucket of token hashes, from the frequencies in all lines: BUCKETS bytes, whatever the input."""
-    tokens = _split(_lines(docs).select("line")).select(F.explode(_hashes("w")).alias("h"))
-    sums = tokens.groupBy(F.pmod("h", F.lit(BUCKETS)).alias("bucket")).count()
-    levels = bytearray(BUCKETS)
-    for row in sums.select("bucket", F.least(F.lit(63), F.floor(STEPS * F.log2(F.col("count") + 1))).alias("level")).collect():
-        levels[row.bucket] = row.level
-    return bytes(levels)
-
-
-def _tokens(lines: DataFrame, levels: bytes) -> DataFrame:
-    """``lines`` with tokens for line: sorted numbers, rarest first (six bits of level, then the hash), null if too few words."""
-    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<tinyint>")  # a constant, folded once
+    """A level per bucket of word hashes, from the frequencies in all texts: BUCKETS bytes, whatever the input."""
+    counted = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("text").mapInArrow(_bucket_counts, "bucket int, n long")
+    level = F.least(F.lit(63), F.floor(STEPS * F.log2(F.sum("n") + 1))).cast("int")
+    rows = counted.groupBy("bucket").agg(level.alias("level")).toArrow()
+    levels = np.zeros(BUCKETS, np.uint8)
+    levels[rows["bucket"].to_numpy()] = rows["level"].to_numpy()
+    return levels.tobytes()
+
+
+def _numbers(batch: pa.RecordBatch, block: _Block, at: np.ndarray) -> list[pa.Array]:
+    """doc_id and seq of the lines ``at`` of a block."""
+    ids, of = (batch.column(k).to_numpy(zero_copy_only=False)[block.text[at]] for k in (0, 1))
+    return [pa.array(ids), pa.array((block.number[at] << 31) | (of.view(_U) >> _U(33)).astype(np.int64))]
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _in_brief(levels: bytes) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(levels, np.uint8)
+        names = ["doc_id", "seq", "n", "of_set", "prefix", "parity_0", "parity_1"]
+        for batch in batches:
+            for block in _blocks(batch.column(2).to_pylist()):
+                at, whole = _short_lines(block)
+                if len(at):
+                    zeros = np.zeros(len(at), np.int64)
+                    nothing = pa.ListArray.from_arrays(pa.array(np.zeros(len(at) + 1, np.int32)), pa.array([], pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*_numbers(batch, block, at), pa.array(zeros.astype(np.int32)), _signed(whole), nothing, pa.array(zeros), pa.array(zeros)], names)
+                for sets in _long_lines(block, table):
+                    # n - ceil(n * t) + 1 tokens: a set that shares none of them falls short of the threshold
+                    offsets, prefix = sets.cut(np.where(sets.n > 2, sets.n + (-PERCENT * sets.n) // 100 + 1, 0))
+                    prefix = (_mixed(prefix) >> _U(32)).astype(np.uint32).view(np.int32)
+                    bit = _U(1) << (sets.tokens & _U(63))
+                    half = (sets.tokens & _U(64)) > 0
+                    parities = [sets.reduced(np.bitwise_xor, np.where(half == k, bit, _U(0))) for k in (False, True)]
+                    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(prefix))
+                    of_set = sets.reduced(np.add, _mixed(sets.tokens))
+                    yield pa.RecordBatch.from_arrays([*_numbers(batch, block, sets.at), pa.array(sets.n.astype(np.int32)), _signed(of_set), lists, *map(_signed, parities)], names)
+
+    return run
+
+
+def _wanted(levels: bytes) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(levels, np.uint8)
+        for batch in batches:
+            want = batch.column(3).to_pylist()
+            for block in _blocks(batch.column(2).to_pylist()):
+                for sets in _long_lines(block, table):
+                    ids, seqs = _numbers(batch, block, sets.at)
+                    of = block.text[sets.at]
+                    own = {k: set(want[k]) for k in np.unique(of).tolist()}
+                    asked = np.array([seq in own[k] for seq, k in zip(seqs.to_pylist(), of.tolist(), strict=True)], bool)
+                    offsets, tokens = sets.cut(np.where(asked, sets.n, 0))
+                    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), _signed(tokens))
+                    yield pa.RecordBatch.from_arrays([ids, seqs, lists], ["doc_id", "seq", "tokens"]).filter(pa.array(asked))
+
+    return run
 
-    def token(h: Column) -> Column:
-        level = F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int"))
-        return F.shiftleft(level.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
-    keys = [c for c in lines.columns if c != "line"]
-    hashed = _split(lines).select(*keys, F.array_distinct(_hashes("w")).alias("h"))
-    return fence(hashed.select(*keys, F.sort_array(F.transform("h", token)).alias("tokens")), "tokens")
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, seq (line number, told apart by text) and line, for the lines long enough to match."""
-    numbered = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("of"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return numbered.select("doc_id", F.shiftleft(F.col("no").cast("long"), 31).bitwiseOR(F.shiftrightunsigned("of", 33)).alias("seq"), "line")
+def _enough(shared: str, one: str, two: str) -> str:
+    return f"100 * {shared} >= {PERCENT} * ({one} + {two} - {shared})"
 
 
-def _parity(half: int) -> str:
-    """64 of 128 bits: a bit is set if an odd number of tokens falls on it."""
-    return f"aggregate(filter(tokens, x -> (x & 64L) = {64 * half}L), 0L, (a, x) -> a ^ shiftleft(1L, CAST(x & 63L AS int)))"
+def _sent(lines: DataFrame) -> DataFrame:
+    """A row per token of the prefixes; n_pos is the size of the set above the place of the token."""
+    sent = lines.selectExpr("doc_id", "seq", "n", "posexplode(prefix) AS (pos, token)", "parity_0", "parity_1")
+    return sent.selectExpr("token", "doc_id", "seq", "shiftleft(CAST(n AS bigint), 32) | pos AS n_pos", "parity_0", "parity_1")
 
 
-def _enough(shared: str, one: str, two: str) -> str:
-    return f"100 * {shared} >= {PERCENT} * ({one} + {two} - {shared})"
+def _candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """doc_id, seq, to_doc, to_seq and apart (a lower bound of the tokens that one of both has alone) of what passes all filters."""
+    a, b = later.alias("a"), earlier.alias("b")
+    # positional filter: behind the first shared token at places i and j at most min(n - i, m - j) tokens can be shared
+    n, m, i, j = "(a.n_pos >> 32)", "(b.n_pos >> 32)", "(a.n_pos & 4294967295L)", "(b.n_pos & 4294967295L)"
+    # every token that one set has alone flips one of 128 bits, and sets that reach the threshold have few of those
+    apart = "(bit_count(a.parity_0 ^ b.parity_0) + bit_count(a.parity_1 ^ b.parity_1))"
+    total = 100 + PERCENT
+    alone = f"{n} + {m} - 2 * (({PERCENT} * ({n} + {m}) + {total - 1}) div {total})"
+    near = a.join(
+        b,
+        F.expr("a.token = b.token")
+        & F.expr("b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.seq < a.seq)")
+        & F.expr(_enough(f"least({n} - {i}, {m} - {j})", n, m))
+        & F.expr(f"{apart} <= {alone}"),
+    )
+    return near.selectExpr("a.doc_id", "a.seq", "b.doc_id AS to_doc", "b.seq AS to_seq", f"{apart} AS apart")
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, seq of every line to be removed from ``docs`` (doc_id, text)."""
+    """doc_id, seq (line number, told apart by text) of every line to be removed from ``docs`` (doc_id, text)."""
     levels = rarity_levels(docs)
-    sets = _tokens(_lines(docs), levels).where("tokens IS NOT NULL").withColumn("n", F.size("tokens"))
-    # n - ceil(n * t) + 1 tokens: a set that shares none of them falls short of the threshold
-    prefix = f"slice(tokens, 1, n - CAST(ceil(n * {PERCENT} / 100D) AS int) + 1)"
-    brief = sets.selectExpr("doc_id", "seq", "n", f"{prefix} AS prefix", "aggregate(tokens, 0L, (a, x) -> xxhash64(a, x)) AS of_set", *(f"{_parity(k)} AS parity_{k}" for k in (0, 1)))
-    brief = written(brief, "lines")
+    schema = "doc_id long, seq long, n int, of_set long, prefix array<int>, parity_0 long, parity_1 long"
+    brief = written(_texts(docs).mapInArrow(_in_brief(levels), schema), "lines")
 
     first = brief.groupBy("of_set", "n").agg(F.min(F.struct("doc_id", "seq")).alias("head"))
     first = written(first.select("of_set", "n", "head.doc_id", "head.seq"), "line-sets")
-    heads_of = first.withColumnsRenamed({"doc_id": "head_doc", "seq": "head_seq"})
+    heads_of = checked(first.withColumnsRenamed({"doc_id": "head_doc", "seq": "head_seq"}))
     same = brief.select("of_set", "n", "doc_id", "seq").join(heads_of, ["of_set", "n"]).where("head_doc <> doc_id OR head_seq <> seq")
-    heads = brief.join(first, ["of_set", "n", "doc_id", "seq"], "left_semi")
 
     # one or two tokens match nothing but an equal set
-    heads = heads.where("n > 2")
-    sent = heads.select(F.explode("prefix").alias("token")).groupBy("token").count()
-    shared = checked(written(sent.where("count > 1").select("token"), "line-shared"), SHARED_ROWS)
-    led = heads.selectExpr("doc_id", "seq", "n", "posexplode(prefix) AS (pos, token)").join(shared, "token", "left_semi")
-    around = "PARTITION BY token ORDER BY doc_id, seq"
-    led = led.selectExpr("*", f"first(struct(doc_id, seq, n, pos)) OVER ({around}) AS lead", f"row_number() OVER ({around}) AS place")
-    # positional filter: behind a shared token at places i and j at most min(n - i, m - j) tokens can be shared
-    reach = _enough("least(n - pos, lead.n - lead.pos)", "n", "lead.n")
-    led = written(led.selectExpr("doc_id", "seq", "n", "pos", "token", "lead.doc_id AS to_doc", "lead.seq AS to_seq", "place", f"{reach} AS near"), "line-led")
-    pairs = led.where("place > 1 AND near AND (to_doc <> doc_id OR to_seq <> seq)").select("doc_id", "seq", "to_doc", "to_seq").distinct()
-    led_found = written(_verified(docs, levels, written(pairs, "line-pairs")), "line-found")
-
-    # those without a match: against all earlier lines around their tokens
-    parities = heads.select("doc_id", "seq", "parity_0", "parity_1")
-    marked = led.where("place > 1").join(parities, ["doc_id", "seq"]).select("doc_id", "seq", "n", "pos", "token", "place", "parity_0", "parity_1")
-    marked = written(marked.distinct(), "line-marked")
-    rest = marked.where("place > 2").join(led_found, ["doc_id", "seq"], "left_anti").drop("place")
-    earlier = marked.selectExpr("doc_id AS to_doc", "seq AS to_seq", "n AS to_n", "pos AS to_pos", "token", "parity_0 AS to_parity_0", "parity_1 AS to_parity_1")
-    # every token that one set has alone flips one of 128 bits, and sets that reach the threshold have few of those
-    apart = "bit_count(parity_0 ^ to_parity_0) + bit_count(parity_1 ^ to_parity_1)"
-    alone = f"n + to_n - 2 * CAST(ceil({PERCENT} * (n + to_n) / {100 + PERCENT}D) AS int)"
-    joined = rest.join(
-        earlier,
-        (rest["token"] == earlier["token"])
-        & F.expr("(to_doc < doc_id OR (to_doc = doc_id AND to_seq < seq))")
-        & F.expr(_enough("least(n - pos, to_n - to_pos)", "n", "to_n"))
-        & F.expr(f"{apart} <= {alone}"),
-    )
-    more = written(joined.select("doc_id", "seq", "to_doc", "to_seq").distinct(), "line-pairs")
-    return same.select("doc_id", "seq").unionByName(led_found).unionByName(_verified(docs, levels, more)).distinct()
+    heads = brief.where("n > 2").join(checked(first.where("n > 2").select("doc_id", "seq")), ["doc_id", "seq"], "left_semi")
+    sent = _sent(heads)
+    nearest = _candidates(sent, sent).groupBy("doc_id", "seq").agg(F.min(F.struct("apart", "to_doc", "to_seq")).alias("to"))
+    nearest = written(nearest.select("doc_id", "seq", "to.to_doc", "to.to_seq"), "line-nearest")
+    found = written(_verified(docs, levels, nearest), "line-found")
+
+    rest = nearest.select("doc_id", "seq").join(checked(found), ["doc_id", "seq"], "left_anti")
+    rest = written(_sent(heads.join(checked(written(rest, "line-rest")), ["doc_id", "seq"], "left_semi")), "line-rest-sent")
+    more = written(_candidates(checked(rest, REST_ROWS), sent).drop("apart").distinct(), "line-pairs")
+    return same.select("doc_id", "seq").unionByName(found).unionByName(_verified(docs, levels, more)).distinct()
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("of"), "text")
 
 
 def _verified(docs: DataFrame, levels: bytes, pairs: DataFrame) -> DataFrame:
     """The (doc_id, seq) of ``pairs`` whose partner (to_doc, to_seq) is similar enough, on the whole sets."""
-    ends = pairs.select("doc_id", "seq").unionByName(pairs.select(F.col("to_doc").alias("doc_id"), F.col("to_seq").alias("seq"))).distinct()
-    ends = written(ends, "line-ends")
-    some = docs.join(checked(ends.select("doc_id").distinct()), "doc_id", "left_semi")
-    sets = written(_tokens(_lines(some).join(checked(ends), ["doc_id", "seq"], "left_semi"), levels), "line-tokens").dropDuplicates(["doc_id", "seq"])
+    ends = pairs.select("doc_id", "seq").unionByName(pairs.select(F.col("to_doc").alias("doc_id"), F.col("to_seq").alias("seq")))
+    want = written(ends.groupBy("doc_id").agg(F.collect_set("seq").alias("want")), "line-ends")
+    some = _texts(docs).join(checked(want), "doc_id").select("doc_id", "of", "text", "want")
+    sets = some.mapInArrow(_wanted(levels), "doc_id long, seq long, tokens array<long>")
+    sets = written(sets, "line-tokens").dropDuplicates(["doc_id", "seq"])
     both = pairs.join(sets, ["doc_id", "seq"]).join(sets.selectExpr("doc_id AS to_doc", "seq AS to_seq", "tokens AS to_tokens"), ["to_doc", "to_seq"])
     shared = both.withColumn("shared", F.size(F.array_intersect("tokens", "to_tokens")))
     return shared.where(_enough("shared", "size(tokens)", "size(to_tokens)")).select("doc_id", "seq").distinct()
