@@ -7,8 +7,8 @@ the later one (by doc_id, then line number) goes; a line goes if any earlier lin
    The order of tokens (level, then hash) is the same in all lines, which is all that exactness asks of it.
 2. Equal sets are grouped (partial aggregation first); the earliest line stands for its set.
 3. Representatives send out the rarest tokens of their prefix: two sets that reach the threshold share one. Around a token, lines
-   meet the earlier ones, under length, positional and parity filters, none of which can lose a match. Of its candidates each
-   line keeps the one nearest by parities, so that a group of similar lines never leaves the join as all its pairs.
+   meet the earlier ones, under length, positional and parity filters, none of which can lose a match; one that is near the
+   first line of its size and place there meets only that. Of its candidates each line keeps the one nearest by parities.
 4. Nearest candidates are verified on the whole sets. Lines whose nearest one falls short meet all their candidates.
 
 Defined cases: a line of 1 to SHORT - 1 words matches the lines of the same words in the same order; lines without words stay;
@@ -41,8 +41,6 @@ CHUNK = 1 << 20
 LINES = 1 << 12
 #: Tokens of 6 bits of level and 46 bits of hash.
 TOKEN_BITS = 52
-#: Rows of lines without a verified match that are broadcast; beyond it they are shuffled.
-REST_ROWS = 200_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -247,23 +245,41 @@ def _sent(lines: DataFrame) -> DataFrame:
     return sent.selectExpr("token", "doc_id", "seq", "shiftleft(CAST(n AS bigint), 32) | pos AS n_pos", "parity_0", "parity_1")
 
 
-def _candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
-    """doc_id, seq, to_doc, to_seq and apart (a lower bound of the tokens that one of both has alone) of what passes all filters."""
-    a, b = later.alias("a"), earlier.alias("b")
+def _near(a: str, b: str) -> tuple[str, str]:
+    """Conditions on prefix tokens ``a`` and ``b`` of two lines that no pair fails at the first token it shares, and how many
+    tokens one of both has alone at least."""
     # positional filter: behind the first shared token at places i and j at most min(n - i, m - j) tokens can be shared
-    n, m, i, j = "(a.n_pos >> 32)", "(b.n_pos >> 32)", "(a.n_pos & 4294967295L)", "(b.n_pos & 4294967295L)"
+    n, m, i, j = f"({a}n_pos >> 32)", f"({b}n_pos >> 32)", f"({a}n_pos & 4294967295L)", f"({b}n_pos & 4294967295L)"
     # every token that one set has alone flips one of 128 bits, and sets that reach the threshold have few of those
-    apart = "(bit_count(a.parity_0 ^ b.parity_0) + bit_count(a.parity_1 ^ b.parity_1))"
+    apart = f"(bit_count({a}parity_0 ^ {b}parity_0) + bit_count({a}parity_1 ^ {b}parity_1))"
     total = 100 + PERCENT
     alone = f"{n} + {m} - 2 * (({PERCENT} * ({n} + {m}) + {total - 1}) div {total})"
-    near = a.join(
-        b,
-        F.expr("a.token = b.token")
-        & F.expr("b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.seq < a.seq)")
-        & F.expr(_enough(f"least({n} - {i}, {m} - {j})", n, m))
-        & F.expr(f"{apart} <= {alone}"),
-    )
-    return near.selectExpr("a.doc_id", "a.seq", "b.doc_id AS to_doc", "b.seq AS to_seq", f"{apart} AS apart")
+    return f"{_enough(f'least({n} - {i}, {m} - {j})', n, m)} AND {apart} <= {alone}", apart
+
+
+def _earlier(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """doc_id, seq, to_doc, to_seq, apart of the lines that meet around a token of ``later`` and pass all filters."""
+    near, apart = _near("a.", "b.")
+    order = "(b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.seq < a.seq))"
+    joined = later.alias("a").join(earlier.alias("b"), F.expr(f"a.token = b.token AND {order} AND {near}"))
+    return joined.selectExpr("a.doc_id", "a.seq", "b.doc_id AS to_doc", "b.seq AS to_seq", f"{apart} AS apart")
+
+
+def _nearest(sent: DataFrame) -> DataFrame:
+    """doc_id, seq, to_doc, to_seq of the nearest earlier candidate of every line that has one; more: there may be others.
+
+    A line that is near the first one of its size and place around a token meets no other line there: a large group of similar
+    lines makes a row per line, not per pair. Whether that line matches is verified later.
+    """
+    fields = ("doc_id", "seq", "n_pos", "parity_0", "parity_1")
+    lead = sent.selectExpr("*", f"first(struct({', '.join(fields)})) OVER (PARTITION BY token, n_pos ORDER BY doc_id, seq) AS lead")
+    near, apart = _near("", "lead.")
+    lead = lead.withColumn("led", F.expr(f"(lead.doc_id <> doc_id OR lead.seq <> seq) AND {near}"))
+    by_lead = lead.where("led").selectExpr("doc_id", "seq", "lead.doc_id AS to_doc", "lead.seq AS to_seq", f"{apart} AS apart", "true AS led")
+    met = _earlier(lead.where("NOT led").drop("lead", "led"), sent).withColumn("led", F.lit(False))
+    to, low, high = (f"{f}({s})" for f, s in (("min", "struct(apart, to_doc, to_seq)"), ("min", "struct(to_doc, to_seq)"), ("max", "struct(to_doc, to_seq)")))
+    nearest = by_lead.unionByName(met).groupBy("doc_id", "seq").agg(F.expr(to).alias("to"), F.expr(f"bool_or(led) OR {low} <> {high}").alias("more"))
+    return nearest.select("doc_id", "seq", "to.to_doc", "to.to_seq", "more")
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -272,21 +288,20 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, seq long, n int, of_set long, prefix array<int>, parity_0 long, parity_1 long"
     brief = written(_texts(docs).mapInArrow(_in_brief(levels), schema), "lines")
 
-    first = brief.groupBy("of_set", "n").agg(F.min(F.struct("doc_id", "seq")).alias("head"))
-    first = written(first.select("of_set", "n", "head.doc_id", "head.seq"), "line-sets")
-    heads_of = checked(first.withColumnsRenamed({"doc_id": "head_doc", "seq": "head_seq"}))
+    # joins of two tables that grow with the input shuffle at every size
+    first = brief.groupBy("of_set", "n").agg(F.min(F.struct("doc_id", "seq", "prefix", "parity_0", "parity_1")).alias("head"))
+    heads = written(first.select("of_set", "n", "head.*"), "line-heads")
+    heads_of = heads.selectExpr("of_set", "n", "doc_id AS head_doc", "seq AS head_seq").hint("merge")
     same = brief.select("of_set", "n", "doc_id", "seq").join(heads_of, ["of_set", "n"]).where("head_doc <> doc_id OR head_seq <> seq")
 
     # one or two tokens match nothing but an equal set
-    heads = brief.where("n > 2").join(checked(first.where("n > 2").select("doc_id", "seq")), ["doc_id", "seq"], "left_semi")
-    sent = _sent(heads)
-    nearest = _candidates(sent, sent).groupBy("doc_id", "seq").agg(F.min(F.struct("apart", "to_doc", "to_seq")).alias("to"))
-    nearest = written(nearest.select("doc_id", "seq", "to.to_doc", "to.to_seq"), "line-nearest")
-    found = written(_verified(docs, levels, nearest), "line-found")
-
-    rest = nearest.select("doc_id", "seq").join(checked(found), ["doc_id", "seq"], "left_anti")
-    rest = written(_sent(heads.join(checked(written(rest, "line-rest")), ["doc_id", "seq"], "left_semi")), "line-rest-sent")
-    more = written(_candidates(checked(rest, REST_ROWS), sent).drop("apart").distinct(), "line-pairs")
+    sent = _sent(heads.where("n > 2"))
+    nearest = written(_nearest(sent), "line-nearest")
+    found = written(_verified(docs, levels, nearest.drop("more")), "line-found")
+
+    rest = nearest.where("more").select("doc_id", "seq").join(found.hint("merge"), ["doc_id", "seq"], "left_anti")
+    rest = written(_sent(heads.join(written(rest, "line-rest").hint("merge"), ["doc_id", "seq"], "left_semi")), "line-rest-sent")
+    more = written(_earlier(checked(rest), sent).drop("apart").distinct(), "line-pairs")
     return same.select("doc_id", "seq").unionByName(found).unionByName(_verified(docs, levels, more)).distinct()
 
 
