@@ -242,7 +242,9 @@ def _enough(shared: str, one: str, two: str) -> str:
 def _sent(lines: DataFrame) -> DataFrame:
     """A row per token of the prefixes; n_pos is the size of the set above the place of the token."""
     sent = lines.selectExpr("doc_id", "seq", "n", "posexplode(prefix) AS (pos, token)", "parity_0", "parity_1")
-    return sent.selectExpr("token", "doc_id", "seq", "shiftleft(CAST(n AS bigint), 32) | pos AS n_pos", "parity_0", "parity_1")
+    sent = sent.selectExpr("token", "doc_id", "seq", "shiftleft(CAST(n AS bigint), 32) | pos AS n_pos", "parity_0", "parity_1")
+    # nothing is null here; said of all columns, so that no use of the rows adds its own filter and one exchange serves all
+    return sent.where(" AND ".join(f"{c} IS NOT NULL" for c in sent.columns))
 
 
 def _near(a: str, b: str) -> tuple[str, str]:
@@ -296,7 +298,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
     # one or two tokens match nothing but an equal set
     sent = _sent(heads.where("n > 2"))
-    nearest = written(_nearest(sent), "line-nearest")
+    nearest = written(_nearest(sent.repartition("token")), "line-nearest")
     found = written(_verified(docs, levels, nearest.drop("more")), "line-found")
 
     rest = nearest.where("more").select("doc_id", "seq").join(found.hint("merge"), ["doc_id", "seq"], "left_anti")
