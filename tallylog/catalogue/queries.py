@@ -29,7 +29,7 @@ YEAR = 2024
 
 
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
-    return render.facts(render.table(spark, sf, "events"))
+    return render.facts(render.spread_table(spark, sf, "events"))
 
 
 def json_entries(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,7 +268,7 @@ def numeric_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def numeric_stats_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     """Lineitem rows as JSON lines; texts among the fields are skipped."""
-    items = render.table(spark, sf, "lineitem")
+    items = render.spread_table(spark, sf, "lineitem")
     names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linenumber"]
     lines = items.select(F.to_json(F.struct(*names)).alias("value"))
     return _rounded(aggregates.numeric_stats(decode_json(lines)))
@@ -276,7 +276,7 @@ def numeric_stats_lineitem(spark: SparkSession, sf: str) -> DataFrame:
 
 def group_counts_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as JSON lines with their own level names."""
-    orders = render.table(spark, sf, "orders")
+    orders = render.spread_table(spark, sf, "orders")
     record = F.struct(F.col("o_orderpriority").alias("severity"), F.col("o_custkey").alias("customer"))
     entries = decode_json(orders.select(F.to_json(record).alias("value")))
     return aggregates.group_counts(entries, "level")
@@ -290,7 +290,7 @@ def full_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def report_wide(spark: SparkSession, sf: str) -> DataFrame:
     """The report over orders as JSON lines, grouped by their unique key, with more errors asked for than are ranked at once."""
-    orders = render.table(spark, sf, "orders")
+    orders = render.spread_table(spark, sf, "orders")
     level = F.when(F.col("o_orderstatus") == "F", "err").when(F.col("o_orderstatus") == "O", "info").otherwise("wrn")
     message = F.concat(F.lit("customer "), F.col("o_custkey").cast("string"))
     record = F.struct(level.alias("level"), message.alias("msg"), F.col("o_orderkey").alias("number"), F.col("o_totalprice").alias("price"))

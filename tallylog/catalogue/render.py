@@ -13,6 +13,10 @@ CSV_HEADER = ["timestamp", "level", "source", "message", "value", "k", "user_id"
 _LONG_TAIL = " " + "x" * 100
 
 
+# Fixed value: rows of a table that one task renders and decodes.
+ROWS_PER_TASK = 50_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table. One of only a few input splits is spread over the cores; larger ones are not moved."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,6 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table of narrow rows that become log lines, in tasks of about ``ROWS_PER_TASK`` rows.
+
+    A row group is read by one task whatever number of rows it holds, and a line costs far more to decode than its row to move.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_TASK)))
+
+
 def facts(events: DataFrame) -> DataFrame:
     """The values that the lines carry."""
     event_id, value, kind = F.col("event_id"), F.col("value"), F.col("event_type")
