@@ -447,11 +447,15 @@ def report_csv_sections(spark: SparkSession, sf: str) -> DataFrame:
 # --- Jobs and streams -----------------------------------------------------------------------------
 
 
+def _headed(lines: DataFrame, beginning: str) -> DataFrame:
+    """Lines that become files with the same beginning: the first line of every task follows it."""
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    return lines.select(F.when(first, F.concat(F.lit(beginning), "value")).otherwise(F.col("value")).alias("value"))
+
+
 def _csv_files(lines: DataFrame, path: str) -> str:
     """Lines of CSV as files that each begin with the header."""
-    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
-    header = ",".join(render.CSV_HEADER) + "\n"
-    lines.select(F.when(first, F.concat(F.lit(header), "value")).otherwise(F.col("value")).alias("value")).write.text(path)
+    _headed(lines, ",".join(render.CSV_HEADER) + "\n").write.text(path)
     return path
 
 
@@ -525,8 +529,7 @@ def detect_hard_files(spark: SparkSession, sf: str) -> DataFrame:
     render.json_lines(facts).select("value").write.text(f"{root}/my json")
     render.text_lines(facts).select("value").write.text(f"{root}/text[1]")
     render.syslog_lines(facts).select("value").write.text(f"{root}/sys%20{{log}}#")
-    late = spark.range(12).selectExpr("id AS event_id", "'' AS value").unionByName(render.text_lines(facts).selectExpr("100 + line AS event_id", "value"))
-    late.repartition(1).sortWithinPartitions("event_id").select("value").write.text(f"{root}/late")
+    _headed(render.text_lines(facts), "\n" * 12).write.text(f"{root}/late")
     entries = open_logs(spark, f"{root}/*", default_year=YEAR).entries()
     folder = F.url_decode(F.element_at(F.split("file", "/"), -2)).alias("folder")
     return entries.groupBy(folder).agg(F.count(F.lit(1)).alias("n"), F.count("level").alias("with_level"))
