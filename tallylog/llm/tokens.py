@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
@@ -20,8 +21,9 @@ _SPACE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3
 _LETTER = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 _PUNCTUATION = r"!-&(-/:-@\[-`{-~"
 _END = f"(?=[{_PUNCTUATION}{_SPACE}]|\\Z)"
-#: Characters of the chunks kept per worker process; all go beyond it, and when a task ends.
-CACHE = 1_500_000
+#: Characters of the chunks kept per worker process; all go beyond it, and when a task ends. Enough for the different
+#: words of a split of 16 MB, which would otherwise be learned twice.
+CACHE = 3_000_000
 #: Letters whose lower case depends on more than themselves, or that lie outside the plain alphabets.
 _UNSURE = re.compile("[\\u0130\\u0250-\\U0010ffff]").search
 
@@ -52,20 +54,23 @@ class Encoder:
         self.simple = re.compile(f"[{_LETTER}]+" if self.lowers else f" ?[{_LETTER}]+").fullmatch
         contents = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(contents, key=len, reverse=True))) + ")") if contents else None
+        #: the bytes of every id, so that a chunk's few ids need no array
+        self.of_id = [id.to_bytes(4, "little") for id in range(max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1)]
         self.known: dict[str, bytes] = {}
         self.held = 0
 
     def _learn(self, new: list[str]) -> None:
-        simple, letters, model = self.simple, _byte_letters(), self.tokenizer.model
+        simple, letters, tokenize, known, of_id = self.simple, _byte_letters(), self.tokenizer.model.tokenize, self.known, self.of_id
         rest = []
         for chunk in new:
-            # a run of letters is one piece: the model alone decides its ids
+            # a run of letters is one piece: the model alone decides its ids; plain ones stand for their own bytes
             if simple(chunk) and not (self.lowers and not chunk.islower()):
-                self.known[chunk] = np.array([t.id for t in model.tokenize(chunk.translate(letters))], "<u4").tobytes()
+                pieces = tokenize(chunk if chunk.isascii() and chunk[0] != " " else chunk.translate(letters))
+                known[chunk] = of_id[pieces[0].id] if len(pieces) == 1 else b"".join([of_id[t.id] for t in pieces])
             else:
                 rest.append(chunk)
         for chunk, encoding in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[chunk] = np.array(encoding.ids, "<u4").tobytes()
+            known[chunk] = b"".join([of_id[id] for id in encoding.ids])
 
     def _chunked(self, text: str) -> list[str]:
         """The chunks of a text without added tokens; those that only arise by lower-casing must not be taken for such."""
@@ -80,12 +85,15 @@ class Encoder:
         known = self.known
         parts = [self.added.split(text) if self.added else [text] for text in texts]
         # what the added tokens leave at even places
-        chunks = [[self._chunked(piece) if k % 2 == 0 else [piece] for k, piece in enumerate(pieces)] for pieces in parts]
-        new = set().union(*(own for pieces in chunks for own in pieces)).difference(known)
+        chunks = [
+            self._chunked(pieces[0]) if len(pieces) == 1 else [*chain.from_iterable(self._chunked(piece) if k % 2 == 0 else [piece] for k, piece in enumerate(pieces))]
+            for pieces in parts
+        ]
+        new = set().union(*chunks).difference(known)
         if new:
             self.held += sum(map(len, new))
             self._learn(list(new))
-        out = [b"".join(known[chunk] for own in pieces for chunk in own) for pieces in chunks]
+        out = [b"".join(map(known.__getitem__, own)) for own in chunks]
         if self.held > CACHE:
             self.forget()
         return out
