@@ -44,7 +44,9 @@ PART_CHARS = 16 << 20
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = 0) -> bytes:
     """A dictionary for the ids of ``docs``; empty if there is too little to learn from."""
-    sample = docs.select("doc_id", F.substring("text", 1, SAMPLE_BYTES // 2).alias("text")).orderBy(F.xxhash64("doc_id", F.length("text"))).limit(SAMPLE)
+    cut = docs.select("doc_id", F.substring("text", 1, SAMPLE_BYTES // 2).alias("text"))
+    # the hash is a column, else every comparison of two rows would work it out again from their texts
+    sample = cut.select("text", F.xxhash64("doc_id", F.length("text")).alias("place")).orderBy("place").limit(SAMPLE).select("text")
     samples = [ids[:SAMPLE_BYTES] for ids in batches_of([row.text for row in sample.toLocalIterator()], end_id, tokenizer)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()

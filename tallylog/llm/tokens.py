@@ -21,9 +21,9 @@ _SPACE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3
 _LETTER = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 _PUNCTUATION = r"!-&(-/:-@\[-`{-~"
 _END = f"(?=[{_PUNCTUATION}{_SPACE}]|\\Z)"
-#: Characters of the chunks kept per worker process; all go beyond it, and when a task ends. Enough for the different
-#: words of a split of 16 MB, which would otherwise be learned twice.
-CACHE = 3_000_000
+#: Characters of the chunks kept per worker process; all go beyond it. Enough for the different words of a split of 16 MB,
+#: and kept from task to task, since the next split has many of them again.
+CACHE = 5_000_000
 #: Letters whose lower case depends on more than themselves, or that lie outside the plain alphabets.
 _UNSURE = re.compile("[\\u0130\\u0250-\\U0010ffff]").search
 
@@ -61,11 +61,14 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         simple, letters, tokenize, known, of_id = self.simple, _byte_letters(), self.tokenizer.model.tokenize, self.known, self.of_id
-        rest = []
+        space, rest = letters[32], []
         for chunk in new:
             # a run of letters is one piece: the model alone decides its ids; plain ones stand for their own bytes
             if simple(chunk) and not (self.lowers and not chunk.islower()):
-                pieces = tokenize(chunk if chunk.isascii() and chunk[0] != " " else chunk.translate(letters))
+                if not chunk.isascii():
+                    pieces = tokenize(chunk.translate(letters))
+                else:
+                    pieces = tokenize(space + chunk[1:] if chunk[0] == " " else chunk)
                 known[chunk] = of_id[pieces[0].id] if len(pieces) == 1 else b"".join([of_id[t.id] for t in pieces])
             else:
                 rest.append(chunk)
@@ -114,16 +117,12 @@ def batches_of(texts: Iterable[str | None], ends: int, path: str, size: int = 64
     coder, end = encoder(path), np.array([ends], "<u4").tobytes()
     held: list[str] = []
     room = chars
-    try:
-        for text in texts:
-            held.append(text or "")
-            room -= len(held[-1])
-            if len(held) == size or room <= 0:
-                for ids in coder.encode(held):
-                    yield ids + end
-                held, room = [], chars
-        for ids in coder.encode(held) if held else ():
-            yield ids + end
-    finally:
-        if coder.held > CACHE // 2:
-            coder.forget()
+    for text in texts:
+        held.append(text or "")
+        room -= len(held[-1])
+        if len(held) == size or room <= 0:
+            for ids in coder.encode(held):
+                yield ids + end
+            held, room = [], chars
+    for ids in coder.encode(held) if held else ():
+        yield ids + end
