@@ -537,7 +537,7 @@ def detect_hard_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def export_counts(spark: SparkSession, sf: str) -> DataFrame:
     """What the export job reports, for every format, in order, cut and with nothing to write."""
-    logs = open_logs(spark, _write_lines(render.json_lines(_facts(spark, sf)), "logs"), "json")
+    logs = open_logs(spark, _write_lines(render.json_lines(_facts(spark, sf)), "logs"), "json").decoded()
     cases = {"plain": {}, "ordered": {"ordered": True}, "limit": {"limit": 5}, "none": {"search": "no such words"}}
     rows = []
     for fmt in ("json", "csv", "raw"):

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 from collections import defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallylog.functions.text import non_blank, trim_space
-from tallylog.model import ENTRY_SCHEMA
+from tallylog.model import BAD_CSV, ENTRY_SCHEMA
 from tallylog.operators.limits import head, in_file_order, last_rows
 from tallylog.plans.scratch import written
 from tallylog.sources.decode import csv_entries, csv_header, decode, decode_csv
@@ -39,6 +39,18 @@ class LogSource:
     default_year: int | None = None
     multiline_csv: bool = False
     on_file: Column | None = None
+    #: Of a source that was decoded once: its entries, rejected ones included, and the number of each split's first line.
+    staged: DataFrame | None = None
+    offsets: DataFrame | None = None
+
+    def decoded(self) -> LogSource:
+        """The same source with its entries decoded once, into the scratch folder: for several jobs over the same files.
+
+        Lines that are added to the files later are not in it.
+        """
+        if not self.branches:
+            return self
+        return replace(self, staged=written(self.entries(keep_rejected=True), "decoded"), offsets=written(self._offsets(), "offsets"))
 
     def entries(
         self, raw_filter: Column | None = None, keep_rejected: bool = False, last: int | None = None
@@ -48,6 +60,10 @@ class LogSource:
         ``raw_filter`` (on ``raw``) is applied before decoding. ``last`` keeps the last lines of every file,
         and only those are decoded.
         """
+        if self.staged is not None:
+            rows = self.staged if keep_rejected else self.staged.where(~F.col("parse_error").eqNullSafe(BAD_CSV))
+            rows = rows if raw_filter is None else rows.where(raw_filter)
+            return rows if last is None else last_rows(rows, last)
         parts = [self._branch_entries(branch, raw_filter, keep_rejected, last) for branch in self.branches]
         return self._union(parts) if parts else self.spark.createDataFrame([], ENTRY_SCHEMA)
 
@@ -95,9 +111,11 @@ class LogSource:
         """Fill ``line`` with the line number in the file (for CSV, the record number; the header is 1)."""
         if not self.branches:
             return entries
+        return number_rows(entries, self._offsets() if self.offsets is None else self.offsets)
+
+    def _offsets(self) -> DataFrame:
         rows = [self._branch_rows(branch) for branch in self.branches]
-        offsets = [block_offsets(r, 2 if b.fmt == "csv" else 1) for r, b in zip(rows, self.branches)]
-        return number_rows(entries, self._union(offsets))
+        return self._union([block_offsets(r, 2 if b.fmt == "csv" else 1) for r, b in zip(rows, self.branches)])
 
     def warnings(self) -> DataFrame:
         """Lines that did not decode cleanly, rejected CSV rows included."""

@@ -213,6 +213,22 @@ def test_export_counts_rejected_rows(spark, folder, tmp_path):
     assert rows.count() == 120
 
 
+def test_decoded_source_equals_its_files(spark, folder, tmp_path, small_splits):
+    logs = open_logs(spark, f"file:{folder}", default_year=2024)
+    once = logs.decoded()
+    key = F.struct("file", "pos", F.to_json(F.struct("line", "timestamp", "level", "source", "message", "fields", "raw", "parse_error")))
+    same = lambda a, b: sorted(map(str, a.select(key).collect())) == sorted(map(str, b.select(key).collect()))
+    for given in ({}, {"keep_rejected": True}, {"raw_filter": F.col("raw").contains("5")}, {"last": 7}, {"last": 2, "keep_rejected": True}):
+        assert same(logs.entries(**given), once.entries(**given))
+    assert same(logs.number(logs.entries()), once.number(once.entries())) and same(logs.warnings(), once.warnings())
+    assert "jsontostructs" not in once.entries()._jdf.queryExecution().toString()
+    for fmt in ("json", "csv", "raw"):
+        counts = [export(source, f"file:{tmp_path}-{fmt}{k}", fmt, search="1", ordered=True) for k, source in enumerate((logs, once))]
+        texts = ["".join(part.read_text() for part in sorted(type(tmp_path)(f"{tmp_path}-{fmt}{k}").glob("part-*"))) for k in (0, 1)]
+        assert counts[0] == counts[1]
+        assert sorted(set(texts[0].splitlines())) == sorted(set(texts[1].splitlines()))
+
+
 def test_export_in_order(spark, folder, tmp_path, small_splits):
     logs = open_logs(spark, f"file:{folder}/b.log")
     export(logs, f"file:{tmp_path}/o", "raw", ordered=True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallylog.catalogue import queries, render
 from tallylog.sinks.entries import csv_lines, field_keys
+from tallylog.sources import logs
 from tests.helpers import make_entries
 
 
@@ -70,3 +71,17 @@ def test_no_task_holds_all_late_lines(spark, tmp_path, monkeypatch):
     assert {r["folder"]: r["n"] for r in found} == dict.fromkeys(("my json", "text[1]", "sys%20{log}#", "late"), 4_000)
     parts = [part.read_text() for part in Path(f"{tmp_path}/hard/late").glob("part-*")]
     assert len(parts) > 1 and all(text.startswith("\n" * 12) and text[12] != "\n" for text in parts)
+
+
+def test_exports_of_one_source_decode_it_once(spark, tmp_path, monkeypatch):
+    decoded = []
+    decode = logs.decode
+    monkeypatch.setattr(logs, "decode", lambda *given, **more: (decoded.append(1), decode(*given, **more))[1])
+    rows = queries.export_counts(spark, events(spark, tmp_path, 1_000)).collect()
+    assert len(decoded) == 1 and len(rows) == 12
+    # every fifth event is an error, INFO for none; severe ones (value from 200 on) are fatal; broken signups have a value below 5
+    severe = sum(i % 5 == 4 and i % 300 >= 200 for i in range(1_000))
+    broken = sum(i % 5 == 2 and i % 300 < 5 for i in range(1_000))
+    for row in rows:
+        assert row.exported == {"limit": 5, "none": 0}.get(row.case, 200 - severe)
+        assert (row.total, row.warnings) == (1_000, broken)
