@@ -1,4 +1,4 @@
-"""Line deduplication as an exact set-similarity join: lines are tokenised in Arrow batches, everything else is DataFrame operations.
+"""Line deduplication as an exact set-similarity join, with DataFrame operations only.
 
 The tokens of a line are its distinct lower-cased words. Of two lines whose sets have a Jaccard similarity of PERCENT or more,
 the later one (by doc_id, then line number) goes; a line goes if any earlier line matches it, whether or not that stays.
@@ -13,18 +13,15 @@ the later one (by doc_id, then line number) goes; a line goes if any earlier lin
 
 Defined cases: a line of 1 to SHORT - 1 words matches the lines of the same words in the same order; lines without words stay;
 null texts have no line and come back null; lines of a null doc_id match nothing and stay; a text all of whose lines go comes
-back empty; rows that share doc_id and text are one document and lose the same lines; texts of any length are tokenised in
-blocks of CHUNK characters that end with a line; an empty table gives an empty result. All columns of the documents come back
-as they were, whatever their names, but for the text.
+back empty; rows that share doc_id and text are one document and lose the same lines; texts of any length are split in their own
+row; an empty table gives an empty result. All columns of the documents come back as they were, whatever their names, but for
+the text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallylog.functions.text import fence
@@ -33,206 +30,76 @@ from tallylog.llm.common import checked, written
 #: Lines of fewer words are one token.
 SHORT = 5
 PERCENT = 75
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 #: Levels per doubling of a frequency; a level must stay below 64.
 STEPS = 2
-#: Characters that are tokenised together, and lines that are sorted together (12 bits of a sort key).
-CHUNK = 1 << 20
-LINES = 1 << 12
-#: Tokens of 6 bits of level and 46 bits of hash.
-TOKEN_BITS = 52
-
-_U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Spreads the bits of 64-bit numbers, one to one."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-_BYTES = _mixed(np.arange(1, 257, dtype=_U) * _U(_BASE))
-_powers = [np.ones(1, _U), np.ones(1, _U)]
-
-
-def _powers_to(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, from 0 to n - 1 at least."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            factors = np.full(n, base, _U)
-            factors[0] = 1
-            _powers[k] = np.multiply.accumulate(factors)
-    return _powers
-
-
-def _parts(texts: Iterable[str]) -> Iterator[tuple[int, int, str]]:
-    """(number of the text, number of its first line, lines) of at most CHUNK characters or one line."""
-    for k, text in enumerate(texts):
-        at = no = 0
-        while len(text) - at > CHUNK:
-            end = text.rfind("\n", at, at + CHUNK)
-            end = end if end >= 0 else text.find("\n", at + CHUNK)
-            if end < 0:
-                break
-            yield k, no, text[at:end]
-            no += text.count("\n", at, end) + 1
-            at = end + 1
-        yield k, no, text[at:]
-
-
-class _Block:
-    """Lines of several texts: the hashes of all words and the line each is in; for every line its text and number there."""
-
-    def __init__(self, parts: list[tuple[int, int, str]]):
-        data = [part.lower().encode() for _, _, part in parts]
-        buf = np.frombuffer(b"\n".join(data), np.uint8)
-        edges = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[buf], [True]))))
-        start, end = edges[::2], edges[1::2]
-        power, inverse = _powers_to(len(buf) + 1)
-        sums = np.zeros(len(buf) + 1, _U)
-        np.cumsum(_BYTES[buf] * power[: len(buf)], out=sums[1:])
-        self.hashes = _mixed((sums[end] - sums[start]) * inverse[start])
-        self.line = np.searchsorted(np.flatnonzero(buf == 10), start)
-        of_part = np.array([d.count(b"\n") + 1 for d in data])
-        self.lines = int(of_part.sum())
-        self.text = np.repeat(np.array([k for k, _, _ in parts]), of_part)
-        firsts = np.cumsum(of_part) - of_part
-        self.number = np.arange(self.lines) + np.repeat(np.array([no for _, no, _ in parts]) - firsts, of_part)
-
-
-def _blocks(texts: Iterable[str]) -> Iterator[_Block]:
-    parts, size = [], 0
-    for part in _parts(texts):
-        if parts and size + len(part[2]) > CHUNK:
-            yield _Block(parts)
-            parts, size = [], 0
-        parts.append(part)
-        size += len(part[2])
-    if parts:
-        yield _Block(parts)
-
-
-class _Sets:
-    """Lines of a block in order: at (index in the block), start and n of each in tokens, which are sorted rarest first."""
-
-    def __init__(self, at: np.ndarray, start: np.ndarray, tokens: np.ndarray):
-        self.at, self.start, self.tokens = at, start, tokens
-        self.n = np.diff(np.append(start, len(tokens)))
-
-    def cut(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Offsets and tokens of the first ``size`` tokens of each line."""
-        place = np.arange(len(self.tokens)) - np.repeat(self.start, self.n)
-        return np.append(0, np.cumsum(size)), self.tokens[place < np.repeat(size, self.n)]
-
-    def reduced(self, by: np.ufunc, values: np.ndarray) -> np.ndarray:
-        return by.reduceat(values, self.start)
-
-
-def _long_lines(block: _Block, levels: np.ndarray) -> Iterator[_Sets]:
-    """The lines of SHORT words or more, LINES at a time."""
-    words = np.bincount(block.line, minlength=block.lines)
-    for low in range(0, block.lines, LINES):
-        first, last = np.searchsorted(block.line, (low, low + LINES))
-        line, hashes = block.line[first:last], block.hashes[first:last]
-        long = words[line] >= SHORT
-        line, hashes = line[long], hashes[long]
-        if not len(line):
-            continue
-        level = levels[(hashes & _U(BUCKETS - 1)).astype(np.int64)].astype(_U)
-        keys = ((line - low).astype(_U) << _U(TOKEN_BITS)) | (level << _U(TOKEN_BITS - 6)) | (hashes >> _U(70 - TOKEN_BITS))
-        keys.sort()
-        keys = keys[np.append(True, keys[1:] != keys[:-1])]
-        of = (keys >> _U(TOKEN_BITS)).astype(np.int64)
-        start = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-        yield _Sets(of[start] + low, start, keys & _U((1 << TOKEN_BITS) - 1))
-
-
-def _short_lines(block: _Block) -> tuple[np.ndarray, np.ndarray]:
-    """Index and hash of the word sequence of every line of fewer words."""
-    words = np.bincount(block.line, minlength=block.lines)
-    short = words[block.line] < SHORT
-    line, hashes = block.line[short], block.hashes[short]
-    if not len(line):
-        return line, hashes
-    start = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
-    place = np.arange(len(line)) - np.repeat(start, np.diff(np.append(start, len(line))))
-    return line[start], _mixed(np.add.reduceat(_mixed(hashes + (place + 1).astype(_U) * _U(_BASE)), start))
-
-
-def _bucket_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for block in _blocks(batch.column(0).to_pylist()):
-            counts += np.bincount((block.hashes & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-    bucket = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(counts[bucket])], ["bucket", "n"])
+
+
+def _plain(text: str) -> Column:
+    """A text in lower case whose words are parted by spaces and line feeds only."""
+    lower = F.lower(text)
+    return F.when(lower.rlike(r"[\x09\x0B-\x0D]"), F.translate(lower, "\t\x0b\x0c\r", "    ")).otherwise(lower)
+
+
+def _words(line: str) -> Column:
+    return F.array_remove(F.split(line, " "), "")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("of"), "text")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, seq (line number, told apart by text) and line of all lines."""
+    numbered = _texts(docs).select("doc_id", "of", F.posexplode(F.split(_plain("text"), "\n")).alias("no", "line"))
+    return numbered.select("doc_id", F.shiftleft(F.col("no").cast("long"), 31).bitwiseOR(F.shiftrightunsigned("of", 33)).alias("seq"), "line")
 
 
 def rarity_levels(docs: DataFrame) -> bytes:
     """A level per bucket of word hashes, from the frequencies in all texts: BUCKETS bytes, whatever the input."""
-    counted = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("text").mapInArrow(_bucket_counts, "bucket int, n long")
-    level = F.least(F.lit(63), F.floor(STEPS * F.log2(F.sum("n") + 1))).cast("int")
-    rows = counted.groupBy("bucket").agg(level.alias("level")).toArrow()
+    words = _texts(docs).select(F.explode(F.split(F.translate(_plain("text"), "\n", " "), " ")).alias("word")).where("word <> ''")
+    counted = words.groupBy(F.xxhash64("word").bitwiseAND(BUCKETS - 1).alias("bucket")).count()
+    rows = counted.select("bucket", F.least(F.lit(63), F.floor(STEPS * F.log2(F.col("count") + 1))).cast("int").alias("level")).toArrow()
     levels = np.zeros(BUCKETS, np.uint8)
     levels[rows["bucket"].to_numpy()] = rows["level"].to_numpy()
     return levels.tobytes()
 
 
-def _numbers(batch: pa.RecordBatch, block: _Block, at: np.ndarray) -> list[pa.Array]:
-    """doc_id and seq of the lines ``at`` of a block."""
-    ids, of = (batch.column(k).to_numpy(zero_copy_only=False)[block.text[at]] for k in (0, 1))
-    return [pa.array(ids), pa.array((block.number[at] << 31) | (of.view(_U) >> _U(33)).astype(np.int64))]
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
-def _in_brief(levels: bytes) -> Callable:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(levels, np.uint8)
-        names = ["doc_id", "seq", "n", "of_set", "prefix", "parity_0", "parity_1"]
-        for batch in batches:
-            for block in _blocks(batch.column(2).to_pylist()):
-                at, whole = _short_lines(block)
-                if len(at):
-                    zeros = np.zeros(len(at), np.int64)
-                    nothing = pa.ListArray.from_arrays(pa.array(np.zeros(len(at) + 1, np.int32)), pa.array([], pa.int32()))
-                    yield pa.RecordBatch.from_arrays([*_numbers(batch, block, at), pa.array(zeros.astype(np.int32)), _signed(whole), nothing, pa.array(zeros), pa.array(zeros)], names)
-                for sets in _long_lines(block, table):
-                    # n - ceil(n * t) + 1 tokens: a set that shares none of them falls short of the threshold
-                    offsets, prefix = sets.cut(np.where(sets.n > 2, sets.n + (-PERCENT * sets.n) // 100 + 1, 0))
-                    prefix = (_mixed(prefix) >> _U(32)).astype(np.uint32).view(np.int32)
-                    bit = _U(1) << (sets.tokens & _U(63))
-                    half = (sets.tokens & _U(64)) > 0
-                    parities = [sets.reduced(np.bitwise_xor, np.where(half == k, bit, _U(0))) for k in (False, True)]
-                    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(prefix))
-                    of_set = sets.reduced(np.add, _mixed(sets.tokens))
-                    yield pa.RecordBatch.from_arrays([*_numbers(batch, block, sets.at), pa.array(sets.n.astype(np.int32)), _signed(of_set), lists, *map(_signed, parities)], names)
-
-    return run
-
-
-def _wanted(levels: bytes) -> Callable:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(levels, np.uint8)
-        for batch in batches:
-            want = batch.column(3).to_pylist()
-            for block in _blocks(batch.column(2).to_pylist()):
-                for sets in _long_lines(block, table):
-                    ids, seqs = _numbers(batch, block, sets.at)
-                    of = block.text[sets.at]
-                    own = {k: set(want[k]) for k in np.unique(of).tolist()}
-                    asked = np.array([seq in own[k] for seq, k in zip(seqs.to_pylist(), of.tolist(), strict=True)], bool)
-                    offsets, tokens = sets.cut(np.where(asked, sets.n, 0))
-                    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), _signed(tokens))
-                    yield pa.RecordBatch.from_arrays([ids, seqs, lists], ["doc_id", "seq", "tokens"]).filter(pa.array(asked))
-
-    return run
+def _sets(lines: DataFrame, levels: bytes) -> DataFrame:
+    """``lines`` with w (words) and tokens for line: sorted numbers of 6 bits of level and 46 of hash, rarest first.
+
+    Lines of fewer than SHORT words have null tokens. Fenced, so that what reads a column does not work it out again.
+    """
+    table = F.lit(levels)
+    keys = [c for c in lines.columns if c != "line"]
+    split = fence(lines.select(*keys, _words("line").alias("w")), "w")
+    hashed = split.select(*keys, "w", F.when(F.size("w") >= SHORT, F.array_distinct(F.transform("w", lambda w: F.xxhash64(w)))).alias("h"))
+
+    def token(h: Column) -> Column:
+        level = F.ascii(F.substring(table, h.bitwiseAND(BUCKETS - 1).cast("int") + 1, 1).cast("string")).cast("long")
+        return F.shiftleft(level, 46).bitwiseOR(F.shiftrightunsigned(h, 18))
+
+    return fence(fence(hashed, "h").select(*keys, "w", F.sort_array(F.transform("h", token)).alias("tokens")), "tokens")
+
+
+def _parity(half: int) -> str:
+    """64 of 128 bits: a bit is set if an odd number of tokens falls on it."""
+    return f"aggregate(tokens, 0L, (a, x) -> a ^ shiftleft((shiftright(x, 6) & 1L) ^ {1 - half}L, CAST(x & 63L AS int)))"
+
+
+def _in_brief(lines: DataFrame, levels: bytes) -> DataFrame:
+    """doc_id, seq, n, of_set, prefix and parities of every line with words; n is 0 and the prefix empty for short ones."""
+    sets = _sets(lines, levels).withColumn("n", F.coalesce(F.array_size("tokens"), F.lit(0))).where("size(w) > 0")
+    # n - ceil(n * t) + 1 tokens: a set that shares none of them falls short of the threshold; 32 bits of each will do
+    prefix = f"IF(n > 2, slice(tokens, 1, n - ({PERCENT} * n + 99) div 100 + 1), array())"
+    return sets.selectExpr(
+        "doc_id",
+        "seq",
+        "n",
+        "IF(n > 0, xxhash64(tokens), xxhash64(w)) AS of_set",
+        f"transform(CAST({prefix} AS array<bigint>), x -> CAST((x & 4294967295L) - 2147483648L AS int)) AS prefix",
+        *(f"coalesce({_parity(half)}, 0L) AS parity_{half}" for half in (0, 1)),
+    )
 
 
 def _enough(shared: str, one: str, two: str) -> str:
@@ -287,8 +154,7 @@ def _nearest(sent: DataFrame) -> DataFrame:
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """doc_id, seq (line number, told apart by text) of every line to be removed from ``docs`` (doc_id, text)."""
     levels = rarity_levels(docs)
-    schema = "doc_id long, seq long, n int, of_set long, prefix array<int>, parity_0 long, parity_1 long"
-    brief = written(_texts(docs).mapInArrow(_in_brief(levels), schema), "lines")
+    brief = written(_in_brief(_lines(docs), levels), "lines")
 
     # joins of two tables that grow with the input shuffle at every size
     first = brief.groupBy("of_set", "n").agg(F.min(F.struct("doc_id", "seq", "prefix", "parity_0", "parity_1")).alias("head"))
@@ -307,16 +173,16 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     return same.select("doc_id", "seq").unionByName(found).unionByName(_verified(docs, levels, more)).distinct()
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("of"), "text")
-
-
 def _verified(docs: DataFrame, levels: bytes, pairs: DataFrame) -> DataFrame:
     """The (doc_id, seq) of ``pairs`` whose partner (to_doc, to_seq) is similar enough, on the whole sets."""
     ends = pairs.select("doc_id", "seq").unionByName(pairs.select(F.col("to_doc").alias("doc_id"), F.col("to_seq").alias("seq")))
     want = written(ends.groupBy("doc_id").agg(F.collect_set("seq").alias("want")), "line-ends")
-    some = _texts(docs).join(checked(want), "doc_id").select("doc_id", "of", "text", "want")
-    sets = some.mapInArrow(_wanted(levels), "doc_id long, seq long, tokens array<long>")
+    some = _texts(docs).join(checked(want), "doc_id")
+    # the numbers that ask for lines of this text, told apart by its hash; lines are taken by number
+    own = F.filter("want", lambda q: q.bitwiseAND((1 << 31) - 1) == F.shiftrightunsigned("of", 33))
+    split = fence(some.select("doc_id", own.alias("own"), F.split(_plain("text"), "\n").alias("lines")), "own", "lines")
+    asked = F.transform("own", lambda q: F.struct(q.alias("seq"), F.get(F.col("lines"), F.shiftright(q, 31).cast("int")).alias("line")))
+    sets = _sets(split.select("doc_id", F.inline(asked)), levels).select("doc_id", "seq", "tokens")
     sets = written(sets, "line-tokens").dropDuplicates(["doc_id", "seq"])
     both = pairs.join(sets, ["doc_id", "seq"]).join(sets.selectExpr("doc_id AS to_doc", "seq AS to_seq", "tokens AS to_tokens"), ["to_doc", "to_seq"])
     shared = both.withColumn("shared", F.size(F.array_intersect("tokens", "to_tokens")))

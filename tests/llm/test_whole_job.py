@@ -33,6 +33,17 @@ def test_short_lines_go_when_repeated(spark):
     assert got == {1: docs[0][1], 2: "\n \nfoo foo foo foo foo\na b", 3: "a b c\nd c b a"}
 
 
+def test_lines_are_deduplicated_without_python_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e f\tg h"), (2, "A  b c d e f g h x\nleft"), (3, "no match in this line")], "doc_id long, text string")
+
+    def refused(*_):
+        raise AssertionError("Python on the executors")
+
+    monkeypatch.setattr(type(docs), "mapInArrow", refused)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()}
+    assert got == {1: "a b c d e f\tg h", 2: "left", 3: "no match in this line"}
+
+
 def test_benchmark_items_with_a_new_end_are_found(spark):
     rng = random.Random(11)
     items = [(k, [f"q{rng.randrange(3000)}" for _ in range(39)]) for k in range(400)]
