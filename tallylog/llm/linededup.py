@@ -7,8 +7,9 @@ the later one (by doc_id, then line number) goes; a line goes if any earlier lin
    The order of tokens (level, then hash) is the same in all lines, which is all that exactness asks of it.
 2. Equal sets are grouped (partial aggregation first); the earliest line stands for its set.
 3. Representatives send out the rarest tokens of their prefix: two sets that reach the threshold share one. Around a token, lines
-   meet the earlier ones, under length, positional and parity filters, none of which can lose a match; one that is near the
-   first line of its size and place there meets only that. Of its candidates each line keeps the one nearest by parities.
+   meet the earlier ones, under length, positional and parity filters, none of which can lose a match. Around a frequent token
+   (level HOT or more), one that is near the first line of its size and place there meets only that. Of its candidates each
+   line keeps the one nearest by parities.
 4. Nearest candidates are verified on the whole sets. Lines whose nearest one falls short meet all their candidates.
 
 Defined cases: a line of 1 to SHORT - 1 words matches the lines of the same words in the same order; lines without words stay;
@@ -20,6 +21,9 @@ the text.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,15 +34,19 @@ from tallylog.llm.common import checked, written
 #: Lines of fewer words are one token.
 SHORT = 5
 PERCENT = 75
-BUCKETS = 1 << 18
+#: The table of levels is a constant of the plan, and the driver keeps the text of every plan.
+BUCKETS = 1 << 17
 #: Levels per doubling of a frequency; a level must stay below 64.
 STEPS = 2
+#: Tokens of this level are frequent: over 1000 in their bucket.
+HOT = 20
 
 
 def _plain(text: str) -> Column:
     """A text in lower case whose words are parted by spaces and line feeds only."""
     lower = F.lower(text)
-    return F.when(lower.rlike(r"[\x09\x0B-\x0D]"), F.translate(lower, "\t\x0b\x0c\r", "    ")).otherwise(lower)
+    other = reduce(or_, [F.contains(lower, F.lit(c)) for c in "\t\x0b\x0c\r"])
+    return F.when(other, F.translate(lower, "\t\x0b\x0c\r", "    ")).otherwise(lower)
 
 
 def _words(line: str) -> Column:
@@ -57,7 +65,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def rarity_levels(docs: DataFrame) -> bytes:
     """A level per bucket of word hashes, from the frequencies in all texts: BUCKETS bytes, whatever the input."""
-    words = _texts(docs).select(F.explode(F.split(F.translate(_plain("text"), "\n", " "), " ")).alias("word")).where("word <> ''")
+    words = _texts(docs).select(F.explode(F.split(F.replace(_plain("text"), F.lit("\n"), F.lit(" ")), " ")).alias("word")).where("word <> ''")
     counted = words.groupBy(F.xxhash64("word").bitwiseAND(BUCKETS - 1).alias("bucket")).count()
     rows = counted.select("bucket", F.least(F.lit(63), F.floor(STEPS * F.log2(F.col("count") + 1))).cast("int").alias("level")).toArrow()
     levels = np.zeros(BUCKETS, np.uint8)
@@ -66,7 +74,7 @@ def rarity_levels(docs: DataFrame) -> bytes:
 
 
 def _sets(lines: DataFrame, levels: bytes) -> DataFrame:
-    """``lines`` with w (words) and tokens for line: sorted numbers of 6 bits of level and 46 of hash, rarest first.
+    """``lines`` with w (words) and tokens for line: sorted numbers of 6 bits of level and 48 of hash, rarest first.
 
     Lines of fewer than SHORT words have null tokens. Fenced, so that what reads a column does not work it out again.
     """
@@ -77,29 +85,31 @@ def _sets(lines: DataFrame, levels: bytes) -> DataFrame:
 
     def token(h: Column) -> Column:
         level = F.ascii(F.substring(table, h.bitwiseAND(BUCKETS - 1).cast("int") + 1, 1).cast("string")).cast("long")
-        return F.shiftleft(level, 46).bitwiseOR(F.shiftrightunsigned(h, 18))
+        return F.shiftleft(level, 48).bitwiseOR(F.shiftrightunsigned(h, 16))
 
     return fence(fence(hashed, "h").select(*keys, "w", F.sort_array(F.transform("h", token)).alias("tokens")), "tokens")
 
 
-def _parity(half: int) -> str:
-    """64 of 128 bits: a bit is set if an odd number of tokens falls on it."""
-    return f"aggregate(tokens, 0L, (a, x) -> a ^ shiftleft((shiftright(x, 6) & 1L) ^ {1 - half}L, CAST(x & 63L AS int)))"
+def _parity(bit: str) -> str:
+    """64 bits: one is set if the ``bit`` of an odd number of tokens falls on it."""
+    return f"aggregate(tokens, 0L, (a, x) -> a ^ shiftleft({bit}, CAST(x & 63L AS int)))"
 
 
 def _in_brief(lines: DataFrame, levels: bytes) -> DataFrame:
-    """doc_id, seq, n, of_set, prefix and parities of every line with words; n is 0 and the prefix empty for short ones."""
+    """doc_id, seq, n, of_set, prefix and parities (halves of 128 bits) of every line with words; n is 0 and the prefix empty for short ones."""
     sets = _sets(lines, levels).withColumn("n", F.coalesce(F.array_size("tokens"), F.lit(0))).where("size(w) > 0")
-    # n - ceil(n * t) + 1 tokens: a set that shares none of them falls short of the threshold; 32 bits of each will do
+    # n - ceil(n * t) + 1 tokens: a set that shares none of them falls short of the threshold; 31 bits of each will do, the
+    # last one tells the frequent ones
     prefix = f"IF(n > 2, slice(tokens, 1, n - ({PERCENT} * n + 99) div 100 + 1), array())"
+    short = f"CAST((x & 4294967294L) - 2147483648L AS int) | IF(x >= {HOT << 48}L, 1, 0)"
     return sets.selectExpr(
         "doc_id",
         "seq",
         "n",
         "IF(n > 0, xxhash64(tokens), xxhash64(w)) AS of_set",
-        f"transform(CAST({prefix} AS array<bigint>), x -> CAST((x & 4294967295L) - 2147483648L AS int)) AS prefix",
-        *(f"coalesce({_parity(half)}, 0L) AS parity_{half}" for half in (0, 1)),
-    )
+        f"transform(CAST({prefix} AS array<bigint>), x -> {short}) AS prefix",
+        *(f"coalesce({_parity(bit)}, 0L) AS parity_{half}" for half, bit in enumerate(("1L", "shiftright(x, 6) & 1L"))),
+    ).withColumn("parity_0", F.expr("parity_0 ^ parity_1"))
 
 
 def _enough(shared: str, one: str, two: str) -> str:
@@ -109,9 +119,13 @@ def _enough(shared: str, one: str, two: str) -> str:
 def _sent(lines: DataFrame) -> DataFrame:
     """A row per token of the prefixes; n_pos is the size of the set above the place of the token."""
     sent = lines.selectExpr("doc_id", "seq", "n", "posexplode(prefix) AS (pos, token)", "parity_0", "parity_1")
-    sent = sent.selectExpr("token", "doc_id", "seq", "shiftleft(CAST(n AS bigint), 32) | pos AS n_pos", "parity_0", "parity_1")
+    return sent.selectExpr("token", "doc_id", "seq", "shiftleft(CAST(n AS bigint), 32) | pos AS n_pos", "parity_0", "parity_1")
+
+
+def _by_token(sent: DataFrame, only: str) -> DataFrame:
+    """The rows around the tokens of a kind, dealt by token."""
     # nothing is null here; said of all columns, so that no use of the rows adds its own filter and one exchange serves all
-    return sent.where(" AND ".join(f"{c} IS NOT NULL" for c in sent.columns))
+    return sent.where(" AND ".join([only, *(f"{c} IS NOT NULL" for c in sent.columns)])).repartition("token")
 
 
 def _near(a: str, b: str) -> tuple[str, str]:
@@ -134,21 +148,19 @@ def _earlier(later: DataFrame, earlier: DataFrame) -> DataFrame:
     return joined.selectExpr("a.doc_id", "a.seq", "b.doc_id AS to_doc", "b.seq AS to_seq", f"{apart} AS apart")
 
 
-def _nearest(sent: DataFrame) -> DataFrame:
-    """doc_id, seq, to_doc, to_seq of the nearest earlier candidate of every line that has one; more: there may be others.
+def _candidates(sent: DataFrame) -> DataFrame:
+    """doc_id, seq, to_doc, to_seq, apart, led: pairs of a line and an earlier one; led, if the line met only that around some token.
 
-    A line that is near the first one of its size and place around a token meets no other line there: a large group of similar
-    lines makes a row per line, not per pair. Whether that line matches is verified later.
+    Around a frequent token, a line that is near the first one of its size and place meets no other line there: a large group of
+    similar lines makes a row per line, not per pair. Whether that line matches is verified later.
     """
-    fields = ("doc_id", "seq", "n_pos", "parity_0", "parity_1")
-    lead = sent.selectExpr("*", f"first(struct({', '.join(fields)})) OVER (PARTITION BY token, n_pos ORDER BY doc_id, seq) AS lead")
+    rare, frequent = _by_token(sent, "token & 1 = 0"), _by_token(sent, "token & 1 = 1")
     near, apart = _near("", "lead.")
+    lead = frequent.selectExpr("*", "min(struct(doc_id, seq, n_pos, parity_0, parity_1)) OVER (PARTITION BY token, n_pos) AS lead")
     lead = lead.withColumn("led", F.expr(f"(lead.doc_id <> doc_id OR lead.seq <> seq) AND {near}"))
     by_lead = lead.where("led").selectExpr("doc_id", "seq", "lead.doc_id AS to_doc", "lead.seq AS to_seq", f"{apart} AS apart", "true AS led")
-    met = _earlier(lead.where("NOT led").drop("lead", "led"), sent).withColumn("led", F.lit(False))
-    to, low, high = (f"{f}({s})" for f, s in (("min", "struct(apart, to_doc, to_seq)"), ("min", "struct(to_doc, to_seq)"), ("max", "struct(to_doc, to_seq)")))
-    nearest = by_lead.unionByName(met).groupBy("doc_id", "seq").agg(F.expr(to).alias("to"), F.expr(f"bool_or(led) OR {low} <> {high}").alias("more"))
-    return nearest.select("doc_id", "seq", "to.to_doc", "to.to_seq", "more")
+    met = _earlier(rare, rare).unionByName(_earlier(lead.where("NOT led").drop("lead", "led"), frequent)).withColumn("led", F.lit(False))
+    return by_lead.unionByName(met).groupBy("doc_id", "seq", "to_doc", "to_seq").agg(F.min("apart").alias("apart"), F.max("led").alias("led"))
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -156,20 +168,28 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     levels = rarity_levels(docs)
     brief = written(_in_brief(_lines(docs), levels), "lines")
 
-    # joins of two tables that grow with the input shuffle at every size
-    first = brief.groupBy("of_set", "n").agg(F.min(F.struct("doc_id", "seq", "prefix", "parity_0", "parity_1")).alias("head"))
-    heads = written(first.select("of_set", "n", "head.*"), "line-heads")
-    heads_of = heads.selectExpr("of_set", "n", "doc_id AS head_doc", "seq AS head_seq").hint("merge")
+    first = brief.groupBy("of_set", "n").agg(F.min(F.struct("doc_id", "seq", "prefix", "parity_0", "parity_1")).alias("head"), F.count("*").alias("times"))
+    heads = written(first.select("of_set", "n", "times", "head.*"), "line-heads")
+    # a join of two tables that grow with the input shuffles at every size
+    heads_of = heads.where("times > 1").selectExpr("of_set", "n", "doc_id AS head_doc", "seq AS head_seq").hint("merge")
     same = brief.select("of_set", "n", "doc_id", "seq").join(heads_of, ["of_set", "n"]).where("head_doc <> doc_id OR head_seq <> seq")
 
     # one or two tokens match nothing but an equal set
     sent = _sent(heads.where("n > 2"))
-    nearest = written(_nearest(sent.repartition("token")), "line-nearest")
-    found = written(_verified(docs, levels, nearest.drop("more")), "line-found")
-
-    rest = nearest.where("more").select("doc_id", "seq").join(found.hint("merge"), ["doc_id", "seq"], "left_anti")
-    rest = written(_sent(heads.join(written(rest, "line-rest").hint("merge"), ["doc_id", "seq"], "left_semi")), "line-rest-sent")
-    more = written(_earlier(checked(rest), sent).drop("apart").distinct(), "line-pairs")
+    pairs = written(_candidates(sent), "line-candidates")
+    to = F.min(F.struct("apart", "to_doc", "to_seq")).alias("to")
+    nearest = pairs.groupBy("doc_id", "seq").agg(to, F.max("led").alias("led"), F.count("*").alias("times"))
+    nearest = written(nearest.select("doc_id", "seq", "to.to_doc", "to.to_seq", "led", "times"), "line-nearest")
+    found = written(_verified(docs, levels, nearest.drop("led", "times")), "line-found")
+
+    # lines whose nearest candidate fell short meet all others: those at hand, and those around tokens where they were led
+    rest = nearest.where("led OR times > 1").join(found.hint("merge"), ["doc_id", "seq"], "left_anti")
+    rest = written(rest, "line-rest")
+    others = pairs.select("doc_id", "seq", "to_doc", "to_seq").join(checked(rest.select("doc_id", "seq")), ["doc_id", "seq"], "left_semi")
+    led = written(_sent(heads.join(checked(rest.where("led").select("doc_id", "seq")), ["doc_id", "seq"], "left_semi")).where("token & 1 = 1"), "line-rest-sent")
+    others = others.unionByName(_earlier(checked(led), sent.where("token & 1 = 1")).drop("apart"))
+    tried = rest.select("doc_id", "seq", "to_doc", "to_seq").hint("merge")
+    more = written(others.distinct().join(tried, ["doc_id", "seq", "to_doc", "to_seq"], "left_anti"), "line-pairs")
     return same.select("doc_id", "seq").unionByName(found).unionByName(_verified(docs, levels, more)).distinct()
 
 

@@ -133,3 +133,22 @@ def test_names_inside_articles(spark):
     )
     row = wrapper.main_text(spark.createDataFrame([(1, "http://a.b/", html)], "page_id long, url string, html string")).first()
     assert row.text == "Title 5 Work See x."
+
+
+@pytest.mark.parametrize("hot", [0, 63])
+def test_lines_meet_around_rare_and_frequent_tokens(spark, monkeypatch, hot):
+    monkeypatch.setattr(linededup, "HOT", hot)
+    rng = random.Random(21)
+    first, second = ([f"{c}{k}" for k in range(24)] for c in "vw")
+    docs = [(k, "\n".join(_edited(line, rng, rng.randrange(8)) for line in (first, second))) for k in range(90)]
+    # half of one line and half of the other: candidates that fall short
+    docs += [(100 + k, _edited(first[:12] + second[: 4 + k % 8], rng, k % 4)) for k in range(40)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got == helpers.deduped_lines(docs)
+
+
+def test_rarity_levels_leave_plans_short(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    brief = linededup._in_brief(linededup._lines(docs), linededup.rarity_levels(docs))
+    # the driver keeps the texts of a session's plans; strings of half a region of its heap are moved to it whole
+    assert len(brief._jdf.queryExecution().executedPlan().toString()) < 400_000
