@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallylog.llm.common import written
-from tallylog.llm.tokens import batches_of
+from tallylog.llm.tokens import batches_of, encoder
 
 CAPACITY = 4096
 #: Items a task packs at once, on average.
@@ -29,8 +29,11 @@ ITEMS = 50_000
 FULL = 0.99
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids, little-endian unsigned 32-bit) for every piece of every document."""
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = False, release: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (and ids, little-endian unsigned 32-bit) for every piece of every document.
+
+    ``release``: a task gives back its worker's chunks at its end, for sessions whose other Python jobs share the workers.
+    """
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
 
@@ -44,6 +47,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
                     part = data[at : at + 4 * capacity]
                     rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
             yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], kind) for k, kind in enumerate(kinds)], names=names)
+        if release:
+            encoder(tokenizer).forget()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select("doc_id", "text").mapInArrow(cut, schema)

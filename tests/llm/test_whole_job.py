@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tallylog.llm import decontaminate, linededup, neardup, wrapper
+from tallylog.llm import decontaminate, linededup, neardup, packing, wrapper
 from tallylog.llm.queries import BYTE_BPE, WORD_BPE
 from tallylog.llm.tokens import Encoder
 from tests.llm import helpers
@@ -152,3 +152,18 @@ def test_rarity_levels_leave_plans_short(spark):
     brief = linededup._in_brief(linededup._lines(docs), linededup.rarity_levels(docs))
     # the driver keeps the texts of a session's plans; strings of half a region of its heap are moved to it whole
     assert len(brief._jdf.queryExecution().executedPlan().toString()) < 400_000
+
+
+def test_packing_gives_back_the_chunks_of_its_workers(spark):
+    docs = spark.createDataFrame([(k, f"word{k} and more of them") for k in range(400)], "doc_id long, text string").repartition(4)
+    packing.token_pieces(docs, WORD_BPE, release=True).collect()
+
+    def held(batches):
+        import pyarrow as pa
+
+        from tallylog.llm.tokens import encoder
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([encoder(WORD_BPE).held], pa.int64())], ["held"])
+
+    assert {r.held for r in spark.range(0, 4, 1, 4).mapInArrow(held, "held long").collect()} == {0}
