@@ -95,6 +95,26 @@ def test_previous_factors_against_comparison():
             assert size == 0 or (src < at and (data[src : src + size] == data[at : at + size]).all())
 
 
+@pytest.mark.parametrize("length", [3, 40, 400])
+def test_whole_factors_take_few_sorts(length):
+    """Three ranks at a time: 7, 21, 63, 189 and 400 bytes; what repeats over ``length`` bytes is told by the last of them."""
+    rng = np.random.default_rng(length)
+    passage = rng.integers(1, 257, 3 * length)
+    texts = [np.concatenate([rng.integers(1, 257, 20), passage[k:], rng.integers(1, 257, 20), passage[: length - 1], [0]]) for k in (0, 5, 2 * length, 2 * length + 1)]
+    data, cuts = np.concatenate(texts), np.cumsum([len(t) for t in texts])
+    starts = np.concatenate([np.arange(cut - len(t), cut - length) for t, cut in zip(texts, cuts, strict=True)])
+    ends = np.repeat(cuts - 1, [len(t) - length for t in texts])
+    _, levels = suffix.suffix_order(data, length)
+    assert len(levels) <= 5 and levels[-1][0] <= max(length, suffix.FIRST)
+    longest, source = suffix.previous_factors(data, starts, ends, length, whole=True)
+    before = {}
+    for at, end, size, src in zip(starts, ends, longest, source, strict=True):
+        string = bytes(data[at : at + length] % 256)
+        assert size == (length if string in before else 0), (at, end)
+        assert size == 0 or (src < at and bytes(data[src : src + length] % 256) == string)
+        before.setdefault(string, at)
+
+
 def test_runs_hold_every_start_once(monkeypatch):
     """Pieces of long texts, texts end to end in a buffer: each start is in one run, equal strings have equal tokens."""
     monkeypatch.setattr(suffix, "PIECE", 50)
