@@ -10,7 +10,8 @@ the later one (by doc_id, then line number) goes; a line goes if any earlier lin
    meet the earlier ones, under length, positional and parity filters, none of which can lose a match. Around a frequent token
    (level HOT or more), one that is near the first line of its size and place there meets only that. Of its candidates each
    line keeps the one nearest by parities.
-4. Nearest candidates are verified on the whole sets. Lines whose nearest one falls short meet all their candidates.
+4. Nearest candidates are verified on the whole sets. Lines whose nearest one falls short meet all their candidates that more
+   bits of parity leave.
 
 Defined cases: a line of 1 to SHORT - 1 words matches the lines of the same words in the same order; lines without words stay;
 null texts have no line and come back null; lines of a null doc_id match nothing and stay; a text all of whose lines go comes
@@ -40,6 +41,8 @@ BUCKETS = 1 << 17
 STEPS = 2
 #: Tokens of this level are frequent: over 1000 in their bucket.
 HOT = 20
+#: Sets of up to so many tokens have 64 bits of parity, larger ones 128.
+NARROW = 64
 
 
 def _plain(text: str) -> Column:
@@ -96,7 +99,10 @@ def _parity(bit: str) -> str:
 
 
 def _in_brief(lines: DataFrame, levels: bytes) -> DataFrame:
-    """doc_id, seq, n, of_set, prefix and parities (halves of 128 bits) of every line with words; n is 0 and the prefix empty for short ones."""
+    """doc_id, seq, n, of_set, prefix and parities of every line with words; n is 0 and the prefix empty for short ones.
+
+    Parities are halves of 128 bits, which make 64 if one is laid on the other; sets of up to NARROW tokens have only those 64.
+    """
     sets = _sets(lines, levels).withColumn("n", F.coalesce(F.array_size("tokens"), F.lit(0))).where("size(w) > 0")
     # n - ceil(n * t) + 1 tokens: a set that shares none of them falls short of the threshold; 31 bits of each will do, the
     # last one tells the frequent ones
@@ -108,7 +114,8 @@ def _in_brief(lines: DataFrame, levels: bytes) -> DataFrame:
         "n",
         "IF(n > 0, xxhash64(tokens), xxhash64(w)) AS of_set",
         f"transform(CAST({prefix} AS array<bigint>), x -> {short}) AS prefix",
-        *(f"coalesce({_parity(bit)}, 0L) AS parity_{half}" for half, bit in enumerate(("1L", "shiftright(x, 6) & 1L"))),
+        f"coalesce({_parity('1L')}, 0L) AS parity_0",
+        f"IF(n > {NARROW}, {_parity('shiftright(x, 6) & 1L')}, 0L) AS parity_1",
     ).withColumn("parity_0", F.expr("parity_0 ^ parity_1"))
 
 
@@ -133,11 +140,10 @@ def _near(a: str, b: str) -> tuple[str, str]:
     tokens one of both has alone at least."""
     # positional filter: behind the first shared token at places i and j at most min(n - i, m - j) tokens can be shared
     n, m, i, j = f"({a}n_pos >> 32)", f"({b}n_pos >> 32)", f"({a}n_pos & 4294967295L)", f"({b}n_pos & 4294967295L)"
-    # every token that one set has alone flips one of 128 bits, and sets that reach the threshold have few of those
-    apart = f"(bit_count({a}parity_0 ^ {b}parity_0) + bit_count({a}parity_1 ^ {b}parity_1))"
-    total = 100 + PERCENT
-    alone = f"{n} + {m} - 2 * (({PERCENT} * ({n} + {m}) + {total - 1}) div {total})"
-    return f"{_enough(f'least({n} - {i}, {m} - {j})', n, m)} AND {apart} <= {alone}", apart
+    # every token that one set has alone flips one of 64 or 128 bits, and sets that reach the threshold have few of those
+    half_0, half_1 = f"({a}parity_0 ^ {b}parity_0)", f"({a}parity_1 ^ {b}parity_1)"
+    apart = f"IF(least({n}, {m}) > {NARROW}, bit_count({half_0}) + bit_count({half_1}), bit_count({half_0} ^ {half_1}))"
+    return f"{_enough(f'least({n} - {i}, {m} - {j})', n, m)} AND {apart} <= {_alone(n, m)}", apart
 
 
 def _earlier(later: DataFrame, earlier: DataFrame) -> DataFrame:
@@ -148,6 +154,24 @@ def _earlier(later: DataFrame, earlier: DataFrame) -> DataFrame:
     return joined.selectExpr("a.doc_id", "a.seq", "b.doc_id AS to_doc", "b.seq AS to_seq", f"{apart} AS apart")
 
 
+def _all_met(sent: DataFrame) -> DataFrame:
+    """What ``_earlier(sent, sent)`` gives: pairs of which the lines meet, the larger set (of equal ones the later line) first.
+
+    The first token that both share is among the first 1 in 7 of the smaller set or thereabouts, since the larger one has at
+    least as many; so only those are looked up. Not for frequent tokens.
+    """
+    near, apart = _near("a.", "b.")
+    # as many tokens must be shared as by two sets of the smaller size
+    total = 100 + PERCENT
+    size = "shiftright(n_pos, 32)"
+    looked = fence(sent, "n_pos").where(f"(n_pos & 4294967295L) <= {size} - ({2 * PERCENT} * {size} + {total - 1}) div {total}")
+    later = "(b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.seq < a.seq))"
+    order = f"(a.n_pos >> 32 > b.n_pos >> 32 OR (a.n_pos >> 32 = b.n_pos >> 32 AND {later}))"
+    joined = sent.alias("a").join(looked.alias("b"), F.expr(f"a.token = b.token AND {order} AND {near}"))
+    ends = {"doc_id": ("a.doc_id", "b.doc_id"), "seq": ("a.seq", "b.seq"), "to_doc": ("b.doc_id", "a.doc_id"), "to_seq": ("b.seq", "a.seq")}
+    return joined.selectExpr(*(f"IF({later}, {a}, {b}) AS {c}" for c, (a, b) in ends.items()), f"{apart} AS apart")
+
+
 def _candidates(sent: DataFrame) -> DataFrame:
     """doc_id, seq, to_doc, to_seq, apart, led: pairs of a line and an earlier one; led, if the line met only that around some token.
 
@@ -159,7 +183,7 @@ def _candidates(sent: DataFrame) -> DataFrame:
     lead = frequent.selectExpr("*", "min(struct(doc_id, seq, n_pos, parity_0, parity_1)) OVER (PARTITION BY token, n_pos) AS lead")
     lead = lead.withColumn("led", F.expr(f"(lead.doc_id <> doc_id OR lead.seq <> seq) AND {near}"))
     by_lead = lead.where("led").selectExpr("doc_id", "seq", "lead.doc_id AS to_doc", "lead.seq AS to_seq", f"{apart} AS apart", "true AS led")
-    met = _earlier(rare, rare).unionByName(_earlier(lead.where("NOT led").drop("lead", "led"), frequent)).withColumn("led", F.lit(False))
+    met = _all_met(rare).unionByName(_earlier(lead.where("NOT led").drop("lead", "led"), frequent)).withColumn("led", F.lit(False))
     return by_lead.unionByName(met).groupBy("doc_id", "seq", "to_doc", "to_seq").agg(F.min("apart").alias("apart"), F.max("led").alias("led"))
 
 
@@ -180,7 +204,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     to = F.min(F.struct("apart", "to_doc", "to_seq")).alias("to")
     nearest = pairs.groupBy("doc_id", "seq").agg(to, F.max("led").alias("led"), F.count("*").alias("times"))
     nearest = written(nearest.select("doc_id", "seq", "to.to_doc", "to.to_seq", "led", "times"), "line-nearest")
-    found = written(_verified(docs, levels, nearest.drop("led", "times")), "line-found")
+    found = written(_verified(docs, nearest.drop("led", "times")), "line-found")
 
     # lines whose nearest candidate fell short meet all others: those at hand, and those around tokens where they were led
     rest = nearest.where("led OR times > 1").join(found.hint("merge"), ["doc_id", "seq"], "left_anti")
@@ -190,11 +214,30 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     others = others.unionByName(_earlier(checked(led), sent.where("token & 1 = 1")).drop("apart"))
     tried = rest.select("doc_id", "seq", "to_doc", "to_seq").hint("merge")
     more = written(others.distinct().join(tried, ["doc_id", "seq", "to_doc", "to_seq"], "left_anti"), "line-pairs")
-    return same.select("doc_id", "seq").unionByName(found).unionByName(_verified(docs, levels, more)).distinct()
+    return same.select("doc_id", "seq").unionByName(found).unionByName(_verified(docs, more, doubtful=True)).distinct()
+
+
+def _alone(n: str, m: str) -> str:
+    """How many tokens two sets of ``n`` and ``m`` that reach the threshold have alone at most, both together."""
+    total = 100 + PERCENT
+    return f"{n} + {m} - 2 * (({PERCENT} * ({n} + {m}) + {total - 1}) div {total})"
 
 
-def _verified(docs: DataFrame, levels: bytes, pairs: DataFrame) -> DataFrame:
-    """The (doc_id, seq) of ``pairs`` whose partner (to_doc, to_seq) is similar enough, on the whole sets."""
+def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` without those whose ``sets`` (doc_id, seq, tokens) are too far apart by 512 bits of parity; none that match go."""
+    word = "aggregate(filter(tokens, x -> (shiftright(x, 6) & 7L) = k), 0L, (a, x) -> a ^ shiftleft(1L, CAST(x & 63L AS int)))"
+    briefs = written(sets.selectExpr("doc_id", "seq", "size(tokens) AS n", f"transform(sequence(0, 7), k -> {word}) AS bits"), "line-parities")
+    to = briefs.selectExpr("doc_id AS to_doc", "seq AS to_seq", "n AS to_n", "bits AS to_bits")
+    apart = "aggregate(zip_with(bits, to_bits, (a, b) -> bit_count(a ^ b)), 0, (a, b) -> a + b)"
+    near = pairs.join(briefs, ["doc_id", "seq"]).join(to, ["to_doc", "to_seq"]).where(f"{apart} <= {_alone('n', 'to_n')}")
+    return written(near.select("doc_id", "seq", "to_doc", "to_seq"), "line-likely")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, doubtful: bool = False) -> DataFrame:
+    """The (doc_id, seq) of ``pairs`` whose partner (to_doc, to_seq) is similar enough, on the whole sets.
+
+    Of ``doubtful`` pairs few match and a line has many, so that whole sets are sent for the likely ones only.
+    """
     ends = pairs.select("doc_id", "seq").unionByName(pairs.select(F.col("to_doc").alias("doc_id"), F.col("to_seq").alias("seq")))
     want = written(ends.groupBy("doc_id").agg(F.collect_set("seq").alias("want")), "line-ends")
     some = _texts(docs).join(checked(want), "doc_id")
@@ -202,8 +245,12 @@ def _verified(docs: DataFrame, levels: bytes, pairs: DataFrame) -> DataFrame:
     own = F.filter("want", lambda q: q.bitwiseAND((1 << 31) - 1) == F.shiftrightunsigned("of", 33))
     split = fence(some.select("doc_id", own.alias("own"), F.split(_plain("text"), "\n").alias("lines")), "own", "lines")
     asked = F.transform("own", lambda q: F.struct(q.alias("seq"), F.get(F.col("lines"), F.shiftright(q, 31).cast("int")).alias("line")))
-    sets = _sets(split.select("doc_id", F.inline(asked)), levels).select("doc_id", "seq", "tokens")
+    words = fence(split.select("doc_id", F.inline(asked)).select("doc_id", "seq", _words("line").alias("w")), "w")
+    # 48 bits tell words apart, as in the sets
+    sets = words.select("doc_id", "seq", F.array_distinct(F.transform("w", lambda w: F.shiftrightunsigned(F.xxhash64(w), 16))).alias("tokens"))
     sets = written(sets, "line-tokens").dropDuplicates(["doc_id", "seq"])
+    if doubtful:
+        pairs = _likely(pairs, sets)
     both = pairs.join(sets, ["doc_id", "seq"]).join(sets.selectExpr("doc_id AS to_doc", "seq AS to_seq", "tokens AS to_tokens"), ["to_doc", "to_seq"])
     shared = both.withColumn("shared", F.size(F.array_intersect("tokens", "to_tokens")))
     return shared.where(_enough("shared", "size(tokens)", "size(to_tokens)")).select("doc_id", "seq").distinct()
