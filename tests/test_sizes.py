@@ -5,10 +5,13 @@ from __future__ import annotations
 import time
 from pathlib import Path
 
+import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tallylog.catalogue import queries, render
-from tallylog.sinks.entries import csv_lines, field_keys
+from tallylog.sinks import entries as sink
+from tallylog.sinks.entries import csv_header, csv_lines, field_keys, write_csv
 from tallylog.sources import logs
 from tests.helpers import make_entries
 
@@ -51,6 +54,45 @@ def test_csv_work_does_not_grow_with_fields_times_keys(spark):
     assert lengths[0] - lengths[1] == 800 * (len(keys) + 4) and lengths[1] == sum(map(len, keys)) + sum(len(str(i)) for i in range(800))
 
 
+def test_no_plan_of_a_wide_export_holds_its_keys(spark, tmp_path, monkeypatch):
+    plans = []
+    write = DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, path, **more: (plans.append(self._df._jdf.queryExecution().logical().toString()), write(self, path, **more))[1])
+    monkeypatch.setattr(queries, "scratch_dir", lambda spark, name: f"{tmp_path}/{name}")
+    n = 12_000
+    found = queries.export_csv_wide(spark, events(spark, tmp_path, n)).collect()
+    # a key takes nine bytes at least
+    assert len(plans) == 1 and len(plans[0]) < 5 * n
+    assert sorted((r["line"], r["key"], r["value"]) for r in found) == sorted((i // 50, f"key-{i}", f"v, {i}") for i in range(n))
+    assert [r["key"] for r in sorted(found, key=lambda r: r["place"])] == sorted(f"key-{i}" for i in range(n))
+
+
+@pytest.mark.parametrize("keys", [None, ["z", "b", "é", "a", "b", "line", "Z", "unasked"]])
+def test_many_keys_are_written_as_few(spark, tmp_path, monkeypatch, keys):
+    taken = ("Line", "line", "fields.line", "FIELDS.Line", "LINE", "fields.", "fields.fields.", "", "Message")
+    entries = make_entries(
+        spark,
+        {"message": 'm, "x"', "fields": {"b": "x, y", "z": "", "a": ' "q"'} | {key: str(i) for i, key in enumerate(taken)}},
+        {"fields": {"e": "last", "é": "ü", "B": "no", "E": None, "x,y": "comma", 'a "b" ': "quotes"}},
+        {"fields": None},
+        {},
+        *({"message": f"m{i}", "fields": {f"k{i % 7}": str(i), f"u{i}": "v,"}} for i in range(100)),
+    )
+    # in an order that is not that of the lines, which the part files keep
+    entries = entries.repartitionByRange(4, F.col("line").desc()).sortWithinPartitions(F.col("line").desc())
+    names = csv_header(field_keys(entries) if keys is None else keys)
+    header = spark.createDataFrame([(names,)], "names array<string>").select(F.array_join(F.transform("names", sink._csv_value), ",")).first()[0]
+    texts = []
+    for most in (1_000, 3):
+        monkeypatch.setattr(sink, "KEYS_IN_PLAN", most)
+        monkeypatch.setattr(sink, "NAMES_PER_TASK", 4)
+        write_csv(entries, f"{tmp_path}/{most}", keys=keys)
+        parts = [part.read_text().split("\n") for part in sorted(Path(f"{tmp_path}/{most}").glob("part-*"))]
+        assert len(parts) > 1 and all(part[0] == header for part in parts)
+        texts.append([line for part in parts for line in part[1:] if line])
+    assert texts[0] == texts[1] and [int(line.split(",")[0]) for line in texts[0]] == [*range(104, 0, -1)]
+
+
 def test_wide_export_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries, "scratch_dir", lambda spark, name: f"{tmp_path}/{name}")
     found = queries.export_csv_wide(spark, events(spark, tmp_path, 2_000)).collect()
