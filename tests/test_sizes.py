@@ -63,6 +63,8 @@ def test_no_plan_of_a_wide_export_holds_its_keys(spark, tmp_path, monkeypatch):
     found = queries.export_csv_wide(spark, events(spark, tmp_path, n)).collect()
     # a key takes nine bytes at least
     assert len(plans) == 1 and len(plans[0]) < 5 * n
+    # nor does the disk hold a byte per line and key
+    assert sum(part.stat().st_size for part in Path(f"{tmp_path}/wide").glob("part-*")) < n * (n // 50) // 4
     assert sorted((r["line"], r["key"], r["value"]) for r in found) == sorted((i // 50, f"key-{i}", f"v, {i}") for i in range(n))
     assert [r["key"] for r in sorted(found, key=lambda r: r["place"])] == sorted(f"key-{i}" for i in range(n))
 
